@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .exact_dedup import EXACT_SQL, exact_dedup
+from .language_id import language_id
 from .mixing import mixed_sample
+from .toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +19,26 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sample(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays for every document, and how many are equal."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of those that are not held out."""
+    return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op5_language_id": op5_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {
