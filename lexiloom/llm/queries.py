@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import matches
 from .exact_dedup import EXACT_SQL, exact_dedup
+from .jaccard_join import jaccard_groups
 from .language_id import language_id
 from .mixing import mixed_sample
 from .toxicity import toxicity
@@ -20,6 +21,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies that each document belongs to."""
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taken words of every document in a mix whose sources weigh 3, 1, 2 in turn."""
     return mixed_sample(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -42,6 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op8_exact_dedup": op8_exact_dedup,
