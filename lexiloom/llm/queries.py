@@ -9,6 +9,7 @@ from .exact_dedup import EXACT_SQL, exact_dedup
 from .jaccard_join import jaccard_groups
 from .language_id import language_id
 from .mixing import mixed_sample
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 
 
@@ -36,6 +37,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays for every document, and how many are equal."""
     return exact_dedup(table(spark, sf_dir, "documents"))
@@ -51,6 +57,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
