@@ -133,26 +133,48 @@ def predicted(docs: DataFrame, filters: Filters | None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = pickle.loads(packed)
         for batch in batches:
-            texts = batch.column("text")
-            for a, b, data, offsets in steps(batch, "text", 1 << 20):
-                best, score = scored(data, offsets, f) if f else (np.zeros(b - a, int), np.zeros(b - a))
-                # ASCII letters first; other letters need the characters
-                ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128))])
-                has = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
-                names = [f.languages[k] if f and (h or any(map(str.isalpha, texts[a + i].as_py() or ""))) else "und" for i, (k, h) in enumerate(zip(best.tolist(), has.tolist(), strict=True))]
-                score = np.where([x == "und" for x in names], 0.0, score)
+            for a, b, names, score in _named(batch, "text", f):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, filters: Filters | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language, with all their columns; those that predicted() calls `und` are left out."""
+    packed = pickle.dumps(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = pickle.loads(packed)
+        for batch in batches:
+            keep = [name != "und" for _, _, names, _ in _named(batch, text_col, f) for name in names]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _named(batch: pa.RecordBatch, column: str, f: Filters | None) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """(first row, end row, languages, scores) of stretches of a batch."""
+    texts = batch.column(column)
+    for a, b, data, offsets in steps(batch, column, 1 << 20):
+        best, score = scored(data, offsets, f) if f else (np.zeros(b - a, int), np.zeros(b - a))
+        # ASCII letters first; other letters need the characters
+        ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128))])
+        has = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
+        names = [f.languages[k] if f and (h or any(map(str.isalpha, texts[a + i].as_py() or ""))) else "und" for i, (k, h) in enumerate(zip(best.tolist(), has.tolist(), strict=True))]
+        yield a, b, names, np.where([x == "und" for x in names], 0.0, score)
+
+
 def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0):
     """Column: crc32 of the id as text leaves the held-out remainder; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def learned(docs: DataFrame) -> Filters | None:
+    """Filters from the documents that are not held out."""
+    return fit(docs.where(~held_out()))
+
+
 def language_id(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; learned from the documents that are not held out."""
-    filters = fit(docs.where(~held_out()))
-    return predicted(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predicted(docs, learned(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
