@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(table: DataFrame) -> None:
+    """Takes away the files of a table from written() whose results have all been written themselves."""
+    jvm = table.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ids_hint(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """ids marked for broadcast if it has at most limit rows, else as it is (a shuffle join follows). ids must be cheap to read again."""
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids

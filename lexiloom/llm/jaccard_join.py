@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, ids_hint, shingle_sets, steps, written
+from .common import components, deleted, ids_hint, shingle_sets, steps, written
 
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Tokens counted together before they leave a task, the count from which one is told, and frequent tokens that are ranked at most.
 COUNTED, TOLD, RANKED = 4_000_000, 3, 1 << 17
+#: Shingle sets that a task remembers, to post the tokens of copies once.
+REMEMBERED = 1 << 18
 #: Pairs that are checked against one copy of a document's text.
 PAIRS_A_COPY = 512
 
@@ -65,21 +67,26 @@ def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, cls, n, toks): a digest of the shingle set, its size, and its prefix in the global order (rare first).
 
-    Frequent tokens come last, by count; all others by hash, which is as good as random.
+    Frequent tokens come last, by count; all others by hash, which is as good as random. A task that meets a set again leaves
+    its prefix out: copies add about one posting list a task, not one each.
     """
     sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps(frequent))  # at most RANKED tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = pickle.loads(sent.value)
+        seen: set[bytes] = set()
         for batch in batches:
             for a, b, data, offsets in steps(batch, "text"):
                 cls, sizes, prefixes = [], [], []
                 for s in shingle_sets(data, offsets, SHINGLE):
                     n = len(s)
-                    keep = int(linked_length(n))
-                    cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
+                    cls.append(name := hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
                     sizes.append(n)
-                    if len(known) and n:
+                    keep = int(linked_length(n)) if name not in seen else 0
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(name)
+                    if len(known) and keep:
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         often = known[at] == s
                         rare = s[~often]
@@ -90,15 +97,52 @@ def signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
                     prefixes.append(s[:keep])
                 at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
                 toks = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()), toks], ["doc_id", "cls", "n", "toks"])
-
-    return rows.mapInArrow(run, "doc_id long, cls binary, n long, toks array<long>")
-
-
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings (token, cls, n) whose token stands in two or more classes."""
-    several = postings.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    return postings.join(several, "token", "left_semi").distinct()
+                halves = np.frombuffer(b"".join(x or bytes(16) for x in cls), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(cls, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64()), toks], ["doc_id", "cls", "c1", "c2", "n", "toks"])
+
+    return rows.mapInArrow(run, "doc_id long, cls binary, c1 long, c2 long, n long, toks array<long>")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings (token, c1, c2, n) in order of (token, c1): (token, cls, n, head, nh) for every class of each token that
+    stands in two or more; head is the token's first class. Holds one batch and the head of the last token between batches."""
+    held = None  # token, head, whether the head has been told, last c1
+    for batch in batches:
+        token, c1, c2, n = (batch.column(c).to_numpy() for c in ("token", "c1", "c2", "n"))
+        if not len(token):
+            continue
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (c1[1:] != c1[:-1])
+        fresh[0] = held is None or token[0] != held[0] or c1[0] != held[3]
+        last = (token[-1], c1[-1])
+        token, c1, c2, n = token[fresh], c1[fresh], c2[fresh], n[fresh]
+        told = False
+        if held is not None:
+            # the held head stands before this batch's rows, told or not
+            told = held[2]
+            token, c1, c2, n = (np.concatenate([[x], y]) for x, y in zip((held[0], *held[1]), (token, c1, c2, n), strict=True))
+        heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(heads, len(token)))
+        head = np.repeat(heads, sizes)
+        tell = np.repeat(sizes > 1, sizes)
+        tell[0] &= not told
+        at = heads[-1]
+        held = (last[0], (c1[at], c2[at], n[at]), bool(sizes[-1] > 1) or bool(told and at == 0), last[1])
+        rows = np.flatnonzero(tell)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(token[rows]), _names(c1[rows], c2[rows]), pa.array(n[rows]), _names(c1[head[rows]], c2[head[rows]]), pa.array(n[head[rows]])], ["token", "cls", "n", "head", "nh"])
+
+
+def _names(c1: np.ndarray, c2: np.ndarray) -> pa.Array:
+    """The 16 bytes of each class as binary."""
+    offsets = np.arange(0, 16 * len(c1) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(c1), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(np.stack([c1, c2], 1)))])
+
+
+def shared_tokens(sig: DataFrame) -> DataFrame:
+    """(token, cls, n, head, nh) of every prefix token that two or more classes have."""
+    postings = sig.where("n > 0").select("c1", "c2", "n", F.explode("toks").alias("token"))
+    return postings.repartition("token").sortWithinPartitions("token", "c1").mapInArrow(_met, "token long, cls binary, n long, head binary, nh long")
 
 
 def _enough(overlap, n1, n2):
@@ -155,18 +199,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reach 0.75, and checks those members that share a token. A pair within one group needs no check: it is connected already.
     Any linked pair shares a token of the prefixes, so that none is lost, and nothing is capped.
     """
-    spark = docs.sparkSession
     rows = _owned(docs, id_col, text_col)
-    sig = written(signatures(rows, frequent_tokens(rows)), "jaccard-sets")
+    prefixes = written(signatures(rows, frequent_tokens(rows)), "jaccard-prefixes")
+    sig = written(prefixes.select("doc_id", "cls", "n"), "jaccard-sets")
+    shared = written(shared_tokens(prefixes), "jaccard-shared")
+    deleted(prefixes)
     classes = sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
-    shared = written(_shared(sig.where("n > 0").select("cls", "n", F.explode("toks").alias("token")).select("token", "cls", "n")), "jaccard-shared")
     named = written(classes.join(shared.select("cls").distinct(), "cls", "left_semi"), "jaccard-classes")
 
     # round one: stars around the first class of each token
-    heads = shared.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("head")).select("token", F.col("head.cls").alias("a"), F.col("head.n").alias("na"))
-    stars = shared.join(heads, "token").where("cls <> a").groupBy("a", F.col("cls").alias("b"), "na", "n").agg(F.count("*").alias("m"))
-    most = lambda x, y: F.least(F.col(x), F.col(y))
-    likely = (NUM * F.greatest("na", "n") <= DEN * most("na", "n")) & (F.col("m") * 8 >= _prefix(most("na", "n")))
+    stars = shared.where("cls <> head").groupBy(F.col("head").alias("a"), F.col("cls").alias("b"), "nh", "n").agg(F.count("*").alias("m"))
+    likely = (NUM * F.greatest("nh", "n") <= DEN * F.least("nh", "n")) & (F.col("m") * 8 >= _prefix(F.least("nh", "n")))
     first = written(stars.where(likely).select("a", "b"), "jaccard-pairs")
     links = written(checked(first, _texts(rows, named, first)), "jaccard-links")
 
