@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import chat_format
 from .decontamination import matches
 from .exact_dedup import EXACT_SQL, exact_dedup
 from .jaccard_join import jaccard_groups
 from .language_id import language_id
+from .license_scan import license_scan
 from .mixing import mixed_sample
 from .suffix_dedup import suffix_dedup
+from .token_counts import edited_counts, private_edits
 from .toxicity import toxicity
 
 
@@ -17,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in documents."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with how much of it."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -42,23 +50,36 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after private data has been replaced."""
+    return edited_counts(table(spark, sf_dir, "documents"), private_edits)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays for every document, and how many are equal."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles and canonical form of every conversation, read off its raw transcript."""
+    return chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels of those that are not held out."""
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
 }
 
