@@ -16,11 +16,11 @@ from .common import components, deleted, ids_hint, shingle_sets, steps, written
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Tokens counted together before they leave a task, the count from which one is told, and frequent tokens that are ranked at most.
-COUNTED, TOLD, RANKED = 4_000_000, 3, 1 << 17
+COUNTED, TOLD, RANKED = 3_000_000, 2, 1 << 17
 #: Shingle sets that a task remembers, to post the tokens of copies once.
 REMEMBERED = 1 << 18
-#: Pairs that are checked against one copy of a document's text.
-PAIRS_A_COPY = 512
+#: Members of a group that are indexed together, and the ratio of set sizes within a group.
+BLOCK, SIZE_STEP = 256, 1.15
 
 
 def linked_length(n: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
                 cls, sizes, prefixes = [], [], []
                 for s in shingle_sets(data, offsets, SHINGLE):
                     n = len(s)
-                    cls.append(name := hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
+                    cls.append(name := hashlib.blake2b(s.tobytes(), digest_size=8).digest())
                     sizes.append(n)
                     keep = int(linked_length(n)) if name not in seen else 0
                     if len(seen) >= REMEMBERED:
@@ -97,52 +97,43 @@ def signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
                     prefixes.append(s[:keep])
                 at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
                 toks = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes).view(np.int64)))
-                halves = np.frombuffer(b"".join(x or bytes(16) for x in cls), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(cls, pa.binary()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64()), toks], ["doc_id", "cls", "c1", "c2", "n", "toks"])
+                names = np.frombuffer(b"".join(cls), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(names), pa.array(sizes, pa.int64()), toks], ["doc_id", "cls", "n", "toks"])
 
-    return rows.mapInArrow(run, "doc_id long, cls binary, c1 long, c2 long, n long, toks array<long>")
+    return rows.mapInArrow(run, "doc_id long, cls long, n long, toks array<long>")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From postings (token, c1, c2, n) in order of (token, c1): (token, cls, n, head, nh) for every class of each token that
-    stands in two or more; head is the token's first class. Holds one batch and the head of the last token between batches."""
-    held = None  # token, head, whether the head has been told, last c1
+    """From postings (token, cls) in order: (token, cls, head) for every class of each token that stands in two or more; head is
+    the token's first class. Holds one batch and the head of the last token between batches."""
+    held = None  # token, head, whether the head has been told, last class
     for batch in batches:
-        token, c1, c2, n = (batch.column(c).to_numpy() for c in ("token", "c1", "c2", "n"))
+        token, cls = batch.column("token").to_numpy(), batch.column("cls").to_numpy()
         if not len(token):
             continue
         fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (c1[1:] != c1[:-1])
-        fresh[0] = held is None or token[0] != held[0] or c1[0] != held[3]
-        last = (token[-1], c1[-1])
-        token, c1, c2, n = token[fresh], c1[fresh], c2[fresh], n[fresh]
-        told = False
+        fresh[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        fresh[0] = held is None or token[0] != held[0] or cls[0] != held[3]
+        last = (token[-1], cls[-1])
+        token, cls, told = token[fresh], cls[fresh], False
         if held is not None:
             # the held head stands before this batch's rows, told or not
             told = held[2]
-            token, c1, c2, n = (np.concatenate([[x], y]) for x, y in zip((held[0], *held[1]), (token, c1, c2, n), strict=True))
+            token, cls = np.concatenate([[held[0]], token]), np.concatenate([[held[1]], cls])
         heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.append(heads, len(token)))
-        head = np.repeat(heads, sizes)
         tell = np.repeat(sizes > 1, sizes)
         tell[0] &= not told
-        at = heads[-1]
-        held = (last[0], (c1[at], c2[at], n[at]), bool(sizes[-1] > 1) or bool(told and at == 0), last[1])
+        held = (last[0], cls[heads[-1]], bool(sizes[-1] > 1 or (told and heads[-1] == 0)), last[1])
         rows = np.flatnonzero(tell)
         if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(token[rows]), _names(c1[rows], c2[rows]), pa.array(n[rows]), _names(c1[head[rows]], c2[head[rows]]), pa.array(n[head[rows]])], ["token", "cls", "n", "head", "nh"])
-
-
-def _names(c1: np.ndarray, c2: np.ndarray) -> pa.Array:
-    """The 16 bytes of each class as binary."""
-    offsets = np.arange(0, 16 * len(c1) + 1, 16, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(c1), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(np.stack([c1, c2], 1)))])
+            yield pa.RecordBatch.from_arrays([pa.array(token[rows]), pa.array(cls[rows]), pa.array(cls[np.repeat(heads, sizes)[rows]])], ["token", "cls", "head"])
 
 
 def shared_tokens(sig: DataFrame) -> DataFrame:
-    """(token, cls, n, head, nh) of every prefix token that two or more classes have."""
-    postings = sig.where("n > 0").select("c1", "c2", "n", F.explode("toks").alias("token"))
-    return postings.repartition("token").sortWithinPartitions("token", "c1").mapInArrow(_met, "token long, cls binary, n long, head binary, nh long")
+    """(token, cls, head) of every prefix token that two or more classes have."""
+    postings = sig.where("n > 0").select("cls", F.explode("toks").alias("token"))
+    return postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_met, "token long, cls long, head long")
 
 
 def _enough(overlap, n1, n2):
@@ -150,54 +141,132 @@ def _enough(overlap, n1, n2):
     return (NUM + DEN) * overlap >= NUM * (n1 + n2)
 
 
-def _prefix(n):
-    return n - F.ceil(NUM * n / DEN) + 1
+def _tail(n):
+    """Column: tokens of a set of n that are not in its prefix."""
+    return F.ceil(NUM * F.col(n) / DEN) - 1
+
+
+def similar_groups(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, n, g): every class that shares a token goes to the head with which it shares most, together with classes of its size."""
+    stars = shared.where("cls <> head").groupBy("cls", "head").agg(F.count("*").alias("m"))
+    best = stars.groupBy("cls").agg(F.max(F.struct("m", "head")).alias("best")).select("cls", F.col("best.head").alias("head"))
+    named = shared.select("cls").distinct().join(best, "cls", "left").join(classes.select("cls", "n"), "cls")
+    return named.select("cls", "n", F.xxhash64(F.coalesce("head", "cls"), F.floor(F.log("n") / F.log(F.lit(SIZE_STEP)))).alias("g"))
 
 
-def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole shingle sets have a Jaccard similarity of 0.75 or more; texts: (cls, text) of each class.
+def opened_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cls, own, g): groups that a class must be compared with, its own one or one of a greater number.
 
-    A class that many pairs name is copied once for every PAIRS_A_COPY of them, so that no task gets all pairs of one class.
+    The token-group matrix has a row for each token of each group's union (of prefixes), with the members that have it. The
+    tokens of a class's prefix that a group has bound the overlap with any member: what they leave open is at most the rest of
+    either set behind its prefix. Of two groups only one asks the other, so that a pair meets once.
     """
-    sides = pairs.groupBy("a").agg(F.count("*").alias("c")).select("a", F.floor(F.col("c") / PAIRS_A_COPY).cast("int").alias("last"))
-    copies = sides.select("a", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("copy")).join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    dealt = pairs.join(sides, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int").alias("copy"))
-    both = dealt.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").join(copies, ["a", "copy"]).select("a", "b", "text_a", "text_b")
+    grouped = written(shared.select("token", "cls").join(groups, "cls"), "jaccard-grouped")
+    matrix = grouped.groupBy("token", "g").agg(F.count("*").alias("members")).withColumnRenamed("g", "g2")
+    facts = groups.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(_tail("n")).alias("tail")).withColumnRenamed("g", "g2")
+    met = grouped.join(matrix, "token").where("g < g2 OR (g = g2 AND members > 1)").groupBy("cls", "n", "g", "g2").agg(F.count("*").alias("m"))
+    sized = (NUM * F.col("least") <= DEN * F.col("n")) & (NUM * F.col("n") <= DEN * F.col("most"))
+    reach = F.col("m") + F.greatest(F.col("tail"), _tail("n"))
+    smallest = F.greatest(F.col("least"), F.ceil(NUM * F.col("n") / DEN))
+    return met.join(facts, "g2").where(sized & _enough(reach, F.col("n"), smallest)).select("cls", F.col("g").alias("own"), F.col("g2").alias("g"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for a, b, data, offsets in steps(batch, "text_b"):
-                left: dict[bytes, np.ndarray] = {}
-                for k, s in enumerate(shingle_sets(data, offsets, SHINGLE)):
-                    name = batch.column("a")[a + k].as_py()
-                    if name not in left:
-                        raw = np.frombuffer((batch.column("text_a")[a + k].as_py() or "").encode(), np.uint8)
-                        left = {name: next(shingle_sets(raw, np.array([0, len(raw)]), SHINGLE))}
-                    t = left[name]
-                    overlap = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-                    keep[a + k] = overlap * (NUM + DEN) >= NUM * (len(s) + len(t))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
-
-    return both.mapInArrow(run, "a binary, b binary")
+
+def links_in(opened: DataFrame, groups: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links that connect whatever is linked between classes and the groups that they open, on whole sets.
+
+    A group's members are dealt into blocks of about BLOCK. Each block is indexed once; members and the classes that ask are
+    looked up in it, and a class has one link to each part of the block that it is linked with.
+    """
+    active = opened.select("g").distinct()
+    sizes = groups.join(active, "g").groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    members = written(groups.join(sizes, "g").select("g", block.alias("block"), F.lit(0).alias("asks"), "cls"), "jaccard-members")
+    asks = opened.join(sizes, "g").withColumn("from", F.when(F.col("own") == F.col("g"), block + 1).otherwise(F.lit(0))).where(F.col("from") < F.col("blocks"))
+    asks = asks.select("g", F.explode(F.sequence(F.col("from"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "cls")
+    dealt = written(members.unionByName(asks), "jaccard-dealt")
+    wanted = written(classes.join(dealt.select("cls").distinct(), "cls", "left_semi").select("cls", "first"), "jaccard-wanted")
+    texts = rows.join(ids_hint(wanted), rows["doc_id"].eqNullSafe(wanted["first"])).select("cls", "text")
+    return dealt.join(texts, "cls").repartition("g", "block").sortWithinPartitions("g", "block", "asks").mapInArrow(_linked, "a long, b long")
+
+
+class _Block:
+    """Members' sets as one sorted list of tokens with owners; which members hang together by links."""
+
+    def __init__(self, names: list[int], sets: list[np.ndarray]):
+        self.names, self.sizes = names, np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+        self.part = np.arange(len(sets))
+        for i, s in enumerate(sets):
+            for j in self.linked(s).tolist():
+                if self.part[i] != self.part[j]:
+                    lo, hi = sorted((self.part[i], self.part[j]))
+                    self.part[self.part == hi] = lo
+
+    def linked(self, s: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.tokens, s, "left"), np.searchsorted(self.tokens, s, "right")
+        counts = hi - lo
+        at = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        overlap = np.bincount(self.owner[at], minlength=len(self.names))
+        return np.flatnonzero((overlap > 0) & ((NUM + DEN) * overlap >= NUM * (self.sizes + len(s))))
+
+    def own_links(self) -> list[tuple[int, int]]:
+        return [(self.names[p], self.names[i]) for i, p in enumerate(self.part.tolist()) if p != i]
+
+    def links(self, name: int, s: np.ndarray) -> list[tuple[int, int]]:
+        return [(self.names[p], name) for p in np.unique(self.part[self.linked(s)]).tolist() if self.names[p] != name]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from rows (g, block, asks, cls, text), members of a block before those that ask."""
+    key, names, sets, block = None, [], [], None
+    out: list[tuple[int, int]] = []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("g", "block", "asks", "cls")]
+        for a, _, data, offsets in steps(batch, "text"):
+            for k, s in enumerate(shingle_sets(data, offsets, SHINGLE)):
+                g, b, asks, name = (c[a + k] for c in columns)
+                if key != (g, b):
+                    if sets and block is None:
+                        out += _Block(names, sets).own_links()
+                    key, names, sets, block = (g, b), [], [], None
+                if not asks:
+                    if name not in names:
+                        names.append(name)
+                        sets.append(s)
+                elif sets:
+                    if block is None:
+                        block = _Block(names, sets)
+                        out += block.own_links()
+                    out += block.links(name, s)
+        if out:
+            yield _pairs(out)
+            out = []
+    if sets and block is None and (out := _Block(names, sets).own_links()):
+        yield _pairs(out)
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_size) of every row of docs.
+    """(doc_id, n_shingles, component_id) of every row of docs.
 
     Words are maximal runs without white space after lower-casing A-Z; a document's set is its distinct 5-word shingles, or the
     whole sequence if it has fewer words. Two documents link when 100 * intersection >= 75 * union; component_id is the smallest
-    doc_id that links reach, itself included. Shingles and sets are compared by 64 and 128 bit hashes.
+    doc_id that links reach, itself included. Shingles are compared by 64-bit hashes.
 
     Null texts and texts without words have an empty set, link with nothing and form components of their own. Rows with equal
     sets form one class, whatever their ids; a repeated id has one row for each of its rows; a null id never names a component
     that has another id. An empty table gives no rows; other columns are ignored.
 
-    Copies are one class, checked once. Round one compares, token by token of the prefixes, every class with the first class that
-    has the token; verified links make groups of similar documents. Round two stores each group's token union (its members'
-    prefixes) as the matrix, bounds every document's overlap with every group that shares a token, opens the groups that can
-    reach 0.75, and checks those members that share a token. A pair within one group needs no check: it is connected already.
-    Any linked pair shares a token of the prefixes, so that none is lost, and nothing is capped.
+    Copies are one class, checked once, and named by 64 bits of their digest. Classes that share prefix tokens are partitioned
+    into groups of similar ones; the token-group matrix stores each group's token union and bounds the overlap of a class with
+    every group that shares a token with it; only groups that can reach 0.75 are opened, and their members compared on whole
+    sets. Any linked pair shares a token of the prefixes, so that none is lost, and nothing is capped. Linked members of a block
+    count as connected, so that links stay few where all pairs of a group are linked.
     """
     rows = _owned(docs, id_col, text_col)
     prefixes = written(signatures(rows, frequent_tokens(rows)), "jaccard-prefixes")
@@ -205,35 +274,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = written(shared_tokens(prefixes), "jaccard-shared")
     deleted(prefixes)
     classes = sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
-    named = written(classes.join(shared.select("cls").distinct(), "cls", "left_semi"), "jaccard-classes")
-
-    # round one: stars around the first class of each token
-    stars = shared.where("cls <> head").groupBy(F.col("head").alias("a"), F.col("cls").alias("b"), "nh", "n").agg(F.count("*").alias("m"))
-    likely = (NUM * F.greatest("nh", "n") <= DEN * F.least("nh", "n")) & (F.col("m") * 8 >= _prefix(F.least("nh", "n")))
-    first = written(stars.where(likely).select("a", "b"), "jaccard-pairs")
-    links = written(checked(first, _texts(rows, named, first)), "jaccard-links")
-
-    # round two: the token-group matrix
-    roots = written(components(links, "jaccard-groups"), "jaccard-roots")
-    grouped = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", F.coalesce("root", "cls").alias("grp"))
-    mixed = grouped.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
-    grouped = written(grouped.join(mixed, "token", "left_semi"), "jaccard-grouped")
-    sizes = grouped.select("grp", "cls", "n").distinct().groupBy("grp").agg(F.min("n").alias("least"), F.max(F.col("n") - _prefix(F.col("n"))).alias("tail"))
-    matrix = grouped.groupBy("token", "grp").agg(F.lit(1).alias("one")).select("token", F.col("grp").alias("g"))
-    bounds = grouped.join(matrix, "token").where("grp <> g").groupBy("cls", "n", "g").agg(F.count("*").alias("m"))
-    bounds = bounds.join(sizes.select(F.col("grp").alias("g"), "least", "tail"), "g")
-    smallest = F.greatest(F.col("least"), F.ceil(NUM * F.col("n") / DEN))
-    reach = F.col("m") + F.greatest(F.col("tail"), F.col("n") - _prefix(F.col("n")))
-    opened = written(bounds.where(_enough(reach, F.col("n"), smallest) & (NUM * F.col("least") <= DEN * F.col("n"))).select("cls", "g"), "jaccard-open")
-    # members of opened groups that share tokens with the document; each unordered pair once, from its smaller class
-    query = opened.join(grouped.select("token", "cls", F.col("n").alias("nq")), "cls").select("token", F.col("cls").alias("a"), "nq", "g")
-    member = grouped.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("g"))
-    found = query.join(member, ["token", "g"]).groupBy("a", "b", "nq", "nb").agg(F.count("*").alias("m"))
-    tail = lambda n: F.col(n) - _prefix(F.col(n))
-    found = found.where(_enough(F.col("m") + F.greatest(tail("nq"), tail("nb")), F.col("nq"), F.col("nb")) & (NUM * F.greatest("nq", "nb") <= DEN * F.least("nq", "nb")))
-    second = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = links.unionByName(checked(second, _texts(rows, named, second)))
-    roots = written(components(links, "jaccard-links"), "jaccard-roots")
+    groups = written(similar_groups(shared, classes), "jaccard-groups")
+    opened = written(opened_groups(shared, groups), "jaccard-opened")
+    links = links_in(opened, groups, rows, classes)
+    roots = written(components(links, "jaccard"), "jaccard-roots")
 
     # components by their smallest document; classes without links are on their own
     classes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
@@ -241,12 +285,3 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = classes.select("cls", "root").join(least, "root").select("cls", "component_id")
     known = sig.where("n > 0").select("doc_id", "cls", "n").join(ids, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return known.unionByName(sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-
-
-def _texts(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, text) of every class that a pair names, from one document of each, as a table."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = written(classes.join(wanted, "cls", "left_semi").select("cls", "first"), "jaccard-wanted")
-    return written(rows.join(ids_hint(wanted), rows["doc_id"].eqNullSafe(wanted["first"])).select("cls", "text"), "jaccard-texts")
-
-
