@@ -149,7 +149,7 @@ def _scan(sent, coverage: float, seed: int, least: int):
         for batch in batches:
             texts, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()
             out = []
-            for a, b, _, _ in steps(batch, "text", 2 << 20):
+            for a, b, _, _ in steps(batch, "text"):
                 tokens, firsts = _tokens(texts[a:b].to_pylist())
                 pairs = set()
                 for n, (keys, owner) in seeds.items():

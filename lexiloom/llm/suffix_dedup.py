@@ -15,7 +15,7 @@ from .common import mixed, powers, prefix_hash, steps, written
 #: Bytes of a repeated string, of the grams that anchor it, and the depth at which quicksort hands over to blind tries.
 LENGTH, GRAM, SHALLOW = 200, 32, 16
 #: Bytes that one step of the anchor scan works on (a longer text is cut into pieces), and suffixes that one sort holds.
-PIECE, SORTED = 2 << 20, 1 << 20
+PIECE, SORTED = 1 << 20, 1 << 20
 
 OCCURRENCE = "h long, ctx long, k1 long, k2 long, p long, lo int, hi int"
 
