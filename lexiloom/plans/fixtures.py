@@ -13,7 +13,8 @@ TRUNCATE = 0.5
 
 
 class Fixtures:
-    """Tables of one data folder. Each is a lazy plan; nothing is kept between queries."""
+    """Tables of one data folder. Plans are lazy; the vocabulary, topic counts and pmfs, which many plans share and which are far
+    smaller than the texts, are cached, so that the texts are read once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -35,7 +36,7 @@ class Fixtures:
         p = self.postings()
         words = stats.useful_words(stats.word_stats(p), stats.document_counts(p), max_df_share=1.0)
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cf"), "word"))
-        out = words.select("lang", "word", "cf", rank.alias("r"))
+        out = words.select("lang", "word", "cf", rank.alias("r")).cache()
         return out.where(F.col("lang") == lang) if lang else out
 
     def state(self, step: int = 3, n: int = 8) -> DataFrame:
@@ -45,7 +46,7 @@ class Fixtures:
         return words.join(docs, "doc_id").select("doc_id", "lang", "pos", "word", ((F.col("s") + F.col("pos") % step) % n).alias("topic"))
 
     def counts(self, step: int = 3, n: int = 8) -> DataFrame:
-        return topics.topic_words(self.state(step, n))
+        return topics.topic_words(self.state(step, n)).cache()
 
     def pairs(self, l1: str, l2: str) -> DataFrame:
         """(w1, w2): words of equal rank, and the next one where the rank is divisible by 3."""
@@ -58,7 +59,7 @@ class Fixtures:
         return topics.cue(topics.phi(self.counts(step, n)), l1, l2, topics=list(range(n)))
 
     def cue_pmf(self, l1: str = "en", l2: str = "de", step: int = 3, n: int = 8) -> DataFrame:
-        return pmf.of_scores(self.cue(l1, l2, step, n), TRUNCATE)
+        return pmf.of_scores(self.cue(l1, l2, step, n), TRUNCATE).cache()
 
     def expert_list(self) -> list[DataFrame]:
         """Two English-German pmfs over different topic states."""

@@ -148,8 +148,8 @@ def esa_pmf(x):
 
 @query("""SELECT w1, w2, round(s / sum(s) OVER (PARTITION BY w1), 6) AS p FROM (
     SELECT w1, w2, 1.0::double / (1 + min(d)) AS s FROM (SELECT a.word AS w1, b.word AS w2, CASE WHEN a.node = b.node THEN 0 WHEN a.n_regionkey = b.n_regionkey THEN 2 ELSE 4 END AS d FROM senses a CROSS JOIN senses b) GROUP BY ALL)""",
-    senses="""SELECT word, n_name AS node, n_regionkey FROM (SELECT c_mktsegment AS word, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC, c_nationkey) AS i
-        FROM customer GROUP BY ALL) JOIN nation ON n_nationkey = c_nationkey WHERE i <= 3""")
+    senses="""SELECT word, n_name AS node, n_regionkey FROM (SELECT word, c_nationkey, row_number() OVER (PARTITION BY word ORDER BY c DESC, c_nationkey) AS i
+        FROM (SELECT c_mktsegment AS word, c_nationkey, count(*) AS c FROM customer GROUP BY ALL)) JOIN nation ON n_nationkey = c_nationkey WHERE i <= 3""")
 def taxonomy_sim(x):
     """Market segments by nation, region and world; a segment's senses are its three most frequent nations."""
     nation, region = x.table("nation"), x.table("region")
