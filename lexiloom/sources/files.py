@@ -112,7 +112,8 @@ def features(spark: SparkSession, path: str) -> DataFrame:
 
 def weights(spark: SparkSession, path: str) -> DataFrame:
     """(j, e) from one line of numbers."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("j", "e")).select("j", F.col("e").cast("double").alias("e"))
+    numbers = F.filter(F.split("value", r"\s+"), lambda x: x != "")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(numbers).alias("j", "e")).select("j", F.col("e").cast("double").alias("e"))
 
 
 def column(spark: SparkSession, path: str, number: int) -> DataFrame:
