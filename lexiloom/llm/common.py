@@ -15,7 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step works on; a longer text makes a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Bytes of an Arrow batch that goes to Python; by default 64 MB of texts would stand in the JVM and in the worker at once.
+BATCH_BYTES = 4 << 20
 #: Rows up to which a table of ids may be broadcast (about 48 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
 
@@ -29,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold at most BATCH_BYTES; a smaller setting is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "0")) <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession

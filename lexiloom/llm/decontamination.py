@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, powers, shingle_hashes, steps, word_hashes, word_spans
+from .common import bounded_batches, mixed, powers, shingle_hashes, steps, word_hashes, word_spans
 
 #: Tokens of a seed and least tokens of a tile; share of an item's tokens that tiles must cover; least tokens they cover.
 SEED, COVERAGE, LEAST = 4, 0.6, 8
@@ -114,7 +114,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     The benchmark is the stated query set: it passes by in blocks of BLOCK_BYTES, each broadcast, over all documents, which are
     read once a block and never shuffled. A text is tokenised whole; memory is bounded by the longest text and a block.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, item_tokens int, covered int, n_tiles int, coverage double"
     out = None
     for block in _blocks(benchmark, item_col, item_text_col):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deleted, ids_hint, shingle_sets, steps, written
+from .common import bounded_batches, components, deleted, ids_hint, shingle_sets, steps, written
 
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 75, 100
@@ -29,7 +29,7 @@ def linked_length(n: np.ndarray) -> np.ndarray:
 
 
 def _owned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, mixed, steps, written
+from .common import FOLD, bounded_batches, mixed, steps, written
 
 #: Byte n-gram lengths; n-grams kept per language and length; filter slots (a power of two); hash functions.
 LENGTHS, KEPT, SLOTS, HASHES = (3, 5), 4_000, 1 << 20, 3
@@ -66,7 +66,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     What reaches the driver is KEPT n-grams per language and length, whatever the corpus. Rows without text or language don't
     count. At most 64 languages: the most frequent ones, ties by name.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), F.col(order_col), F.col(text_col)).alias("h"))
+    rows = bounded_batches(labelled).where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), F.col(order_col), F.col(text_col)).alias("h"))
     seen = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
     if not seen:
         return None
@@ -78,7 +78,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in steps(batch, "text", 1 << 20):
+            for a, b, data, offsets in steps(batch, "text", 1 << 18):
                 langs = np.array([names.index(x) for x in batch.column("lang")[a:b].to_pylist()])
                 for n in LENGTHS:
                     grams, owner = _grams(data, offsets, n)
@@ -136,7 +136,7 @@ def predicted(docs: DataFrame, filters: Filters | None, id_col: str = "doc_id",
             for a, b, names, score in _named(batch, "text", f):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, filters: Filters | None, text_col: str = "text") -> DataFrame:
@@ -149,13 +149,13 @@ def identified(docs: DataFrame, filters: Filters | None, text_col: str = "text")
             keep = [name != "und" for _, _, names, _ in _named(batch, text_col, f) for name in names]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _named(batch: pa.RecordBatch, column: str, f: Filters | None) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
     """(first row, end row, languages, scores) of stretches of a batch."""
     texts = batch.column(column)
-    for a, b, data, offsets in steps(batch, column, 1 << 20):
+    for a, b, data, offsets in steps(batch, column, 1 << 18):
         best, score = scored(data, offsets, f) if f else (np.zeros(b - a, int), np.zeros(b - a))
         # ASCII letters first; other letters need the characters
         ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128))])

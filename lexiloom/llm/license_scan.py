@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Words one of which a candidate line has (fixed values).
 CUES = ("licen", "copyright", "permission", "warrant", "rights reserved", "redistribut", "public domain", "creative commons", "cc by", "cc0", "spdx", "gnu ", "(c) ")
 #: Templates by license (fixed public wordings, shortened to what identifies them). A name may have several.
@@ -153,4 +155,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, powers, prefix_hash, steps, written
+from .common import bounded_batches, mixed, powers, prefix_hash, steps, written
 
 #: Bytes of a repeated string, of the grams that anchor it, and the depth at which quicksort hands over to blind tries.
 LENGTH, GRAM, SHALLOW = 200, 32, 16
@@ -23,7 +23,7 @@ OCCURRENCE = "h long, ctx long, k1 long, k2 long, p long, lo int, hi int"
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, doc_id, text): k1, k2 name a row by its id and text; rows that are wholly alike share them and all answers."""
     doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("k1"), F.xxhash64(doc_id, text).alias("k2"), doc_id.alias("doc_id"), text.alias("text"))
+    return bounded_batches(docs).select(F.coalesce(doc_id, F.lit(0)).alias("k1"), F.xxhash64(doc_id, text).alias("k2"), doc_id.alias("doc_id"), text.alias("text"))
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -13,6 +13,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Vocabulary of ranks for byte-level BPE, and the rule that cuts text into pre-tokens (a fixed public format).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -187,7 +189,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = [sum(sum(c.sizes(c.pattern.findall(x))) for x in _stretches(t or "", c.pattern)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def edited_counts(docs: DataFrame, edits: str | Callable[[str], list[tuple[int, int, str]]], id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -230,7 +232,7 @@ def edited_counts(docs: DataFrame, edits: str | Callable[[str], list[tuple[int,
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     if isinstance(edits, str):
         columns.append(F.col(edits).cast(EDITS).alias("edits"))
-    return docs.select(*columns).mapInArrow(run, COUNTS)
+    return bounded_batches(docs).select(*columns).mapInArrow(run, COUNTS)
 
 
 _PRIVATE = regex.compile(

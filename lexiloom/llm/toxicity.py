@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, mixed, powers, prefix_hash, steps, word_spans, written
+from .common import FOLD, bounded_batches, mixed, powers, prefix_hash, steps, word_spans, written
 
 #: Labelled documents of either label and unlabelled ones that the models are fitted on at most; voters mined at most.
 FIT_TOXIC, FIT_CLEAN, FIT_OPEN, MINED = 4_000, 8_000, 8_000, 96
@@ -104,7 +104,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     marks = labels.where(take & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     rank = F.xxhash64(F.lit(11), "doc_id")
     few = marks.where("label = 1").orderBy(rank, "doc_id").limit(FIT_TOXIC).unionByName(marks.where("label = 0").orderBy(rank, "doc_id").limit(FIT_CLEAN))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # `few` has at most FIT_TOXIC + FIT_CLEAN rows
     known = rows.join(F.broadcast(few), "doc_id").select("text", "label")
     ids = rows.where(take).select("doc_id").join(marks, "doc_id", "left_anti").orderBy(rank, "doc_id").limit(FIT_OPEN)
@@ -116,7 +116,7 @@ def mine(rows: DataFrame) -> Voters:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in steps(batch, "text", 1 << 20):
+            for a, b, data, offsets in steps(batch, "text", 1 << 18):
                 labels = batch.column("label")[a:b].to_numpy()
                 low, starts, ends, owner = _words(data, offsets)
                 for bucket, doc, n in _buckets(low, starts, ends, owner):
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, take: object, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pickle.loads(packed)
         for batch in batches:
-            for a, b, data, offsets in steps(batch, "text", 1 << 20):
+            for a, b, data, offsets in steps(batch, "text", 1 << 18):
                 hits, words = _counts(data, offsets, v)
                 yield pa.RecordBatch.from_arrays([batch.column("label")[a:b], pa.array(words.astype(np.int64)), pa.array([x.astype(np.int32).tobytes() for x in hits], pa.binary())], ["label", "words", "hits"])
 
@@ -216,11 +216,11 @@ def scored(docs: DataFrame, model: tuple[Voters, np.ndarray], id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, weights = pickle.loads(packed)
         for batch in batches:
-            for a, b, data, offsets in steps(batch, "text", 1 << 20):
+            for a, b, data, offsets in steps(batch, "text", 1 << 18):
                 score = 1 / (1 + np.exp(-np.clip(_features(*_counts(data, offsets, v)) @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
