@@ -17,6 +17,8 @@ from .common import bounded_batches, components, deleted, ids_hint, shingle_sets
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Tokens counted together before they leave a task, the count from which one is told, and frequent tokens that are ranked at most.
 COUNTED, TOLD, RANKED = 3_000_000, 2, 1 << 17
+#: Counts from which on frequent tokens are not told apart when their number is cut.
+HISTOGRAM = 10_000
 #: Shingle sets that a task remembers, to post the tokens of copies once.
 REMEMBERED = 1 << 18
 #: Members of a group that are indexed together, and the ratio of set sizes within a group.
@@ -58,7 +60,15 @@ def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield tell()
 
-    top = rows.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "token").limit(RANKED).toPandas()
+    counts = written(rows.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "jaccard-counts")
+    # the least count above which at most RANKED tokens stand, from a histogram: no task or driver sorts the tokens
+    cut, left = 0, RANKED
+    for row in sorted(counts.groupBy(F.least("c", F.lit(HISTOGRAM)).alias("c")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        left -= row["k"]
+        if left < 0:
+            cut = row["c"]
+            break
+    top = counts.where(F.col("c") > cut).limit(RANKED).toPandas()
     token = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], top["c"].to_numpy()[order]
