@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches hold at most BATCH_BYTES; a smaller setting is left as it is."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key, "0")) <= BATCH_BYTES:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmg]?)b?", df.sparkSession.conf.get(key).lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df
 
