@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, ids_hint, written
 
 #: Weights of sources by code point, repeated; share of all words to take; most copies of a document; ranks a source is cut into.
 WEIGHTS, SHARE, COPIES, CELLS, REFILLS = (3, 1, 2), 1.5, 2, 1024, 3
@@ -58,13 +58,13 @@ def mixed_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by = plan.withColumnRenamed("source", "name")
     odds = F.col("part") / (1 - F.col("part"))
     q = F.col("u") / (1 - F.col("u")) / odds
-    rows = sized.join(by.select("name", "sid", "whole", "part"), F.col("source").eqNullSafe(F.col("name")))
+    rows = sized.join(ids_hint(by.select("name", "sid", "whole", "part")), F.col("source").eqNullSafe(F.col("name")))
     rows = rows.withColumn("v", F.when((F.col("part") > 0) & (F.col("size") > 0), q / (1 + q))).withColumn("extra", F.lit(False))
     rows = rows.select("doc_id", "sid", "size", "whole", "v", "extra")
     for _ in range(1 + REFILLS):
         rows = written(_taken(rows, plan), "mix-pass")
     n_copies = F.col("whole") + F.col("extra").cast("long")
-    return rows.join(plan.select("sid", "source", "source_size", "target"), "sid").select("doc_id", "source", "size", "source_size", "target", (n_copies * F.col("size")).alias("taken"), n_copies.alias("n_copies"))
+    return rows.join(ids_hint(plan.select("sid", "source", "source_size", "target")), "sid").select("doc_id", "source", "size", "source_size", "target", (n_copies * F.col("size")).alias("taken"), n_copies.alias("n_copies"))
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     got = rows.where("extra").groupBy("sid").agg(F.sum("size").alias("got"))
     due = plan.select("sid", "due").join(got, "sid", "left").select("sid", (F.col("due") - F.coalesce("got", F.lit(0))).alias("due"))
     fits = F.when(~F.col("extra") & F.col("v").isNotNull() & (F.col("size") <= F.col("due")), F.floor(F.col("v") * CELLS))
-    ranked = rows.join(due, "sid").withColumn("cell", fits)
+    ranked = rows.join(ids_hint(due), "sid").withColumn("cell", fits)
     cells = ranked.where("cell IS NOT NULL").groupBy("sid", "cell", "due").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("sid").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.withColumn("before", before).where("before <= due").withColumn("whole_cell", F.col("before") + F.col("words") <= F.col("due")).select("sid", "cell", "before", "whole_cell")
