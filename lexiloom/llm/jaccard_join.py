@@ -31,7 +31,8 @@ def linked_length(n: np.ndarray) -> np.ndarray:
 
 
 def _owned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, text, digest): the digest tells texts under one id, or under none, apart."""
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
 
 
 def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +76,7 @@ def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, cls, n, toks): a digest of the shingle set, its size, and its prefix in the global order (rare first).
+    """(doc_id, digest, cls, n, toks): the row, a name of its shingle set, its size, and its prefix in the global order (rare first).
 
     Frequent tokens come last, by count; all others by hash, which is as good as random. A task that meets a set again leaves
     its prefix out: copies add about one posting list a task, not one each.
@@ -108,9 +109,9 @@ def signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Data
                 at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
                 toks = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes).view(np.int64)))
                 names = np.frombuffer(b"".join(cls), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(names), pa.array(sizes, pa.int64()), toks], ["doc_id", "cls", "n", "toks"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("digest")[a:b], pa.array(names), pa.array(sizes, pa.int64()), toks], ["doc_id", "digest", "cls", "n", "toks"])
 
-    return rows.mapInArrow(run, "doc_id long, cls long, n long, toks array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest long, cls long, n long, toks array<long>")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +141,26 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(token[rows]), pa.array(cls[rows]), pa.array(cls[np.repeat(heads, sizes)[rows]])], ["token", "cls", "head"])
 
 
+def shingle_classes(sig: DataFrame) -> DataFrame:
+    """(cls, first, digest, copies, n): the smallest id of a class (null if it has none), one text's digest there, and its rows."""
+    rows = sig.where("n > 0").groupBy("cls", "doc_id", "digest").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    # null ids come last
+    own = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "copies")).alias("own")
+    return rows.groupBy("cls").agg(own, F.first("n").alias("n")).select("cls", F.col("own.doc_id").alias("first"), "own.digest", "own.copies", "n")
+
+
+def class_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, text): one text of each wanted class (cls, first, digest, copies), by id and digest; equal rows under one id count once."""
+
+    def fetched(some: DataFrame) -> DataFrame:
+        some = some.withColumnRenamed("digest", "own_digest")
+        return rows.join(ids_hint(some), rows["doc_id"].eqNullSafe(some["first"]) & (rows["digest"] == some["own_digest"])).select("cls", "text")
+
+    if not wanted.where("copies > 1").limit(1).count():
+        return fetched(wanted)
+    return fetched(wanted.where("copies = 1")).unionByName(fetched(wanted.where("copies > 1")).groupBy("cls").agg(F.first("text").alias("text")))
+
+
 def shared_tokens(sig: DataFrame) -> DataFrame:
     """(token, cls, head) of every prefix token that two or more classes have."""
     postings = sig.where("n > 0").select("cls", F.explode("toks").alias("token"))
@@ -194,9 +215,8 @@ def links_in(opened: DataFrame, groups: DataFrame, rows: DataFrame, classes: Dat
     asks = opened.join(sizes, "g").withColumn("from", F.when(F.col("own") == F.col("g"), block + 1).otherwise(F.lit(0))).where(F.col("from") < F.col("blocks"))
     asks = asks.select("g", F.explode(F.sequence(F.col("from"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "cls")
     dealt = written(members.unionByName(asks), "jaccard-dealt")
-    wanted = written(classes.join(dealt.select("cls").distinct(), "cls", "left_semi").select("cls", "first"), "jaccard-wanted")
-    texts = rows.join(ids_hint(wanted), rows["doc_id"].eqNullSafe(wanted["first"])).select("cls", "text")
-    return dealt.join(texts, "cls").repartition("g", "block").sortWithinPartitions("g", "block", "asks").mapInArrow(_linked, "a long, b long")
+    wanted = written(classes.join(dealt.select("cls").distinct(), "cls", "left_semi").select("cls", "first", "digest", "copies"), "jaccard-wanted")
+    return dealt.join(class_texts(rows, wanted), "cls").repartition("g", "block").sortWithinPartitions("g", "block", "asks").mapInArrow(_linked, "a long, b long")
 
 
 class _Block:
@@ -269,8 +289,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc_id that links reach, itself included. Shingles are compared by 64-bit hashes.
 
     Null texts and texts without words have an empty set, link with nothing and form components of their own. Rows with equal
-    sets form one class, whatever their ids; a repeated id has one row for each of its rows; a null id never names a component
-    that has another id. An empty table gives no rows; other columns are ignored.
+    sets form one class, whatever their ids; a repeated id has one row for each of its rows, whose texts are told apart by 64-bit
+    digests; a null id never names a component that has another id. An empty table gives no rows; other columns are ignored.
 
     Copies are one class, checked once, and named by 64 bits of their digest. Classes that share prefix tokens are partitioned
     into groups of similar ones; the token-group matrix stores each group's token union and bounds the overlap of a class with
@@ -281,9 +301,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _owned(docs, id_col, text_col)
     prefixes = written(signatures(rows, frequent_tokens(rows)), "jaccard-prefixes")
     sig = written(prefixes.select("doc_id", "cls", "n"), "jaccard-sets")
+    classes = written(shingle_classes(prefixes), "jaccard-classes")
     shared = written(shared_tokens(prefixes), "jaccard-shared")
     deleted(prefixes)
-    classes = sig.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
     groups = written(similar_groups(shared, classes), "jaccard-groups")
     opened = written(opened_groups(shared, groups), "jaccard-opened")
     links = links_in(opened, groups, rows, classes)

@@ -107,6 +107,28 @@ def test_jaccard_large_family(spark):
     assert got == brute_groups(rows)
 
 
+def test_jaccard_families_share_ids(spark):
+    """Two families of near copies, and strangers, under one id or none: each text has its own links, in any order of rows."""
+    random.seed(11)
+    bases = [" ".join(random.choice(WORDS) + random.choice("abc") for _ in range(120)) for _ in range(2)]
+    rows = [(i, edited(base, k)) for k in range(1, 4) for i in (7, None) for base in bases]
+    rows += [(20 + f, base) for f, base in enumerate(bases)] + [(i, " ".join(random.choice(WORDS) + "z" for _ in range(90))) for i in (7, None, 7, None)]
+    rows += [rows[0], rows[2], rows[2]]
+    want = brute_groups(rows)
+    assert len({c for *_, c in want}) > 1
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.jaccard_groups(spark.createDataFrame(order, "doc_id long, text string").repartition(3))
+        assert collected(got, "doc_id", "n_shingles", "component_id") == want
+
+
+def test_jaccard_class_texts_are_single(spark):
+    """As many texts as classes, however many rows share an id."""
+    rows = jaccard_join._owned(spark.createDataFrame([(None, f"text number {k % 9}") for k in range(30)], "doc_id long, text string"), "doc_id", "text")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    classes = jaccard_join.shingle_classes(jaccard_join.signatures(rows, none))
+    assert collected(jaccard_join.class_texts(rows, classes), "text") == [(f"text number {k}",) for k in range(9)]
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (6, 6), (9, 8), (8, 7), (7, 5)]
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long"), "t").collect()}
