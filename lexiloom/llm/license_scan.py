@@ -1,10 +1,10 @@
-"""License scans by conditional compression: a block that a template's dictionary shrinks is confirmed by the wording that differs."""
+"""License scans by conditional compression: places that hold a template's wording, ranked by the bytes that its dictionary saves there."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Words one of which a candidate line has (fixed values).
-CUES = ("licen", "copyright", "permission", "warrant", "rights reserved", "redistribut", "public domain", "creative commons", "cc by", "cc0", "spdx", "gnu ", "(c) ")
 #: Templates by license (fixed public wordings, shortened to what identifies them). A name may have several.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -40,10 +38,10 @@ TEMPLATES = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("proprietary", "All rights reserved."),
 )
-#: Least share of a block's compressed bytes that the dictionary must save; most of the template's words that may differ.
+#: Least share of a place's compressed bytes that the dictionary must save; most of the template's words that may differ.
 SAVED, DIFFERENT = 0.25, 0.25
-#: Templates of largest savings that are compared word by word; words of a block at most (longer lines are cut, not dropped).
-RANKED, BLOCK_WORDS = 4, 400
+#: Added words that weigh as much as a missing one where a place is chosen; words that are searched together.
+ADDED, CHUNK_WORDS = 4, 4096
 
 FOUND = "doc_id long, block long, license string, saved double, n_words int, n_missing int, n_added int, differences string"
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*")
@@ -53,104 +51,136 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(number of the first line, text) of stretches of candidate lines; a long stretch is cut in overlapping halves."""
-    low = text.lower()
-    if not any(c in low for c in CUES):
-        return
-    held: list[str] = []
-    first = 0
-    for k, line in enumerate([*text.split("\n"), ""]):
-        low = line.lower()
-        if any(c in low for c in CUES):
-            first = first if held else k
-            held.append(line)
-        elif held:
-            whole = " ".join(held)
-            parts = whole.split()
-            if len(parts) <= BLOCK_WORDS:
-                yield first, whole
-            else:
-                for at in range(0, len(parts) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
-                    yield first, " ".join(parts[at : at + BLOCK_WORDS])
-            held = []
-
-
 class Scanner:
-    """Templates as raw zstandard dictionaries."""
+    """Templates as words to be found and as raw zstandard dictionaries."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, saved: float = SAVED, different: float = DIFFERENT):
-        self.saved, self.different = saved, different
-        self.templates = [(name, words(text)) for name, text in templates]
+        self.saved = saved
+        self.templates = [(name, w) for name, text in templates if (w := words(text))]
+        self.most = [int(different * len(w)) for _, w in self.templates]
+        # long words first: they are the ones that other texts lack
+        self.distinct = [sorted(set(w), key=lambda x: (-len(x), x)) for _, w in self.templates]
+        ids = {w: k for k, w in enumerate(sorted({x for _, w in self.templates for x in w}))}
+        self.ids, self.wanted = ids, [[ids[x] for x in w] for _, w in self.templates]
+        # a place has at most ADDED added words for each of the template's
+        self.reach = (1 + ADDED) * max((len(w) for _, w in self.templates), default=0)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
         # a raw dictionary is plain text that matches may point into; short ones are padded, as zstandard wants 8 bytes
         self.primed = [zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in self.templates]
 
-    def best(self, block: str) -> tuple | None:
-        """(license, saved, words, missing, added, differences) of the confirmed template that saves most, or None.
-
-        The wording decides among the RANKED best savings: of the template's words, in order, as many must stand in the block as
-        DIFFERENT allows; the one with the fewest differences wins, then the larger saving, then the earlier template.
+    def may_stand(self, k: int, own: str | set[str]) -> bool:
+        """Whether a text (or its words) lacks no more of template k's distinct words than may differ."""
+        lacking = 0
+        for w in self.distinct[k]:
+            if w not in own:
+                lacking += 1
+                if lacking > self.most[k]:
+                    return False
+        return True
+
+    def notices(self, text: str) -> list[tuple]:
+        """(line, license, saved, words, missing, added, differences) of every notice, in order of place.
+
+        Every template whose words may stand in the text is searched for. Of confirmed places that overlap, the one with the
+        fewest differences stays, then the longer one, the larger saving, the earlier template.
         """
-        own = words(block)
+        low = text.lower()
+        may = [k for k in range(len(self.templates)) if self.may_stand(k, low)]
+        if not may:
+            return []
+        spans = [m.span() for m in _WORD.finditer(low)]
+        own = [low[a:b] for a, b in spans]
+        found = {}
+        for at in range(0, max(1, len(own) - self.reach), CHUNK_WORDS):
+            part = own[at : at + CHUNK_WORDS + self.reach]
+            ids = np.array([self.ids.get(w, -1) for w in part], np.int64)
+            for k in may:
+                for a, b, missing, added in self._places(k, part, ids):
+                    saving = self._saving(k, part[a:b])
+                    if saving >= self.saved or not (missing or added):
+                        found[at + a, at + b, k] = len(missing) + len(added), a - b, -saving, k, at + a, at + b, missing, added
+        kept: list[tuple] = []
+        taken = np.zeros(len(own), bool)
+        for row in sorted(found.values(), key=lambda x: x[:5]):
+            _, _, saving, k, a, b, missing, added = row
+            if not taken[a:b].any():
+                taken[a:b] = True
+                differences = " ".join([*("-" + w for w in missing), *("+" + w for w in added)])
+                kept.append((a, -saving, k, len(missing), len(added), differences))
+        out, line, before = [], 0, 0
+        for a, saving, k, missing, added, differences in sorted(kept):
+            line, before = line + low.count("\n", before, spans[a][0]), spans[a][0]
+            out.append((line, self.templates[k][0], saving, len(self.templates[k][1]), missing, added, differences))
+        return out
+
+    def _saving(self, k: int, own: list[str]) -> float:
         raw = " ".join(own).encode()
         alone = len(self.plain.compress(raw))
-        ranked = sorted((-(alone - len(c.compress(raw))) / alone, k) for k, c in enumerate(self.primed))[:RANKED]
-        found = []
-        for saving, k in ranked:
-            if -saving < self.saved and not _within(self.templates[k][1], own):
+        return (alone - len(self.primed[k].compress(raw))) / alone
+
+    def _places(self, k: int, own: list[str], ids: np.ndarray) -> Iterator[tuple[int, int, list[str], list[str]]]:
+        """(first word, end word, missing, added) of separate places where template k stands with enough of its words."""
+        rest = [(0, len(own))]
+        while rest:
+            a, b = rest.pop()
+            if b - a < len(self.wanted[k]) - self.most[k] or not self.may_stand(k, set(own[a:b])):
                 continue
-            name, want = self.templates[k]
-            missing, added = _differences(want, own)
-            if len(missing) <= self.different * len(want):
-                found.append((len(missing) + len(added), saving, k, name, len(want), missing, added))
-        if not found:
-            return None
-        _, saving, _, name, n, missing, added = min(found)
-        return name, -saving, n, len(missing), len(added), " ".join([*("-" + w for w in missing), *("+" + w for w in added)])
+            if place := _aligned(self.wanted[k], ids[a:b], self.most[k]):
+                first, end, missing, added = place
+                yield a + first, a + end, [self.templates[k][1][i] for i in missing], [own[a + j] for j in added]
+                rest += [(a, a + first), (a + end, b)]
 
 
-def _within(want: list[str], own: list[str]) -> bool:
-    return any(own[i : i + len(want)] == want for i in range(len(own) - len(want) + 1))
+def _aligned(want: list[int], own: np.ndarray, most: int) -> tuple[int, int, list[int], list[int]] | None:
+    """(first, end, missing positions of want, added positions of own) of the stretch of own that want fits best, in order, with
+    at most `most` words missing; None if there is no such stretch.
 
-
-def _differences(want: list[str], own: list[str]) -> tuple[list[str], list[str]]:
-    """(words of the template that the block lacks, words that the block has between the template's first and last)."""
-    missing, added = [], []
-    ops = difflib.SequenceMatcher(None, want, own, autojunk=False).get_opcodes()
-    for k, (op, a, b, c, d) in enumerate(ops):
-        if op in ("delete", "replace"):
-            missing += want[a:b]
-        if op in ("insert", "replace") and 0 < k < len(ops) - 1:
-            added += own[c:d]
-    return missing, added
+    cost[i, j] is that of the first i words of want against the best stretch that ends before own[j]; its low half counts missing
+    words.
+    """
+    one, lack = 1 << 32, (ADDED << 32) + 1
+    run = np.arange(len(own) + 1, dtype=np.int64) * one
+    cost = np.zeros((len(want) + 1, len(own) + 1), np.int64)
+    for i, w in enumerate(want):
+        row = cost[i] + lack
+        row[1:] = np.minimum(row[1:], np.where(own == w, cost[i, :-1], row[1:]))
+        cost[i + 1] = np.minimum.accumulate(row - run) + run
+    good = np.flatnonzero((cost[-1] & (one - 1)) <= most)
+    if not len(good):
+        return None
+    i, j = len(want), int(good[np.argmin(cost[-1, good])])
+    end, missing, added = j, [], []
+    while i:
+        if j and own[j - 1] == want[i - 1] and cost[i, j] == cost[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+        elif cost[i, j] == cost[i - 1, j] + lack:
+            i -= 1
+            missing.append(i)
+        else:
+            j -= 1
+            added.append(j)
+    return j, end, missing[::-1], added[::-1]
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per license notice: (doc_id, block, license, saved, n_words, n_missing, n_added, differences).
 
-    A candidate block is a stretch of lines that have a cue word. It is compressed alone and with every template as a raw
-    zstandard dictionary; the templates are ranked by the share of bytes they save, and the best are confirmed by their exact
-    differences in wording (`-` missing, `+` added). block is the number of its first line; n_words counts the template's words.
+    A notice is a place where a template's words stand in order, over any line breaks, with at most DIFFERENT of them missing.
+    saved is the share of its compressed bytes that the template saves as a raw zstandard dictionary; places that are not exact
+    must save SAVED. differences has the exact ones in wording (`-` missing, `+` added). block is the number of the line on
+    which the notice starts; n_words counts the template's words.
 
-    Null and empty texts and texts without a cue give no rows; repeated rows give repeated rows; null ids are kept; an empty
-    table gives no rows; other columns are ignored. Ties go to fewer differences, larger savings, earlier templates. All lines
-    of a text are read; blocks over BLOCK_WORDS words are cut in overlapping windows, so none is dropped.
+    Null and empty texts give no rows; repeated rows give repeated rows; null ids are kept; an empty table gives no rows; other
+    columns are ignored. All templates are searched for in all of a text, and all separate places are returned; of places that
+    overlap one stays: fewer differences, then more words, larger savings, earlier templates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        known: dict[str, tuple | None] = {}
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for first, block in blocks(text or ""):
-                    if block not in known:
-                        if len(known) > 10_000:
-                            known.clear()
-                        known[block] = scanner.best(block)
-                    if known[block]:
-                        out.append((doc_id, first, *known[block]))
+                out += [(doc_id, *notice) for notice in scanner.notices(text or "")]
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])

@@ -1,6 +1,7 @@
 """License scan, decontamination, language, tokens, chat and toxicity, with odd rows."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -152,6 +153,19 @@ def test_license_scan(spark, odd):
     assert "Apache-2.0" in {r.license for r in license_scan.license_scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()}
 
 
+def test_license_notices_over_lines(spark):
+    """Verbatim notices wrapped at 60 characters behind comment marks, and with cue words split by a line end."""
+    rows, want = [], []
+    for k, (name, text) in enumerate(license_scan.TEMPLATES):
+        lines = textwrap.wrap(text, 60, break_long_words=False, break_on_hyphens=False)
+        rows.append((k, "int x;\n\n" + "\n".join(" * " + x for x in lines) + "\n\nint y;"))
+        want.append((k, 2, name, 0, 0))
+    rows.append((50, "All rights\n# reserved.\nThis is free and unencumbered software released into the public\ndomain."))
+    want += [(50, 0, "proprietary", 0, 0), (50, 2, "Unlicense", 0, 0)]
+    got = [(r.doc_id, r.block, r.license, r.n_missing, r.n_added) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == want
+
+
 def test_chat_roles(spark, sf_dir):
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = chat_format.chat_format(conversations).collect()
