@@ -166,6 +166,23 @@ def test_license_notices_over_lines(spark):
     assert sorted(got) == want
 
 
+def test_license_notices_in_long_lines(documents):
+    """Every short notice is found in a long line of prose, also with a word changed, and next to others."""
+    scanner = license_scan.Scanner()
+    prose = [w for r in documents.where("lang = 'en'").select("text").collect() for w in (r.text or "").split() if not license_scan.words(w) or license_scan.words(w)[0].isalpha()]
+    prose = [w for w in prose if not any(c in w.lower() for c in ("licen", "reserved", "copyright"))]
+    r = random.Random(1)
+    for name, text in license_scan.TEMPLATES:
+        for _ in range(3):
+            at = r.randrange(len(prose) - 400)
+            line = " ".join([*prose[at : at + 200], text, *prose[at + 200 : at + 400]])
+            assert [(n[1], n[4]) for n in scanner.notices(line) if n[4] == 0] == [(name, 0)]
+    line = " ".join([*prose[:300], "Licenced under CC BY-SA 4.0.", *prose[300:600]])
+    assert [(n[1], n[4], n[5], n[6]) for n in scanner.notices(line)] == [("CC-BY-SA-4.0", 1, 0, "-licensed")]
+    both = "Licensed under CC BY 4.0.\nReleased under the MIT License. All rights reserved.\n" + "copyright words " * 4000 + "All rights reserved."
+    assert [(n[0], n[1]) for n in scanner.notices(both)] == [(0, "CC-BY-4.0"), (1, "MIT"), (1, "proprietary"), (2, "proprietary")]
+
+
 def test_chat_roles(spark, sf_dir):
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = chat_format.chat_format(conversations).collect()
