@@ -27,7 +27,7 @@ _FOLD = np.where(_LETTER, FOLD, 32).astype(np.uint8)
 
 @dataclass
 class Filters:
-    """languages by bit; masks: a slot's languages; rates: of the slots that an unrelated n-gram hits by chance, per language."""
+    """languages by bit; masks: a slot's languages, 64 in each row; rates: of the slots that an unrelated n-gram hits by chance, per language."""
 
     languages: list[str]
     masks: np.ndarray
@@ -64,22 +64,23 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     """Filters from at most docs_per_language documents of each language, those of smallest hash; None where there are none.
 
     What reaches the driver is KEPT n-grams per language and length, whatever the corpus. Rows without text or language don't
-    count. At most 64 languages: the most frequent ones, ties by name.
+    count. All languages are learned; each 64 of them take 8 bytes a slot.
     """
     rows = bounded_batches(labelled).where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), F.col(order_col), F.col(text_col)).alias("h"))
-    seen = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
-    if not seen:
+    seen = written(rows.groupBy("lang").count(), "lang-names")
+    names = sorted(r["lang"] for r in seen.select("lang").collect())
+    if not names:
         return None
-    names = [r["lang"] for r in seen]
+    bit = {x: k for k, x in enumerate(names)}
     # cut by hash first (about twice the bound, so that no sort sees a whole language), then exactly
-    share = F.create_map(*[x for r in seen for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 2 * docs_per_language / r["count"]) * 2**53)))])
-    few = rows.where(F.col("lang").isin(names) & (F.shiftrightunsigned("h", 11) <= share[F.col("lang")]))
+    share = (F.least(F.lit(1.0), F.lit(2.0 * docs_per_language) / F.col("count")) * F.lit(float(2**53))).cast("long")
+    few = rows.join(F.broadcast(seen), "lang").where(F.shiftrightunsigned("h", 11) <= share)
     few = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= docs_per_language).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in steps(batch, "text", 1 << 18):
-                langs = np.array([names.index(x) for x in batch.column("lang")[a:b].to_pylist()])
+                langs = np.array([bit[x] for x in batch.column("lang")[a:b].to_pylist()])
                 for n in LENGTHS:
                     grams, owner = _grams(data, offsets, n)
                     for k in np.unique(langs[owner]):
@@ -92,12 +93,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     best = rates.groupBy("n", "gram").agg(F.max("rate").alias("best"))
     own = rates.where("c >= 2").join(best, ["n", "gram"]).where(F.col("rate") >= SHARE * F.col("best"))
     top = own.withColumn("i", F.row_number().over(Window.partitionBy("n", "k").orderBy(F.desc("c"), "gram"))).where(F.col("i") <= KEPT).select("n", "k", "gram")
-    kept = top.toPandas()  # at most 64 languages * lengths * KEPT rows
-    masks = np.zeros(SLOTS, np.uint64)
-    grams, bits = kept["gram"].to_numpy().astype(np.int64).view(np.uint64), np.uint64(1) << kept["k"].to_numpy().astype(np.uint64)
+    kept = top.toPandas()  # at most languages * lengths * KEPT rows
+    masks = np.zeros((-(-len(names) // 64), SLOTS), np.uint64)
+    grams, k = kept["gram"].to_numpy().astype(np.int64).view(np.uint64), kept["k"].to_numpy().astype(np.int64)
+    bits = np.uint64(1) << (k % 64).astype(np.uint64)
     for s in _slots(grams, SLOTS):
-        np.bitwise_or.at(masks, s, bits)
-    filled = np.array([np.count_nonzero(masks >> np.uint64(k) & np.uint64(1)) / SLOTS for k in range(len(names))])
+        np.bitwise_or.at(masks, (k // 64, s), bits)
+    filled = np.array([np.count_nonzero(masks[k // 64] >> np.uint64(k % 64) & np.uint64(1)) / SLOTS for k in range(len(names))])
     return Filters(names, masks, filled**HASHES, SLOTS)
 
 
@@ -108,10 +110,10 @@ def scored(data: np.ndarray, offsets: np.ndarray, f: Filters) -> tuple[np.ndarra
     for n in LENGTHS:
         grams, owner = _grams(data, offsets, n)
         a, b, c = _slots(grams, f.slots)
-        mask = f.masks[a] & f.masks[b] & f.masks[c]
+        mask = [m[a] & m[b] & m[c] for m in f.masks]
         total += np.bincount(owner, minlength=docs)
         for k in range(kinds):
-            hits[:, k] += np.bincount(owner[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=docs)
+            hits[:, k] += np.bincount(owner[(mask[k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=docs)
     # of t n-grams a language that holds h of them shows h + (t - h) * rate
     real = np.clip((hits - total[:, None] * f.rates) / (1 - f.rates), 0, None)
     sums = real.sum(axis=1)

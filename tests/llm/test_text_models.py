@@ -88,6 +88,16 @@ def test_language_accuracy(documents, odd):
     assert language_id.language_id(documents.limit(0)).count() == 0
 
 
+def test_more_languages_than_bits(spark):
+    """Every one of 70 languages is learned and told, also the rarest."""
+    r = random.Random(8)
+    vocabulary = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for _ in range(70)]
+    rows = [(k * 10 + i, " ".join(r.choice(vocabulary[k]) for _ in range(40)), f"l{k:02}") for k in range(70) for i in range(2 + (k < 64))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in language_id.predicted(df, language_id.fit(df)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_bloom_finds_all_kept_grams():
     """A Bloom filter has no false negatives: an n-gram's mask holds every language that keeps it."""
     masks = np.zeros(language_id.SLOTS, np.uint64)
