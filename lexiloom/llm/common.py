@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
 import re
-import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +27,44 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a new one of our own is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a local session may leave it unset: its one machine then has
+    a folder of its own below the working directory of Spark."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + os.path.join(spark.sparkContext._temp_dir, "lexiloom-tables")
     return found.rstrip("/")
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context: a zip in the shared folder, which Spark hands to every Python worker."""
+    context = spark.sparkContext
+    if getattr(context, "_lexiloom_shipped", False):
+        return
+    context._lexiloom_shipped = True
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lexiloom-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    context.addPyFile(path.toString())
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold at most BATCH_BYTES; a smaller setting is left as it is."""
+    """df, ready for Python operators: executors have this package, and Arrow batches hold at most BATCH_BYTES.
+
+    The bound is a setting of the session, read when a plan runs, and so stays set; a smaller one is left as it is.
+    """
+    shipped(df.sparkSession)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     number, unit = re.fullmatch(r"(\d+)\s*([kmg]?)b?", df.sparkSession.conf.get(key).lower()).groups()
     if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
@@ -49,12 +80,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def deleted(table: DataFrame) -> None:
-    """Takes away the files of a table from written() whose results have all been written themselves."""
-    jvm = table.sparkSession._jvm
-    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def deleted(*tables: DataFrame) -> None:
+    """Takes away the files of tables from written() whose results have all been written themselves."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ids_hint(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -133,12 +165,42 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """At every byte, and behind the last, the little-endian integer of the eight bytes from there on; 0 bytes follow the data."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+_KEPT_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 256
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words; equal bytes have equal hashes, different ones differ but for about 1 in 2**64 pairs."""
+    """64-bit hashes of words; equal bytes have equal hashes, different ones differ but for about 1 in 2**64 pairs.
+
+    Eight bytes at a time are mixed into the hash by a finaliser that is no polynomial, so that no pattern of bytes cancels.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p = prefix_hash(data)
-    return mixed((p[ends] - p[starts]) * powers(len(data) + 1, True)[starts] + (ends - starts).astype(np.uint64))
+    eight, sizes = lanes(data), ends - starts
+    h = mixed(sizes.astype(np.uint64) + np.uint64(BASE))
+    at, begin, rest, taken = None, starts, sizes, 0
+    while True:
+        v = eight[begin] & _KEPT_BYTES[np.minimum(rest, 8)]
+        if at is None:
+            h = mixed(h ^ v)
+            at = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+        else:
+            h[at] = mixed(h[at] ^ v)
+            at = at[rest > 8]
+        if not len(at):
+            break
+        taken += 8
+        begin = starts[at] + taken
+        rest = ends[at] - begin
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -159,12 +221,21 @@ def short_hash(words: np.ndarray) -> np.ndarray:
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> Iterator[np.ndarray]:
     """For each document its set of n-word shingles as sorted hashes: A-Z lower-cased; a shorter text is one shingle; no words, empty."""
+    for found, _ in named_sets(data, offsets, n):
+        yield found
+
+
+def named_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> Iterator[tuple[np.ndarray, bytes]]:
+    """shingle_sets() with a 128-bit name of each set: of its hashes, or of the words themselves where it has one shingle only, as
+    sets of two and more differ in several 64-bit hashes at once."""
     data = FOLD[data]
     starts, ends, firsts = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
     shingles = shingle_hashes(words, n)
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
-        yield np.unique(shingles[a : b - n + 1]) if b - a >= n else short_hash(words[a:b]) if b > a else np.zeros(0, np.uint64)
+        found = np.unique(shingles[a : b - n + 1]) if b - a >= n else short_hash(words[a:b]) if b > a else np.zeros(0, np.uint64)
+        own = found.tobytes() if len(found) != 1 else b" ".join(data[starts[k] : ends[k]].tobytes() for k in range(a, min(b, a + n)))
+        yield found, hashlib.blake2b(own, digest_size=16).digest()
 
 
 def components(links: DataFrame, name: str) -> DataFrame:
@@ -181,7 +252,8 @@ def components(links: DataFrame, name: str) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         next_edges = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(next_edges, f"{name}-edges")
+        last, edges = edges, written(next_edges, f"{name}-edges")
+        deleted(last)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if now == before:
             break

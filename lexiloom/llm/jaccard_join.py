@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -11,18 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, deleted, ids_hint, shingle_sets, steps, written
+from .common import bounded_batches, components, deleted, ids_hint, named_sets, shingle_sets, steps, written
 
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Tokens counted together before they leave a task, the count from which one is told, and frequent tokens that are ranked at most.
 COUNTED, TOLD, RANKED = 3_000_000, 2, 1 << 17
-#: Counts from which on frequent tokens are not told apart when their number is cut.
-HISTOGRAM = 10_000
+#: Counts up to which frequent tokens are told apart one by one when their number is cut, and steps for each doubling above.
+HISTOGRAM, OCTAVE = 10_000, 1_000
 #: Shingle sets that a task remembers, to post the tokens of copies once.
 REMEMBERED = 1 << 18
-#: Members of a group that are indexed together, and the ratio of set sizes within a group.
-BLOCK, SIZE_STEP = 256, 1.15
+#: Members of a group that are indexed together, members of one component that make blocks of their own, and the ratio of set sizes
+#: within a group.
+BLOCK, LARGE, SIZE_STEP = 256, 64, 1.15
 
 
 def linked_length(n: np.ndarray) -> np.ndarray:
@@ -62,56 +62,63 @@ def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield tell()
 
     counts = written(rows.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "jaccard-counts")
-    # the least count above which at most RANKED tokens stand, from a histogram: no task or driver sorts the tokens
+    # the least bin of counts above which at most RANKED tokens stand: no task or driver sorts the tokens
+    fine = F.when(F.col("c") <= HISTOGRAM, F.col("c")).otherwise(HISTOGRAM + F.floor(F.log2(F.col("c") / HISTOGRAM) * OCTAVE)).cast("long")
     cut, left = 0, RANKED
-    for row in sorted(counts.groupBy(F.least("c", F.lit(HISTOGRAM)).alias("c")).agg(F.count("*").alias("k")).collect(), reverse=True):
+    for row in sorted(counts.groupBy(fine.alias("bin")).agg(F.count("*").alias("k")).collect(), reverse=True):
         left -= row["k"]
         if left < 0:
-            cut = row["c"]
+            cut = row["bin"]
             break
-    top = counts.where(F.col("c") > cut).limit(RANKED).toPandas()
+    top = counts.where(fine > cut).toPandas()  # at most RANKED rows
+    deleted(counts)
     token = top["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], top["c"].to_numpy()[order]
 
 
 def signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, digest, cls, n, toks): the row, a name of its shingle set, its size, and its prefix in the global order (rare first).
+    """(doc_id, digest, cls, cls2, n, toks, hot): the row, a 128-bit name of its shingle set, its size, and its prefix in the global
+    order (rare first); hot has what is frequent in the prefix.
 
     Frequent tokens come last, by count; all others by hash, which is as good as random. A task that meets a set again leaves
-    its prefix out: copies add about one posting list a task, not one each.
+    its prefix out: copies add about one posting list a task, not one each. Sets of one or two link with equal sets only, which
+    are their class, and so have no prefix.
     """
     sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps(frequent))  # at most RANKED tokens
+    none = np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = pickle.loads(sent.value)
         seen: set[bytes] = set()
         for batch in batches:
             for a, b, data, offsets in steps(batch, "text"):
-                cls, sizes, prefixes = [], [], []
-                for s in shingle_sets(data, offsets, SHINGLE):
+                names, sizes, toks, hot = [], [], [], []
+                for s, name in named_sets(data, offsets, SHINGLE):
                     n = len(s)
-                    cls.append(name := hashlib.blake2b(s.tobytes(), digest_size=8).digest())
+                    names.append(name)
                     sizes.append(n)
-                    keep = int(linked_length(n)) if name not in seen else 0
+                    keep = int(linked_length(n)) if n > 2 and name not in seen else 0
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(name)
+                    often = none
                     if len(known) and keep:
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        often = known[at] == s
-                        rare = s[~often]
-                        if len(rare) < keep:
-                            rest = s[often]
-                            rare = np.concatenate([rare, rest[np.argsort(counts[at[often]], kind="stable")]])
-                        s = rare
-                    prefixes.append(s[:keep])
-                at = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-                toks = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(prefixes).view(np.int64)))
-                names = np.frombuffer(b"".join(cls), np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("digest")[a:b], pa.array(names), pa.array(sizes, pa.int64()), toks], ["doc_id", "digest", "cls", "n", "toks"])
-
-    return rows.mapInArrow(run, "doc_id long, digest long, cls long, n long, toks array<long>")
+                        told = known[at] == s
+                        if (n - told.sum()) < keep:
+                            often = s[told][np.argsort(counts[at[told]], kind="stable")][: keep - (n - told.sum())]
+                        s = s[~told]
+                    toks.append(s[:keep])
+                    hot.append(often)
+                lists = []
+                for x in (toks, hot):
+                    at = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(x).view(np.int64))))
+                halves = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("digest")[a:b], pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(sizes, pa.int64()), *lists], ["doc_id", "digest", "cls", "cls2", "n", "toks", "hot"])
+
+    return rows.mapInArrow(run, "doc_id long, digest long, cls long, cls2 long, n long, toks array<long>, hot array<long>")
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,29 +149,51 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_classes(sig: DataFrame) -> DataFrame:
-    """(cls, first, digest, copies, n): the smallest id of a class (null if it has none), one text's digest there, and its rows."""
-    rows = sig.where("n > 0").groupBy("cls", "doc_id", "digest").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    """(cls, cls2, alike, first, digest, copies, n): the second half of a class's name, and whether all its rows have it; the smallest
+    id of the class (null if it has none), the digest of one text there, and that text's rows."""
+    rows = sig.where("n > 0").groupBy("cls", "cls2", "doc_id", "digest").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
     # null ids come last
     own = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "copies")).alias("own")
-    return rows.groupBy("cls").agg(own, F.first("n").alias("n")).select("cls", F.col("own.doc_id").alias("first"), "own.digest", "own.copies", "n")
+    grouped = rows.groupBy("cls").agg(own, F.first("n").alias("n"), F.min("cls2").alias("cls2"), (F.min("cls2") == F.max("cls2")).alias("alike"))
+    return grouped.select("cls", "cls2", "alike", F.col("own.doc_id").alias("first"), "own.digest", "own.copies", "n")
+
+
+def named_apart(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prefixes, classes), both written: sets whose names agree in 64 bits but not in 128 get another class."""
+    while True:
+        classes = written(shingle_classes(prefixes), "jaccard-classes")
+        clash = classes.where("NOT alike").select("cls", F.col("cls2").alias("least"))
+        if clash.isEmpty():
+            return prefixes, classes
+        other = F.when(F.col("cls2") != F.col("least"), F.xxhash64("cls", "cls2")).otherwise(F.col("cls"))
+        renamed = prefixes.join(clash, "cls", "left").select(*[other.alias(c) if c == "cls" else F.col(c) for c in prefixes.columns])
+        prefixes = written(renamed, "jaccard-prefixes")
 
 
 def class_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, text): one text of each wanted class (cls, first, digest, copies), by id and digest; equal rows under one id count once."""
+    """(cls, cls2, text): the text of each wanted class (cls, cls2, first, digest, copies), by id and digest; equal rows count once."""
 
     def fetched(some: DataFrame) -> DataFrame:
         some = some.withColumnRenamed("digest", "own_digest")
-        return rows.join(ids_hint(some), rows["doc_id"].eqNullSafe(some["first"]) & (rows["digest"] == some["own_digest"])).select("cls", "text")
+        return rows.join(ids_hint(some), rows["doc_id"].eqNullSafe(some["first"]) & (rows["digest"] == some["own_digest"])).select("cls", "cls2", "text")
 
-    if not wanted.where("copies > 1").limit(1).count():
+    if wanted.where("copies > 1").isEmpty():
         return fetched(wanted)
-    return fetched(wanted.where("copies = 1")).unionByName(fetched(wanted.where("copies > 1")).groupBy("cls").agg(F.first("text").alias("text")))
+    return fetched(wanted.where("copies = 1")).unionByName(fetched(wanted.where("copies > 1")).dropDuplicates(["cls", "text"]))
 
 
 def shared_tokens(sig: DataFrame) -> DataFrame:
-    """(token, cls, head) of every prefix token that two or more classes have."""
-    postings = sig.where("n > 0").select("cls", F.explode("toks").alias("token"))
-    return postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_met, "token long, cls long, head long")
+    """(token, cls, head) of every prefix token that two or more classes have; head is the least of them.
+
+    Frequent tokens, RANKED at most, find their heads by a map-side aggregation and get them back by broadcast, so that no task
+    sees all postings of one of them. All other tokens are dealt by token and streamed.
+    """
+    rows = sig.where("n > 2")
+    postings = rows.select("cls", F.explode("toks").alias("token"))
+    met = postings.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_met, "token long, cls long, head long")
+    hot = rows.select(F.explode("hot").alias("token"), "cls")
+    heads = hot.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("most")).where("head <> most").select("token", "head")
+    return met.unionByName(hot.join(F.broadcast(heads), "token").distinct().select("token", "cls", "head"))
 
 
 def _enough(overlap, n1, n2):
@@ -202,21 +231,73 @@ def opened_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return met.join(facts, "g2").where(sized & _enough(reach, F.col("n"), smallest)).select("cls", F.col("g").alias("own"), F.col("g2").alias("g"))
 
 
-def links_in(opened: DataFrame, groups: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): links that connect whatever is linked between classes and the groups that they open, on whole sets.
+def _dealt(table: DataFrame, rows: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """(a, b), written: the links found in a table (k, asks, cls): whoever asks in block k is compared with its members."""
+    dealt = written(table, "jaccard-dealt")
+    wanted = written(classes.join(dealt.select("cls").distinct(), "cls", "left_semi").select("cls", "cls2", "first", "digest", "copies"), "jaccard-wanted")
+    texts = class_texts(rows, wanted).join(ids_hint(dealt), "cls").select("k", "asks", "cls", "cls2", "text")
+    links = written(texts.repartition("k").sortWithinPartitions("k", "asks").mapInArrow(_linked, "a long, b long"), name)
+    deleted(dealt, wanted)
+    return links
+
+
+def connected(opened: DataFrame, groups: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, root) of every class with a link: root is the same for whatever links connect, on whole sets.
+
+    First, each group's members are dealt into blocks of about BLOCK, in which all links are found; the least member of a group
+    stands for it and also asks every block of the groups that its own one opens. What these links connect has one label.
 
-    A group's members are dealt into blocks of about BLOCK. Each block is indexed once; members and the classes that ask are
-    looked up in it, and a class has one link to each part of the block that it is linked with.
+    Then only pairs under different labels are left. Members are dealt anew, many of one label into blocks of their own, the rest
+    into mixed blocks; a class asks a block only if that holds another label than its own. However large a family of near
+    copies is, its members meet in one label first, and are not compared with each other again.
     """
     active = opened.select("g").distinct()
-    sizes = groups.join(active, "g").groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    members = written(groups.join(sizes, "g").select("g", block.alias("block"), F.lit(0).alias("asks"), "cls"), "jaccard-members")
-    asks = opened.join(sizes, "g").withColumn("from", F.when(F.col("own") == F.col("g"), block + 1).otherwise(F.lit(0))).where(F.col("from") < F.col("blocks"))
-    asks = asks.select("g", F.explode(F.sequence(F.col("from"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "cls")
-    dealt = written(members.unionByName(asks), "jaccard-dealt")
-    wanted = written(classes.join(dealt.select("cls").distinct(), "cls", "left_semi").select("cls", "first", "digest", "copies"), "jaccard-wanted")
-    return dealt.join(class_texts(rows, wanted), "cls").repartition("g", "block").sortWithinPartitions("g", "block", "asks").mapInArrow(_linked, "a long, b long")
+    sizes = groups.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("cls").alias("lead"))
+    sizes = written(sizes, "jaccard-sizes")
+    # few groups have more than a block, so that a large one is not dealt by its number alone
+    in_block = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.col("blocks"))).cast("int")
+    members = groups.select("g", "cls").join(active, "g", "left_semi").join(ids_hint(sizes.where("blocks > 1").select("g", "blocks")), "g", "left")
+    members = written(members.select("g", "cls", in_block.alias("block"), F.coalesce("blocks", F.lit(1)).alias("blocks")), "jaccard-members")
+    pairs = opened.select("own", "g").distinct().join(sizes.select(F.col("g").alias("own"), "lead"), "own").join(sizes.select("g", "blocks"), "g").where("own <> g OR blocks > 1")
+    leads = pairs.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("cls")).select(F.xxhash64("g", "block").alias("k"), F.lit(1).alias("asks"), "cls")
+    first = _dealt(members.select(F.xxhash64("g", "block").alias("k"), F.lit(0).alias("asks"), "cls").unionByName(leads), rows, classes, "jaccard-first")
+
+    label = written(components(first, "jaccard-labels").select(F.col("node").alias("cls"), F.col("root").alias("label")), "jaccard-label")
+    members = members.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    kinds = written(members.groupBy("g", "label").agg(F.count("*").alias("c")), "jaccard-kinds")
+    large = kinds.where(F.col("c") >= LARGE).select("g", F.lit(True).alias("large"), F.col("label").alias("low"), F.col("label").alias("high"), "c")
+    mixed = kinds.where(F.col("c") < LARGE).groupBy("g").agg(F.lit(False).alias("large"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("c").alias("c"))
+    parts = large.unionByName(mixed).select("g", "large", "low", "high", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    parts = written(parts, "jaccard-parts")
+    big = ids_hint(kinds.where(F.col("c") >= LARGE).select("g", "label", F.lit(True).alias("large")))
+    placed = written(members.join(big, ["g", "label"], "left").withColumn("large", F.coalesce("large", F.lit(False))), "jaccard-placed")
+
+    # who asks: another group's part under another label; in one's own group, if it had several blocks, the parts of greater labels
+    # from a large label, all other ones from the mixed part, of which only the later blocks
+    asked = opened.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")).select("cls", "own", "g", "label")
+    other = asked.where("own <> g").join(parts, "g").where("NOT (low = label AND high = label)").withColumn("from", F.lit(0))
+    inner = placed.where("blocks > 1").select("cls", "g", "label", F.col("large").alias("mine")).join(parts, "g")
+    inner = inner.where("(mine AND large AND low > label) OR (NOT mine AND large) OR (NOT mine AND NOT large AND low <> high)")
+    inner = inner.withColumn("from", F.when(F.col("large"), 0).otherwise(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int") + 1)).where(F.col("from") < F.col("parts"))
+    to = lambda df: df.select("g", "large", F.when(F.col("large"), F.col("low")).alias("part"), F.explode(F.sequence(F.col("from"), F.col("parts") - 1)).alias("block"), "cls")
+    asks = written(to(other).unionByName(to(inner)), "jaccard-asks")
+    # the parts that are asked, and mixed parts of groups that had several blocks, as their members meet in new blocks
+    needed = asks.select("g", "large", "part").distinct().unionByName(placed.where("blocks > 1 AND NOT large").select("g", "large", F.lit(None).cast("long").alias("part")).distinct()).distinct()
+    if needed.isEmpty():
+        return label.withColumnRenamed("label", "root")
+    on = (F.col("g") == F.col("g_")) & (F.col("large") == F.col("large_")) & F.col("part").eqNullSafe(F.col("part_"))
+    of = lambda df: df.select("g", "large", F.when(F.col("large"), F.col("low")).alias("part"), "parts")
+    needed = of(parts).join(needed.toDF("g_", "large_", "part_"), on, "left_semi")
+    homes = placed.withColumn("part", F.when(F.col("large"), F.col("label"))).join(ids_hint(written(needed, "jaccard-needed")).toDF("g_", "large_", "part_", "parts"), on)
+    key = F.xxhash64("g", "large", F.coalesce("part", F.lit(0)), "block")
+    homes = homes.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).select(key.alias("k"), F.lit(0).alias("asks"), "cls")
+    second = _dealt(homes.unionByName(asks.select(key.alias("k"), F.lit(1).alias("asks"), "cls")), rows, classes, "jaccard-second")
+    # what is left are links between labels
+    for c in ("a", "b"):
+        second = second.join(label.toDF(c, "l"), c, "left").withColumn(c, F.coalesce("l", c)).drop("l")
+    roots = written(components(second, "jaccard-roots"), "jaccard-root")
+    named = label.unionByName(roots.join(label.select("cls"), F.col("node") == F.col("cls"), "left_anti").select(F.col("node").alias("cls"), F.col("node").alias("label")))
+    return named.join(roots.withColumnRenamed("node", "label"), "label", "left").select("cls", F.coalesce("root", "label").alias("root"))
 
 
 class _Block:
@@ -249,18 +330,21 @@ class _Block:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from rows (g, block, asks, cls, text), members of a block before those that ask."""
+    """Links from rows (k, asks, cls, cls2, text), members of a block before those that ask. A text whose set has another name than
+    its class, as its id and digest are another text's too, is passed over."""
     key, names, sets, block = None, [], [], None
     out: list[tuple[int, int]] = []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("g", "block", "asks", "cls")]
+        columns = [batch.column(c).to_pylist() for c in ("k", "asks", "cls", "cls2")]
         for a, _, data, offsets in steps(batch, "text"):
-            for k, s in enumerate(shingle_sets(data, offsets, SHINGLE)):
-                g, b, asks, name = (c[a + k] for c in columns)
-                if key != (g, b):
+            for i, (s, full) in enumerate(named_sets(data, offsets, SHINGLE)):
+                k, asks, name, half = (c[a + i] for c in columns)
+                if key != k:
                     if sets and block is None:
                         out += _Block(names, sets).own_links()
-                    key, names, sets, block = (g, b), [], [], None
+                    key, names, sets, block = k, [], [], None
+                if int.from_bytes(full[8:], "little", signed=True) != half:
+                    continue
                 if not asks:
                     if name not in names:
                         names.append(name)
@@ -286,31 +370,31 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are maximal runs without white space after lower-casing A-Z; a document's set is its distinct 5-word shingles, or the
     whole sequence if it has fewer words. Two documents link when 100 * intersection >= 75 * union; component_id is the smallest
-    doc_id that links reach, itself included. Shingles are compared by 64-bit hashes.
+    doc_id that links reach, itself included. Shingles are compared by 64-bit hashes, sets of one or two as wholes by 128 bits.
 
     Null texts and texts without words have an empty set, link with nothing and form components of their own. Rows with equal
-    sets form one class, whatever their ids; a repeated id has one row for each of its rows, whose texts are told apart by 64-bit
-    digests; a null id never names a component that has another id. An empty table gives no rows; other columns are ignored.
+    sets form one class, whatever their ids; a repeated id has one row for each of its rows; a null id never names a component that
+    has another id. An empty table gives no rows; other columns are ignored.
 
-    Copies are one class, checked once, and named by 64 bits of their digest. Classes that share prefix tokens are partitioned
+    Copies are one class, checked once; classes are told apart by 128 bits, and a text is used for a class only if its set has
+    that name. Classes that share prefix tokens are partitioned
     into groups of similar ones; the token-group matrix stores each group's token union and bounds the overlap of a class with
     every group that shares a token with it; only groups that can reach 0.75 are opened, and their members compared on whole
     sets. Any linked pair shares a token of the prefixes, so that none is lost, and nothing is capped. Linked members of a block
     count as connected, so that links stay few where all pairs of a group are linked.
     """
     rows = _owned(docs, id_col, text_col)
-    prefixes = written(signatures(rows, frequent_tokens(rows)), "jaccard-prefixes")
+    prefixes, classes = named_apart(written(signatures(rows, frequent_tokens(rows)), "jaccard-prefixes"))
     sig = written(prefixes.select("doc_id", "cls", "n"), "jaccard-sets")
-    classes = written(shingle_classes(prefixes), "jaccard-classes")
     shared = written(shared_tokens(prefixes), "jaccard-shared")
     deleted(prefixes)
     groups = written(similar_groups(shared, classes), "jaccard-groups")
     opened = written(opened_groups(shared, groups), "jaccard-opened")
-    links = links_in(opened, groups, rows, classes)
-    roots = written(components(links, "jaccard"), "jaccard-roots")
+    roots = written(connected(opened, groups, rows, classes), "jaccard-roots")
+    deleted(shared, groups, opened)
 
     # components by their smallest document; classes without links are on their own
-    classes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+    classes = classes.join(roots, "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = classes.select("cls", "root").join(least, "root").select("cls", "component_id")
     known = sig.where("n > 0").select("doc_id", "cls", "n").join(ids, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -129,6 +129,52 @@ def test_jaccard_class_texts_are_single(spark):
     assert collected(jaccard_join.class_texts(rows, classes), "text") == [(f"text number {k}",) for k in range(9)]
 
 
+def test_jaccard_few_ids_and_none(spark):
+    """Rows under few ids or none, in every order, have the links of their own texts."""
+    random.seed(21)
+    bases = [" ".join(random.choice(WORDS) + random.choice("abcde") for _ in range(60)) for _ in range(12)]
+    for ids in (lambda k: k % 25, lambda k: None):
+        rows = [(ids(k), edited(random.choice(bases), random.choice([0, 1, 1, 2, 4]))) for k in range(180)]
+        got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert collected(got, "doc_id", "n_shingles", "component_id") == brute_groups(rows)
+
+
+def test_jaccard_patterned_words(spark):
+    """Words that are each other's complement, of any length, are different words."""
+    rows = []
+    for n in (64, 200, 1024, 4096):
+        bits = [bin(k).count("1") & 1 for k in range(n)]
+        rows += [(len(rows), "".join("ab"[b] for b in bits)), (len(rows) + 1, "".join("ba"[b] for b in bits))]
+    got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collected(got, "doc_id", "component_id") == sorted(((i, i) for i, _ in rows), key=str)
+
+
+def test_jaccard_names_apart(spark):
+    """Sets whose names agree in 64 bits but not in 128 are different classes."""
+    rows = [(k, 7, 5, k % 3, 4, [1], []) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, digest long, cls long, cls2 long, n long, toks array<long>, hot array<long>")
+    prefixes, classes = jaccard_join.named_apart(df)
+    assert classes.count() == 3 and prefixes.groupBy("cls").agg({"cls2": "min"}).count() == 3
+
+
+def test_jaccard_blocks_ask_other_labels_only(spark, monkeypatch):
+    """With small blocks, large families and bridges between them still give the components of all pairs; a family of copies of
+    one text with small edits is not compared all against all."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "LARGE", 4)
+    random.seed(31)
+    other = edited(BASE, 9)
+    rows = [(k, edited(random.choice([BASE, other]), random.choice([0, 1, 2, 3, 4, 5]))) for k in range(260)]
+    dealt = []
+    monkeypatch.setattr(jaccard_join, "_dealt", lambda table, *rest, real=jaccard_join._dealt: dealt.append(table.count()) or real(table, *rest))
+    got = collected(jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), "doc_id", "n_shingles", "component_id")
+    assert got == brute_groups(rows)
+    near = [(k, edited(BASE, k % 3)) for k in range(260)]
+    dealt.clear()
+    got = collected(jaccard_join.jaccard_groups(spark.createDataFrame(near, "doc_id long, text string").repartition(4)), "doc_id", "n_shingles", "component_id")
+    assert got == brute_groups(near) and sum(dealt) < 5 * len(near)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (6, 6), (9, 8), (8, 7), (7, 5)]
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long"), "t").collect()}
