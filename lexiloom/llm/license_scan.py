@@ -38,6 +38,14 @@ TEMPLATES = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("proprietary", "All rights reserved."),
 )
+#: Phrases that decide between licenses and versions: a place must have those that its template has, word for word.
+DECIDING = (
+    "mit license", "apache license version 2.0", "gnu general public license", "gnu lesser general public license", "gnu affero general public license",
+    "version 2", "version 3", "mozilla public license v 2.0", "bsd license", "public domain", "cc0 1.0", "cc by 4.0", "cc by-sa 4.0", "cc by-nc 4.0", "cc by-nd 4.0",
+    "creative commons attribution 4.0 international", "all rights reserved",
+)
+#: Words that deny a notice, inside it or among the NEAR words before it in its sentence.
+DENIALS, NEAR = frozenset("not never neither nor cannot isn aren wasn weren".split()), 3
 #: Least share of a place's compressed bytes that the dictionary must save; most of the template's words that may differ.
 SAVED, DIFFERENT = 0.25, 0.25
 #: Added words that weigh as much as a missing one where a place is chosen; words that are searched together.
@@ -58,6 +66,7 @@ class Scanner:
         self.saved = saved
         self.templates = [(name, w) for name, text in templates if (w := words(text))]
         self.most = [int(different * len(w)) for _, w in self.templates]
+        self.deciding = [[f" {x} " for x in DECIDING if f" {x} " in f" {' '.join(w)} "] for _, w in self.templates]
         # long words first: they are the ones that other texts lack
         self.distinct = [sorted(set(w), key=lambda x: (-len(x), x)) for _, w in self.templates]
         ids = {w: k for k, w in enumerate(sorted({x for _, w in self.templates for x in w}))}
@@ -81,8 +90,9 @@ class Scanner:
     def notices(self, text: str) -> list[tuple]:
         """(line, license, saved, words, missing, added, differences) of every notice, in order of place.
 
-        Every template whose words may stand in the text is searched for. Of confirmed places that overlap, the one with the
-        fewest differences stays, then the longer one, the larger saving, the earlier template.
+        Every template whose words may stand in the text is searched for; a place is confirmed by its wording: few differences,
+        none in a deciding phrase, and no denial. Of confirmed places that overlap, the one where the dictionary saves most bytes
+        stays, then the one with the fewest differences, the longer one, the earlier template.
         """
         low = text.lower()
         may = [k for k in range(len(self.templates)) if self.may_stand(k, low)]
@@ -96,27 +106,34 @@ class Scanner:
             ids = np.array([self.ids.get(w, -1) for w in part], np.int64)
             for k in may:
                 for a, b, missing, added in self._places(k, part, ids):
-                    saving = self._saving(k, part[a:b])
-                    if saving >= self.saved or not (missing or added):
-                        found[at + a, at + b, k] = len(missing) + len(added), a - b, -saving, k, at + a, at + b, missing, added
+                    if not self._confirmed(k, part[a:b], added) or _denied(low, spans, at + a):
+                        continue
+                    saving, alone = self._saving(k, part[a:b])
+                    if saving >= self.saved * alone or not (missing or added):
+                        found[at + a, at + b, k] = -saving, len(missing) + len(added), a - b, k, at + a, at + b, missing, added, saving / alone
         kept: list[tuple] = []
         taken = np.zeros(len(own), bool)
-        for row in sorted(found.values(), key=lambda x: x[:5]):
-            _, _, saving, k, a, b, missing, added = row
+        for row in sorted(found.values(), key=lambda x: x[:6]):
+            _, _, _, k, a, b, missing, added, share = row
             if not taken[a:b].any():
                 taken[a:b] = True
                 differences = " ".join([*("-" + w for w in missing), *("+" + w for w in added)])
-                kept.append((a, -saving, k, len(missing), len(added), differences))
+                kept.append((a, share, k, len(missing), len(added), differences))
         out, line, before = [], 0, 0
-        for a, saving, k, missing, added, differences in sorted(kept):
+        for a, share, k, missing, added, differences in sorted(kept):
             line, before = line + low.count("\n", before, spans[a][0]), spans[a][0]
-            out.append((line, self.templates[k][0], saving, len(self.templates[k][1]), missing, added, differences))
+            out.append((line, self.templates[k][0], share, len(self.templates[k][1]), missing, added, differences))
         return out
 
-    def _saving(self, k: int, own: list[str]) -> float:
+    def _confirmed(self, k: int, own: list[str], added: list[str]) -> bool:
+        place = f" {' '.join(own)} "
+        return all(x in place for x in self.deciding[k]) and DENIALS.isdisjoint(added)
+
+    def _saving(self, k: int, own: list[str]) -> tuple[int, int]:
+        """(bytes that the template saves as a dictionary, compressed bytes without it)."""
         raw = " ".join(own).encode()
         alone = len(self.plain.compress(raw))
-        return (alone - len(self.primed[k].compress(raw))) / alone
+        return alone - len(self.primed[k].compress(raw)), alone
 
     def _places(self, k: int, own: list[str], ids: np.ndarray) -> Iterator[tuple[int, int, list[str], list[str]]]:
         """(first word, end word, missing, added) of separate places where template k stands with enough of its words."""
@@ -131,6 +148,16 @@ class Scanner:
                 rest += [(a, a + first), (a + end, b)]
 
 
+def _denied(low: str, spans: list[tuple[int, int]], first: int) -> bool:
+    """Whether one of the NEAR words before word `first`, in the same sentence, denies what follows."""
+    for i in range(first - 1, max(-1, first - 1 - NEAR), -1):
+        if any(c in ".!?;:" for c in low[spans[i][1] : spans[i + 1][0]]):
+            return False
+        if low[spans[i][0] : spans[i][1]] in DENIALS:
+            return True
+    return False
+
+
 def _aligned(want: list[int], own: np.ndarray, most: int) -> tuple[int, int, list[int], list[int]] | None:
     """(first, end, missing positions of want, added positions of own) of the stretch of own that want fits best, in order, with
     at most `most` words missing; None if there is no such stretch.
@@ -168,11 +195,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A notice is a place where a template's words stand in order, over any line breaks, with at most DIFFERENT of them missing.
     saved is the share of its compressed bytes that the template saves as a raw zstandard dictionary; places that are not exact
     must save SAVED. differences has the exact ones in wording (`-` missing, `+` added). block is the number of the line on
-    which the notice starts; n_words counts the template's words.
+    which the notice starts; n_words counts the template's words. Names and versions (DECIDING) must stand word for word, so that
+    another version is not taken for a template's; a notice that is denied ("not licensed under ...") gives no row.
 
     Null and empty texts give no rows; repeated rows give repeated rows; null ids are kept; an empty table gives no rows; other
     columns are ignored. All templates are searched for in all of a text, and all separate places are returned; of places that
-    overlap one stays: fewer differences, then more words, larger savings, earlier templates.
+    overlap one stays: most bytes saved, then fewer differences, more words, earlier templates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
