@@ -19,6 +19,8 @@ LENGTHS, KEPT, SLOTS, HASHES = (3, 5), 4_000, 1 << 20, 3
 FIT_DOCS = 2_000
 #: An n-gram belongs to a language if it is at least this share as frequent there as where it is most frequent.
 SHARE = 0.5
+#: Least share of a document's n-grams that its language must hold beyond chance; identified() rejects the others.
+EVIDENCE = 0.1
 #: Bytes that make letters of a word: ASCII letters and all bytes of non-ASCII characters. The rest becomes one blank.
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -103,8 +105,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", or
     return Filters(names, masks, filled**HASHES, SLOTS)
 
 
-def scored(data: np.ndarray, offsets: np.ndarray, f: Filters) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the likeliest language, score 0 to 1) of each document; score 0 where no n-gram says anything."""
+def scored(data: np.ndarray, offsets: np.ndarray, f: Filters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the likeliest language, score 0 to 1, evidence 0 to 1) of each document.
+
+    The score is the language's share of all languages' corrected counts, 0 where no n-gram says anything; the evidence is the
+    share of the document's n-grams that the language holds beyond chance.
+    """
     docs, kinds = len(offsets) - 1, len(f.languages)
     hits, total = np.zeros((docs, kinds)), np.zeros(docs)
     for n in LENGTHS:
@@ -120,7 +126,8 @@ def scored(data: np.ndarray, offsets: np.ndarray, f: Filters) -> tuple[np.ndarra
     best = real.argmax(axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):
         score = np.where(sums > 0, real[np.arange(docs), best] / sums, 0.0)
-    return best, score
+        evidence = np.where(total > 0, real[np.arange(docs), best] / total, 0.0)
+    return best, score, evidence
 
 
 def predicted(docs: DataFrame, filters: Filters | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,35 +142,36 @@ def predicted(docs: DataFrame, filters: Filters | None, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = pickle.loads(packed)
         for batch in batches:
-            for a, b, names, score in _named(batch, "text", f):
+            for a, b, names, score, _ in _named(batch, "text", f):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, filters: Filters | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text has a language, with all their columns; those that predicted() calls `und` are left out."""
+def identified(docs: DataFrame, filters: Filters | None, text_col: str = "text", evidence: float = EVIDENCE) -> DataFrame:
+    """The rows of docs whose language the filters can tell, with all their columns: at least `evidence` of their n-grams are in the
+    filter of their language beyond chance. Those that predicted() calls `und` are left out too; without filters, all are."""
     packed = pickle.dumps(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = pickle.loads(packed)
         for batch in batches:
-            keep = [name != "und" for _, _, names, _ in _named(batch, text_col, f) for name in names]
+            keep = [name != "und" and e >= evidence for _, _, names, _, held in _named(batch, text_col, f) for name, e in zip(names, held.tolist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return bounded_batches(docs).mapInArrow(run, docs.schema)
 
 
-def _named(batch: pa.RecordBatch, column: str, f: Filters | None) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
-    """(first row, end row, languages, scores) of stretches of a batch."""
+def _named(batch: pa.RecordBatch, column: str, f: Filters | None) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """(first row, end row, languages, scores, evidence) of stretches of a batch."""
     texts = batch.column(column)
     for a, b, data, offsets in steps(batch, column, 1 << 18):
-        best, score = scored(data, offsets, f) if f else (np.zeros(b - a, int), np.zeros(b - a))
+        best, score, evidence = scored(data, offsets, f) if f else (np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a))
         # ASCII letters first; other letters need the characters
         ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128))])
         has = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
         names = [f.languages[k] if f and (h or any(map(str.isalpha, texts[a + i].as_py() or ""))) else "und" for i, (k, h) in enumerate(zip(best.tolist(), has.tolist(), strict=True))]
-        yield a, b, names, np.where([x == "und" for x in names], 0.0, score)
+        yield a, b, names, np.where([x == "und" for x in names], 0.0, score), evidence
 
 
 def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0):
