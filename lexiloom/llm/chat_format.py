@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_hint, written
+from .common import bounded_batches, ids_hint, written
 
 ROLES = ("system", "user", "assistant")
 #: Words that mark a speaker, by role (fixed values).
@@ -21,8 +21,12 @@ MARKERS = {
     "user": "user human q question prompt customer me instruction client",
     "assistant": "assistant ai bot a answer response gpt model agent reply",
 }
-#: Transcripts that the model is fitted on at most; turns of a part, in which longer conversations are parsed.
-FIT_TRANSCRIPTS, PART_TURNS = 5_000, 256
+#: Labelled transcripts that the model is fitted on at most.
+FIT_TRANSCRIPTS = 5_000
+#: Turn numbers of a part, in which a longer conversation travels; a part has at most FULL times as many rows.
+PART_TURNS, FULL = 256, 4
+#: Steps of a natural logarithm: scores are whole numbers, so that sums do not depend on where a transcript is cut.
+UNIT = 1 << 20
 #: Numbers of values of the line features: marker, first line, line before is blank, asks, length, is blank.
 SIZES = (5, 2, 2, 2, 4, 2)
 
@@ -40,12 +44,14 @@ def marker(line: str) -> tuple[int, int]:
     return (kind, m.end()) if kind < 4 or m.group("name") else (0, 0)
 
 
-def features(lines: list[str]) -> np.ndarray:
-    """One row of SIZES features per line."""
+def features(lines: list[str], begins: bool = True, after_blank: bool = False) -> np.ndarray:
+    """One row of SIZES features per line; begins: the transcript starts here; after_blank: the line before the first is blank."""
     out = np.zeros((len(lines), len(SIZES)), np.int64)
+    blank = after_blank
     for i, line in enumerate(lines):
         bare = line.strip()
-        out[i] = (marker(line)[0], i == 0, i > 0 and not lines[i - 1].strip(), bare.endswith("?"), min(3, len(bare) // 40), not bare)
+        out[i] = (marker(line)[0], begins and i == 0, blank, bare.endswith("?"), min(3, len(bare) // 40), not bare)
+        blank = not bare
     return out
 
 
@@ -71,65 +77,88 @@ class Model:
             np.add.at(table, (states, x[:, k]), 1)
 
     def logs(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        return np.log(self.start / self.start.sum()), np.log(self.step / self.step.sum(1, keepdims=True)), [np.log(t / t.sum(1, keepdims=True)) for t in self.emit]
+        whole = lambda x: np.round(np.log(x) * UNIT).astype(np.int64)
+        return whole(self.start / self.start.sum()), whole(self.step / self.step.sum(1, keepdims=True)), [whole(t / t.sum(1, keepdims=True)) for t in self.emit]
 
 
-def viterbi(x: np.ndarray, logs: tuple) -> np.ndarray:
-    """The likeliest states of a transcript's lines; ties go to the state of smaller number."""
+def forward(x: np.ndarray, logs: tuple, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(best scores of the last line's states, back): back[i] has the best state before each state of line i; ties go to the state
+    of smaller number. entry: scores of the states of the line before the first, or None where the transcript starts."""
     start, step, emit = logs
     seen = sum(t[:, x[:, k]] for k, t in enumerate(emit)).T
     back = np.zeros((len(x), 6), np.int64)
-    score = start + seen[0]
-    for i in range(1, len(x)):
+    every = np.arange(6)
+    score = entry
+    for i in range(len(x)):
+        if score is None:
+            score = start + seen[0]
+            continue
         ways = score[:, None] + step
         back[i] = ways.argmax(0)
-        score = ways[back[i], np.arange(6)] + seen[i]
-    out = np.zeros(len(x), np.int64)
-    out[-1] = score.argmax()
-    for i in range(len(x) - 1, 0, -1):
-        out[i - 1] = back[i, out[i]]
-    return out
+        score = ways[back[i], every] + seen[i]
+    return score, back
 
 
-def turns(text: str, logs: tuple) -> list[tuple[str, str]]:
-    """(role, content) of the turns of a transcript; speaker markers are left out of the content."""
-    if not text.strip():
-        return []
-    lines = text.split("\n")
-    out: list[tuple[str, list[str]]] = []
-    for line, state in zip(lines, viterbi(features(lines), logs).tolist(), strict=True):
-        if state < 3 or not out:
-            kind, width = marker(line)
-            out.append((ROLES[state % 3], [line[width:] if kind else line]))
-        else:
-            out[-1][1].append(line)
-    return [(role, "\n".join(body).strip()) for role, body in out]
+def backward(back: np.ndarray, end: int) -> tuple[np.ndarray, int]:
+    """(states of the lines, state of the line before the first), from the state of the last line."""
+    out = np.zeros(len(back), np.int64)
+    for i in range(len(back) - 1, -1, -1):
+        out[i] = end
+        end = int(back[i, end])
+    return out, end
 
 
-def rendered(found: list[tuple[str, str]]) -> str:
-    """Turns in canonical form; what looks like a turn's frame in the content is broken up."""
-    return "".join(f"<|im_start|>{role}\n{body.replace('<|', '< |')}<|im_end|>\n" for role, body in found)
+def viterbi(x: np.ndarray, logs: tuple) -> np.ndarray:
+    """The likeliest states of a transcript's lines."""
+    score, back = forward(x, logs)
+    return backward(back, int(score.argmax()))[0]
+
+
+def passage(x: np.ndarray, logs: tuple) -> np.ndarray:
+    """ways[i, j]: the best score of lines that follow state i and end in state j."""
+    _, step, emit = logs
+    seen = sum(t[:, x[:, k]] for k, t in enumerate(emit)).T
+    ways = step + seen[0]
+    for i in range(1, len(x)):
+        ways = (ways[:, :, None] + step[None]).max(1) + seen[i]
+    return ways
+
+
+def rendered(lines: list[str], states: list[int], begins: bool = True, ends: bool = True) -> tuple[str, list[str]]:
+    """(chat, roles of the turns that open here). A turn is its head, then each line behind a line feed; speaker markers are left
+    out, and so is an opening line that has nothing else. What looks like a turn's frame in the content is broken up. The pieces of
+    a transcript that is cut between lines make up the chat of the whole."""
+    out: list[str] = []
+    roles: list[str] = []
+    for i, (line, state) in enumerate(zip(lines, states, strict=True)):
+        if state < 3 or (begins and not i):
+            out.append(("" if begins and not i else "<|im_end|>\n") + f"<|im_start|>{ROLES[state % 3]}")
+            roles.append(ROLES[state % 3])
+            line = line[marker(line)[1] :]
+            if not line.strip():
+                continue
+        out.append("\n" + line.replace("<|", "< |"))
+    return "".join(out) + ("<|im_end|>\n" if ends else ""), roles
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from labelled transcripts (lines array<struct<role, opens, line>>), at most FIT_TRANSCRIPTS of them, of smallest hash.
+    """A model from labelled transcripts (transcript, truth); truth has a letter of the role for each line, a capital where a turn opens.
 
-    What reaches the driver is one table of counts per task.
+    What reaches the driver is one table of counts per task. Callers bound the rows by FIT_TRANSCRIPTS.
     """
-    few = labelled.withColumn("h", F.xxhash64(F.lit(3), "transcript")).orderBy("h").limit(FIT_TRANSCRIPTS).select("lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model()
         base = Model()
         for batch in batches:
-            for lines in batch.column("lines").to_pylist():
-                if lines:
-                    m.add(features([x["line"] for x in lines]), np.array([ROLES.index(x["role"]) + (0 if x["opens"] else 3) for x in lines]))
+            for text, truth in zip(batch.column("transcript").to_pylist(), batch.column("truth").to_pylist(), strict=True):
+                if truth:
+                    m.add(features(text.split("\n")), np.array(["sua".index(c.lower()) + (0 if c.isupper() else 3) for c in truth]))
         parts = [m.start - base.start, m.step - base.step, *[a - b for a, b in zip(m.emit, base.emit, strict=True)]]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts)], pa.binary())], ["counts"])
 
     model = Model()
-    for row in few.repartition(8).mapInArrow(run, "counts binary").collect():
+    for row in bounded_batches(labelled).select("transcript", "truth").mapInArrow(run, "counts binary").collect():
         start, step, *emit = pickle.loads(bytes(row["counts"]))
         model.start += start
         model.step += step
@@ -138,32 +167,143 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def formatted(transcripts: DataFrame, model: Model, id_cols: tuple[str, ...] = ("conv_id", "part"), text_col: str = "transcript") -> DataFrame:
-    """(id columns, n_lines, n_turns, roles, line_roles, chat, chat_sha256) of every transcript.
+_ANSWER = "n_lines int, n_turns int, roles string, line_roles string, line_accuracy double, chat string, chat_sha256 string"
+
+
+def _answer(lines: list[str], states: list[int], truth: str, begins: bool = True, ends: bool = True) -> tuple:
+    chat, roles = rendered(lines, states, begins, ends)
+    said = "".join("sua"[s % 3] for s in states)
+    right = sum(a == b for a, b in zip(said, truth.lower(), strict=True)) / len(truth) if truth else None
+    return len(lines), len(roles), ",".join(roles), said, right, chat, hashlib.sha256(chat.encode()).hexdigest()
+
+
+def _answers(ids: list[pa.Array], names: list[str], out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([*ids, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], [*names, *(x.split()[0] for x in _ANSWER.split(", "))])
+
 
-    roles joins the turns' roles by commas, line_roles has one letter a line; chat is the canonical form. Null and blank
-    transcripts have no turns and an empty chat; rows that are wholly alike get the same answers; an empty table gives no rows;
-    other columns are ignored. A worker holds one transcript's lines.
+def _with_truth(df: DataFrame, truth_col: str | None):
+    return (F.coalesce(F.col(truth_col), F.lit("")) if truth_col else F.lit("")).alias("truth")
+
+
+def formatted(transcripts: DataFrame, model: Model, id_cols: tuple[str, ...] = ("conv_id",), text_col: str = "transcript", truth_col: str | None = None) -> DataFrame:
+    """(id columns, n_lines, n_turns, roles, line_roles, line_accuracy, chat, chat_sha256) of every transcript.
+
+    roles joins the turns' roles by commas, line_roles has one letter a line; chat is the canonical form. line_accuracy is the
+    share of lines whose role is that of truth_col, null without one. Null and empty transcripts have no lines, no turns and an
+    empty chat; rows that are wholly alike get the same answers; an empty table gives no rows; other columns are ignored. A
+    worker holds one transcript's lines.
     """
     packed = pickle.dumps(model.logs())
-    ids = [F.col(c).cast("long").alias(c) for c in id_cols]
+    names = list(id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = pickle.loads(packed)
         for batch in batches:
             out = []
+            for text, truth in zip(batch.column("transcript").to_pylist(), batch.column("truth").to_pylist(), strict=True):
+                lines = text.split("\n") if text else []
+                states = viterbi(features(lines), logs).tolist() if lines else []
+                out.append(_answer(lines, states, truth) if lines else (0, 0, "", "", None, "", hashlib.sha256(b"").hexdigest()))
+            if out:
+                yield _answers([batch.column(c) for c in names], names, out)
+
+    ids = [F.col(c).cast("long").alias(c) for c in id_cols]
+    return bounded_batches(transcripts).select(*ids, F.col(text_col).alias("transcript"), _with_truth(transcripts, truth_col)).mapInArrow(run, ", ".join(f"{c} long" for c in id_cols) + ", " + _ANSWER)
+
+
+def formatted_parts(parts: DataFrame, model: Model, order_cols: list[str], truth_col: str | None = None) -> DataFrame:
+    """formatted() of transcripts that come in parts (conv_id, order_cols, transcript), cut between lines: a row for each part
+    (conv_id, part, ...), numbered from 0, as the parse of the whole transcript has it; the parts' chats make up its chat.
+
+    Each part first tells the best score from every state before it to every state at its end. Those tables of 36 numbers are
+    added up along a transcript, forwards; each part then knows which state before it leads to every state at its end, and these
+    are followed backwards. Two tasks thus stream a few numbers for each part of a transcript, and lines are read part by part.
+    Scores are whole numbers, so that the path, ties included, is the one of the uncut transcript.
+    """
+    packed = pickle.dumps(model.logs())
+    order = ", ".join(f"{c} long" for c in order_cols)
+    keys = ["conv_id", *order_cols]
+    parts = bounded_batches(parts).select(*[F.col(c).cast("long").alias(c) for c in keys], F.coalesce("transcript", F.lit("")).alias("transcript"), _with_truth(parts, truth_col))
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = pickle.loads(packed)
+        for batch in batches:
+            found, blank = [], []
             for text in batch.column("transcript").to_pylist():
-                text = text or ""
-                found = turns(text, logs)
-                chat = rendered(found)
-                states = viterbi(features(text.split("\n")), logs).tolist() if found else []
-                out.append((len(states), len(found), ",".join(r for r, _ in found), "".join(ROLES[s % 3][0] for s in states), chat, hashlib.sha256(chat.encode()).hexdigest()))
+                lines = text.split("\n")
+                first = forward(features(lines), logs)[0]
+                ways = [passage(features(lines, False, b), logs) for b in (False, True)]
+                found.append(np.concatenate([first, *(w.ravel() for w in ways)]).tobytes())
+                blank.append(not lines[-1].strip())
+            if found:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(found, pa.binary()), pa.array(blank)], [*keys, "ways", "blank"])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # conversation, part, scores at its end, whether its last line is blank
+        for batch in batches:
+            out = []
+            for conv, ways, blank in zip(batch.column("conv_id").to_pylist(), batch.column("ways").to_pylist(), batch.column("blank").to_pylist(), strict=True):
+                ways = np.frombuffer(ways, np.int64)
+                if held is None or held[0] != conv:
+                    out.append((0, b"", False))
+                    held = (conv, 0, ways[:6], blank)
+                else:
+                    _, part, score, after = held
+                    out.append((part + 1, score.tobytes(), after))
+                    table = ways[6:].reshape(2, 6, 6)[int(after)]
+                    held = (conv, part + 1, (score[:, None] + table).max(0), blank)
+            if out:
+                kinds = [pa.int64(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], [*keys, "part", "entry", "after_blank"])
+
+    def decoded(text: str, entry: bytes, after: bool, logs: tuple) -> tuple[list[str], np.ndarray, np.ndarray]:
+        lines = text.split("\n")
+        return lines, *forward(features(lines, not entry, after), logs, np.frombuffer(entry, np.int64) if entry else None)
+
+    def ways_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = pickle.loads(packed)
+        for batch in batches:
+            best, before = [], []
+            for text, entry, after in zip(*(batch.column(c).to_pylist() for c in ("transcript", "entry", "after_blank")), strict=True):
+                _, score, back = decoded(text, entry, after, logs)
+                best.append(int(score.argmax()))
+                before.append([backward(back, s)[1] for s in range(6)])
+            if best:
+                yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), pa.array(best, pa.int32()), pa.array(before, pa.list_(pa.int32()))], ["conv_id", "part", "best", "before"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # conversation, state at the end of the part before
+        for batch in batches:
+            out = []
+            for conv, best, before in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "best", "before")), strict=True):
+                last = held is None or held[0] != conv
+                state = best if last else held[1]
+                out.append((state, last))
+                held = (conv, before[state])
+            if out:
+                kinds = [pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["conv_id", "part", "end", "last"])
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = pickle.loads(packed)
+        for batch in batches:
+            out = []
+            for text, truth, entry, after, end, last in zip(*(batch.column(c).to_pylist() for c in ("transcript", "truth", "entry", "after_blank", "end", "last")), strict=True):
+                lines, _, back = decoded(text, entry, after, logs)
+                out.append(_answer(lines, backward(back, end)[0].tolist(), truth, not entry, last))
             if out:
-                kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in id_cols), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], [*id_cols, "n_lines", "n_turns", "roles", "line_roles", "chat", "chat_sha256"])
+                yield _answers([batch.column("conv_id"), batch.column("part")], ["conv_id", "part"], out)
 
-    schema = ", ".join(f"{c} long" for c in id_cols) + ", n_lines int, n_turns int, roles string, line_roles string, chat string, chat_sha256 string"
-    return transcripts.select(*ids, F.col(text_col).alias("transcript")).mapInArrow(run, schema)
+    ways = written(parts.mapInArrow(passages, f"conv_id long, {order}, ways binary, blank boolean"), "chat-ways")
+    entered = ways.repartition("conv_id").sortWithinPartitions(*keys).mapInArrow(entries, f"conv_id long, {order}, part long, entry binary, after_blank boolean")
+    entered = written(entered, "chat-entries").toDF(*[f"{c}_" for c in keys], "part", "entry", "after_blank")
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys]
+    whole = written(parts.join(entered, on).select("conv_id", "part", "transcript", "truth", "entry", "after_blank"), "chat-parts")
+    back = written(whole.mapInArrow(ways_back, "conv_id long, part long, best int, before array<int>"), "chat-back")
+    end = back.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("part")).mapInArrow(ends, "conv_id long, part long, end int, last boolean")
+    end = end.toDF("conv_", "part_", "end", "last")
+    return whole.join(end, F.col("conv_id").eqNullSafe(F.col("conv_")) & (F.col("part") == F.col("part_"))).drop("conv_", "part_").mapInArrow(answers, f"conv_id long, part long, {_ANSWER}")
 
 
 #: Marker styles of raw transcripts: the lead of a system, user and assistant turn; an empty lead leaves the turn unmarked.
@@ -179,42 +319,82 @@ STYLES = (
 )
 
 
-def raw_transcripts(conversations: DataFrame) -> DataFrame:
-    """(conv_id, part, transcript, lines) from turns (conv_id, turn, role, text): what a scraped chat looks like before parsing.
+ORDER = ["late", "block", "number", "bucket", "copy"]
+
 
-    The style of markers follows from the id. Turns that are wholly alike count once; null roles count as user, null texts are
-    empty, null turns come last in part 0. A conversation of more than PART_TURNS turn numbers makes several parts; one that has
-    more than four times PART_TURNS different turns under so many numbers (as all rows of a null id may) is dealt by hash to
-    parts -1, -2, ..., so that no group is unbounded. lines carry the true role of each line, for fitting and for tests only.
+def raw_turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, late, block, turn, h, text, letters) of every turn, with its marker: what a scraped chat looks like before parsing.
+
+    The style of markers follows from the id. Null roles and roles not in ROLES count as user (as `tool` is for this format), null
+    texts are empty, turns without number come last. h orders turns of one number; letters has the role of each line.
     """
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.coalesce(F.col("role"), F.lit("user"))).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
-    role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(F.lit("user"))
-    part = F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).cast("long")
-    style = F.pmod(F.xxhash64(F.coalesce(F.col("conv_id"), F.lit(0))), F.lit(len(STYLES))).cast("int") + 1
+    role = F.lower(F.coalesce(F.col("role"), F.lit("user")))
+    role = F.when(role.isin(*ROLES), role).otherwise(F.lit("user"))
+    conv, turn, text = F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    style = F.pmod(F.xxhash64(F.coalesce(conv, F.lit(0))), F.lit(len(STYLES))).cast("int") + 1
     lead = F.element_at(F.array(*[F.create_map(*[F.lit(x) for pair in zip(ROLES, leads, strict=True) for x in pair]) for leads in STYLES]), style)
-    rows = rows.select("conv_id", part.alias("part"), "turn", role.alias("role"), "text", style.alias("style")).withColumn("text", F.concat(lead[F.col("role")], F.trim("text")))
-    rows = written(rows, "chat-turns")
-    crowded = rows.groupBy(F.col("conv_id").alias("c"), F.col("part").alias("p")).agg(F.count("*").alias("n")).where(F.col("n") > 4 * PART_TURNS)
-    crowded = ids_hint(written(crowded, "chat-crowded"))
-    spread = -1 - F.pmod(F.xxhash64("turn", "role", "text"), F.ceil(F.col("n") / PART_TURNS))
-    rows = rows.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").withColumn("part", F.when(F.col("n").isNotNull(), spread).otherwise(F.col("part")))
-    grouped = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text"))).alias("turns"))
-    line = lambda t: F.transform(F.split(t["text"], "\n"), lambda x, i: F.struct(t["role"].alias("role"), (i == 0).alias("opens"), x.alias("line")))
-    lines = F.flatten(F.transform("turns", line))
-    return grouped.select("conv_id", "part", lines.alias("lines")).withColumn("transcript", F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    rows = conversations.select(conv.alias("conv_id"), turn.isNull().cast("int").alias("late"), F.coalesce(F.floor(turn / PART_TURNS), F.lit(0)).alias("block"), F.coalesce(turn, F.lit(0)).alias("turn"), F.xxhash64(role, text).alias("h"), role.alias("role"), F.concat(lead[role], F.trim(text)).alias("text"))
+    letter = F.substring("role", 1, 1)
+    return rows.withColumn("letters", F.concat(F.upper(letter), F.repeat(letter, F.regexp_count("text", F.lit("\n"))))).drop("role")
+
+
+def transcripts(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, transcript, truth) of the turns of each key, in order."""
+    found = turns.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("late", "turn", "h", "text", "letters"))).alias("t"))
+    joined = lambda c, by: F.array_join(F.transform("t", lambda x: x[c]), by)
+    return found.select(*keys, joined("text", "\n").alias("transcript"), joined("letters", "").alias("truth"))
+
+
+def in_parts(turns: DataFrame, blocks: DataFrame) -> DataFrame:
+    """turns of long conversations with the columns ORDER, which cut them into parts of bounded size, in order.
+
+    A part is a block of PART_TURNS turn numbers. Where a block has more than FULL times as many rows, as turns may share a
+    number, each number makes a part, cut by the hashes that order its turns; turns that are wholly alike, of which the order
+    says nothing, are dealt to as many parts as they fill.
+    """
+    most = FULL * PART_TURNS
+    of = lambda df, names: [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names]
+    crowded = ids_hint(written(blocks.where(F.col("n") > most).select("conv_id", "late", "block"), "chat-crowded").toDF("conv_id_", "late_", "block_").withColumn("crowded", F.lit(True)))
+    rows = turns.join(crowded, of(turns, ["conv_id", "late", "block"]), "left").drop("conv_id_", "late_", "block_")
+    counts = written(rows.where("crowded").groupBy("conv_id", "late", "turn", "h").agg(F.count("*").alias("n")), "chat-crowds")
+    numbers = counts.groupBy("conv_id", "late", "turn").agg(F.ceil(F.sum("n") / PART_TURNS).alias("buckets"))
+    alike = counts.where(F.col("n") > most).select("conv_id", "late", "turn", "h", F.ceil(F.col("n") / PART_TURNS).alias("copies"))
+    rows = rows.join(ids_hint(numbers.toDF("conv_id_", "late_", "turn_", "buckets")), of(rows, ["conv_id", "late", "turn"]), "left").drop("conv_id_", "late_", "turn_")
+    rows = rows.join(ids_hint(alike.toDF("conv_id_", "late_", "turn_", "h_", "copies")), of(rows, ["conv_id", "late", "turn", "h"]), "left").drop("conv_id_", "late_", "turn_", "h_")
+    share = (F.shiftright("h", 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
+    full = F.coalesce("crowded", F.lit(False))
+    rows = rows.withColumn("number", F.when(full, F.col("turn")).otherwise(F.lit(0)))
+    rows = rows.withColumn("bucket", F.when(full, F.floor(share * F.col("buckets"))).otherwise(F.lit(0)))
+    return rows.withColumn("copy", F.when(F.col("copies").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("copies"))).otherwise(F.lit(0)))
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:
-    """formatted() of the raw transcripts of all conversations, with line_accuracy, the share of lines whose role is the true one.
+    """(conv_id, part, held_out, n_lines, n_turns, roles, line_accuracy, chat_sha256, chat) of the raw transcripts of all
+    conversations; line_accuracy is the share of lines whose role is the true one.
+
+    A conversation is one transcript and parsed as one. It is one row, part 0, unless it has more than PART_TURNS turn numbers or
+    FULL times as many rows: then it comes in parts, whose chats make up the whole. The model learns from parts of conversations
+    whose crc32(conv_id as text) mod 5 is not 0, FIT_TRANSCRIPTS at most, of smallest hash; held_out marks the others.
 
-    The model learns from conversations whose crc32(conv_id as text) mod 5 is not 0; held_out marks the others.
+    Repeated turns all count; of turns with one number the order is that of a hash. Null turn numbers come last, rows without
+    conv_id are one conversation, null roles count as user, null texts are empty; an empty table gives no rows; other columns are
+    ignored.
     """
-    raw = written(raw_transcripts(conversations), "chat-raw")
+    turns = raw_turns(conversations)
+    blocks = written(turns.groupBy("conv_id", "late", "block").agg(F.count("*").alias("n")), "chat-blocks")
+    long = blocks.groupBy("conv_id").agg(F.sum(1 - F.col("late")).alias("blocks"), F.sum("n").alias("n")).where((F.col("blocks") > 1) | (F.col("n") > FULL * PART_TURNS)).select(F.col("conv_id").alias("long_id"))
+    long = ids_hint(written(long, "chat-long"))
     out = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    model = fit(raw.where(~out))
-    truth = raw.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.array_join(F.transform("lines", lambda x: F.substring(x["role"], 1, 1)), "").alias("truth"))
-    both = formatted(raw, model).join(truth, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
-    right = F.size(F.filter(F.zip_with(F.split("truth", ""), F.split("line_roles", ""), lambda a, b: a == b), lambda x: x))
-    return both.select("conv_id", "part", out.alias("held_out"), "n_lines", "n_turns", "roles", F.coalesce(F.round(F.try_divide(right, F.length("truth")), 6), F.lit(1.0)).alias("line_accuracy"), "chat_sha256", "chat")
-
 
+    few = blocks.where(~out & (F.col("n") <= FULL * PART_TURNS)).orderBy(F.xxhash64(F.lit(3), "conv_id", "late", "block"), "conv_id", "late", "block").limit(FIT_TRANSCRIPTS)
+    few = F.broadcast(few.select(F.col("conv_id").alias("c"), F.col("late").alias("l"), F.col("block").alias("b")))
+    known = turns.join(few, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("late") == F.col("l")) & (F.col("block") == F.col("b")), "left_semi")
+    model = fit(transcripts(known, ["conv_id", "late", "block"]))
+
+    is_long = F.col("conv_id").eqNullSafe(F.col("long_id"))
+    short = formatted(transcripts(turns.join(long, is_long, "left_anti"), ["conv_id"]), model, truth_col="truth").withColumn("part", F.lit(0).cast("long"))
+    if not long.isEmpty():
+        cut = in_parts(turns.join(long, is_long, "left_semi"), blocks)
+        parts = written(transcripts(cut, ["conv_id", *ORDER]), "chat-cut")
+        short = short.unionByName(formatted_parts(parts, model, ORDER, "truth"))
+    return short.select("conv_id", "part", out.alias("held_out"), "n_lines", "n_turns", "roles", F.round("line_accuracy", 6).alias("line_accuracy"), "chat_sha256", "chat")
