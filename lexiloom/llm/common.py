@@ -94,6 +94,28 @@ def ids_hint(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
 
 
+#: Counts up to which frequent keys are told apart one by one when their number is cut, and steps for each doubling above.
+HISTOGRAM, OCTAVE = 10_000, 1_000
+
+
+def most_frequent(counts: DataFrame, key: str, most: int, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts), sorted by key, of a table (key, c): those of the greatest counts above least, at most `most` of them.
+
+    The cut is the least bin of counts above which no more than that stand, so that no task or driver sorts the keys.
+    """
+    bin_of = F.when(F.col("c") <= HISTOGRAM, F.col("c")).otherwise(HISTOGRAM + F.floor(F.log2(F.col("c") / HISTOGRAM) * OCTAVE)).cast("long")
+    cut, left = least, most
+    for row in sorted(counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        left -= row["k"]
+        if left < 0:
+            cut = max(cut, row["bin"])
+            break
+    top = counts.where(bin_of > cut).toPandas()  # at most `most` rows
+    keys = top[key].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], top["c"].to_numpy()[order]
+
+
 def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of stretches of a text column whose bytes fit one step; null is empty."""
     texts = batch.column(column)

@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, deleted, ids_hint, named_sets, shingle_sets, steps, written
+from .common import bounded_batches, components, deleted, ids_hint, most_frequent, named_sets, shingle_sets, steps, written
 
 #: Words of a shingle; similarity as a fraction.
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Tokens counted together before they leave a task, the count from which one is told, and frequent tokens that are ranked at most.
 COUNTED, TOLD, RANKED = 3_000_000, 2, 1 << 17
-#: Counts up to which frequent tokens are told apart one by one when their number is cut, and steps for each doubling above.
-HISTOGRAM, OCTAVE = 10_000, 1_000
 #: Shingle sets that a task remembers, to post the tokens of copies once.
 REMEMBERED = 1 << 18
 #: Members of a group that are indexed together, members of one component that make blocks of their own, and the ratio of set sizes
@@ -62,19 +60,9 @@ def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield tell()
 
     counts = written(rows.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")), "jaccard-counts")
-    # the least bin of counts above which at most RANKED tokens stand: no task or driver sorts the tokens
-    fine = F.when(F.col("c") <= HISTOGRAM, F.col("c")).otherwise(HISTOGRAM + F.floor(F.log2(F.col("c") / HISTOGRAM) * OCTAVE)).cast("long")
-    cut, left = 0, RANKED
-    for row in sorted(counts.groupBy(fine.alias("bin")).agg(F.count("*").alias("k")).collect(), reverse=True):
-        left -= row["k"]
-        if left < 0:
-            cut = row["bin"]
-            break
-    top = counts.where(fine > cut).toPandas()  # at most RANKED rows
+    found = most_frequent(counts, "token", RANKED)
     deleted(counts)
-    token = top["token"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], top["c"].to_numpy()[order]
+    return found
 
 
 def signatures(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -256,7 +244,7 @@ def connected(opened: DataFrame, groups: DataFrame, rows: DataFrame, classes: Da
     sizes = written(sizes, "jaccard-sizes")
     # few groups have more than a block, so that a large one is not dealt by its number alone
     in_block = F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("cls"), F.col("blocks"))).cast("int")
-    members = groups.select("g", "cls").join(active, "g", "left_semi").join(ids_hint(sizes.where("blocks > 1").select("g", "blocks")), "g", "left")
+    members = groups.select("g", "cls").join(ids_hint(active), "g", "left_semi").join(ids_hint(sizes.where("blocks > 1").select("g", "blocks")), "g", "left")
     members = written(members.select("g", "cls", in_block.alias("block"), F.coalesce("blocks", F.lit(1)).alias("blocks")), "jaccard-members")
     pairs = opened.select("own", "g").distinct().join(sizes.select(F.col("g").alias("own"), "lead"), "own").join(sizes.select("g", "blocks"), "g").where("own <> g OR blocks > 1")
     leads = pairs.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("cls")).select(F.xxhash64("g", "block").alias("k"), F.lit(1).alias("asks"), "cls")
@@ -399,3 +387,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = classes.select("cls", "root").join(least, "root").select("cls", "component_id")
     known = sig.where("n > 0").select("doc_id", "cls", "n").join(ids, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return known.unionByName(sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+#: DuckDB: the same answers, from all pairs of sets that share a shingle.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     x AS (SELECT rid, len(w) AS words, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+     h AS (SELECT DISTINCT rid, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS token, i > words - 4 AS short, i, words FROM x WINDOW o AS (PARTITION BY rid ORDER BY i)),
+     f AS (SELECT DISTINCT rid, token FROM h WHERE i + 4 <= words OR (words < 5 AND i = 1)),
+     s AS MATERIALIZED (SELECT rid, md5(string_agg(token, chr(10) ORDER BY token)) AS m, count(*) AS n FROM f GROUP BY rid),
+     c AS MATERIALIZED (SELECT m, any_value(n) AS n, min(doc_id) AS first, min(rid) AS rid FROM s JOIN w USING (rid) GROUP BY m),
+     t AS MATERIALIZED (SELECT rid, n, hash(token) AS token FROM c JOIN f USING (rid)),
+     l AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM t a JOIN t b ON a.token = b.token AND a.rid < b.rid WHERE 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+                        GROUP BY a.rid, b.rid, a.n, b.n HAVING 175 * count(*) >= 75 * (a.n + b.n)),
+     e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT rid, rid AS reached FROM c UNION SELECT r.rid, e.b FROM r JOIN e ON r.reached = e.a),
+     g AS (SELECT c.m, min(d.first) AS component_id FROM r JOIN c USING (rid) JOIN c d ON d.rid = r.reached GROUP BY c.m)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id FROM w LEFT JOIN s USING (rid) LEFT JOIN g USING (m)
+"""

@@ -10,14 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mixed, powers, prefix_hash, steps, written
+from .common import bounded_batches, deleted, ids_hint, lanes, mixed, most_frequent, steps, written
 
 #: Bytes of a repeated string, of the grams that anchor it, and the depth at which quicksort hands over to blind tries.
 LENGTH, GRAM, SHALLOW = 200, 32, 16
 #: Bytes that one step of the anchor scan works on (a longer text is cut into pieces), and suffixes that one sort holds.
 PIECE, SORTED = 1 << 20, 1 << 20
 
-OCCURRENCE = "h long, ctx long, k1 long, k2 long, p long, lo int, hi int"
+#: Anchors counted together before they leave a task, the count from which one is told, the count from which it is frequent, and
+#: frequent ones at most.
+COUNTED, TOLD, FREQUENT, RANKED = 1_000_000, 16, 1_000, 1 << 16
+#: Slots of a task's memory of contexts, and bits of an anchor's hash that say whether it is frequent.
+REMEMBERED, FREQUENT_BITS = 1 << 20, 22
+
+OCCURRENCE = "told boolean, h long, ctx long, ctx2 long, k1 long, k2 long, p int, lo int, hi int"
+
+_factors = np.random.default_rng(20240608).integers(1, 2**63, (2, 96), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -26,24 +34,31 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bounded_batches(docs).select(F.coalesce(doc_id, F.lit(0)).alias("k1"), F.xxhash64(doc_id, text).alias("k2"), doc_id.alias("doc_id"), text.alias("text"))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, first start, last start, context hash) of the anchors of one text.
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(hash, position, first start, last start, two context hashes) of the anchors of one text.
 
-    The anchor of a window of `length` bytes is its gram of smallest hash, the first of them. Equal windows have equal grams at
-    equal offsets, so they meet under the anchor's hash; successive windows mostly share theirs. The context is all bytes of the
-    windows that an anchor stands for.
+    The anchor of a window of `length` bytes is its gram of smallest hash, the first of them; grams whose hash starts with bits
+    that `frequent` marks come after all others. Equal windows have equal grams at equal offsets, so they meet under the anchor's
+    hash; successive windows mostly share theirs. The context is all bytes of the windows that an anchor stands for. Hashes mix
+    eight bytes at a time and are no polynomials, so that no pattern of bytes cancels; a context has 128 bits.
     """
     n = len(data) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    p, inverse = prefix_hash(data), powers(len(data) + 1, True)
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    eight = mixed(np.array(lanes(data)[: len(data) - 7]))
     count = len(data) - gram + 1
-    h = mixed((p[gram:] - p[:-gram]) * inverse[:count])
+    h = np.zeros(count, np.uint64)
+    for k in range(gram // 8):
+        h += eight[8 * k : 8 * k + count] * _factors[0, k]
+    h = mixed(h)
+    key = h >> np.uint64(1)
+    if frequent is not None:
+        key |= frequent[(h >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
     w = length - gram + 1
     # sliding minima: running minima from the left and from the right of blocks of w, joined
     size = -(-count // w) * w
     block = np.full(size, ~np.uint64(0))
-    block[:count] = (h & ~np.uint64((1 << 24) - 1)) | np.arange(count, dtype=np.uint64)
+    block[:count] = (key & ~np.uint64((1 << 24) - 1)) | np.arange(count, dtype=np.uint64)
     right = np.minimum.accumulate(block.reshape(-1, w), axis=1).ravel()
     left = np.minimum.accumulate(block.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].ravel()
     at = (np.minimum(left[:n], right[w - 1 : w - 1 + n]) & np.uint64((1 << 24) - 1)).astype(np.int64)
@@ -51,46 +66,124 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     last = np.concatenate([first[1:] - 1, [n - 1]])
     at = at[first]
     end = last + length
-    context = mixed((p[end] - p[first]) * inverse[first] + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (last - first).astype(np.uint64))
-    return h[at], at, first, last, context
+    place = (at - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
+    contexts = [mixed(place + np.uint64(k)) + eight[end - 8] * _factors[k, 0] for k in range(2)]
+    for j in range(-(-(2 * length - gram) // 8)):
+        inside = first + 8 * j + 8 <= end
+        part = np.where(inside, eight[np.where(inside, first + 8 * j, 0)], np.uint64(0))
+        for k in range(2):
+            contexts[k] += part * _factors[k, 1 + j]
+    return h[at], at, first, last, mixed(contexts[0]), mixed(contexts[1])
+
+
+def _pieces(batch: pa.RecordBatch, frequent: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, hash, contexts, position, lo, hi) of the anchors of stretches of a batch."""
+    for a, b, data, offsets in steps(batch, "text", PIECE):
+        out = []
+        for i in range(b - a):
+            for base in range(0, max(1, int(offsets[i + 1] - offsets[i]) - LENGTH + 1), PIECE):
+                text = data[offsets[i] + base : min(offsets[i + 1], offsets[i] + base + PIECE + LENGTH - 1)]
+                if len(text) >= LENGTH:
+                    h, at, first, last, ctx, ctx2 = anchors(text, frequent=frequent)
+                    out.append((np.full(len(h), a + i), h, ctx, ctx2, at + base, at - last, at - first))
+        if out:
+            yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All anchors of all texts as OCCURRENCE rows; lo and hi are the least and greatest offset of the anchor in its windows."""
-    for batch in batches:
-        k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-        for a, b, data, offsets in steps(batch, "text", PIECE):
-            rows, out = [], []
-            for i in range(b - a):
-                for base in range(0, max(1, int(offsets[i + 1] - offsets[i]) - LENGTH + 1), PIECE):
-                    text = data[offsets[i] + base : min(offsets[i + 1], offsets[i] + base + PIECE + LENGTH - 1)]
-                    if len(text) >= LENGTH:
-                        h, at, first, last, context = anchors(text)
-                        rows.append(np.full(len(h), a + i))
-                        out.append((h, context, at + base, at - last, at - first))
-            if rows:
-                rows = np.concatenate(rows)
-                h, context, at, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["h", "ctx", "k1", "k2", "p", "lo", "hi"])
+def frequent_anchors(keyed: DataFrame) -> np.ndarray | None:
+    """Which first FREQUENT_BITS bits of a gram's hash stand for frequent anchors, or None where there are none.
+
+    Any order of grams gives right results; one that puts frequent grams last keeps a line that many documents share, in all its
+    different surroundings, out of one bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def tell() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[c >= TOLD].view(np.int64)), pa.array(c[c >= TOLD].astype(np.int64))], ["h", "c"])
+
+        for batch in batches:
+            for _, h, *_ in _pieces(batch, None):
+                held.append(h)
+                size += len(h)
+            if size >= COUNTED:
+                yield tell()
+                held, size = [], 0
+        if held:
+            yield tell()
+
+    counts = written(keyed.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "suffix-counts")
+    found, _ = most_frequent(counts, "h", RANKED, FREQUENT)
+    deleted(counts)
+    if not len(found):
+        return None
+    out = np.zeros(1 << FREQUENT_BITS, bool)
+    out[(found >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)] = True
+    return out
+
+
+class _Seen:
+    """How often a task has met each context before, up to two, in a memory of fixed size; what is overwritten counts anew."""
+
+    def __init__(self) -> None:
+        self.keys, self.times = np.zeros((3, REMEMBERED), np.uint64), np.zeros(REMEMBERED, np.int64)
+
+    def before(self, h: np.ndarray, ctx: np.ndarray, ctx2: np.ndarray) -> np.ndarray:
+        order = np.lexsort((ctx2, ctx, h))
+        key = np.stack([h, ctx, ctx2])[:, order]
+        heads = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+        sizes = np.diff(np.append(heads, len(h)))
+        slot = (key[2, heads] % np.uint64(REMEMBERED)).astype(np.int64)
+        known = np.where((self.keys[:, slot] == key[:, heads]).all(0), self.times[slot], 0)
+        self.keys[:, slot], self.times[slot] = key[:, heads], np.minimum(2, known + sizes)
+        # of two runs in one slot the later one stays, with its own number of times
+        out = np.zeros(len(h), np.int64)
+        out[order] = np.repeat(known, sizes) + np.arange(len(h)) - np.repeat(heads, sizes)
+        return out
+
+
+def _scan(frequent: np.ndarray | None):
+    """All anchors of all texts as OCCURRENCE rows; lo and hi are the least and greatest offset of the anchor in its windows.
+
+    told: the task has sent the same context twice before, so that this one is a repeat and needs no comparison.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            for rows, h, ctx, ctx2, at, lo, hi in _pieces(batch, frequent):
+                told = seen.before(h, ctx, ctx2) >= 2
+                longs = [pa.array(x.view(np.int64)) for x in (h, ctx, ctx2)]
+                yield pa.RecordBatch.from_arrays([pa.array(told), *longs, pa.array(k1[rows]), pa.array(k2[rows]), *(pa.array(x.astype(np.int32)) for x in (at, lo, hi))], [x.split()[0] for x in OCCURRENCE.split(", ")])
+
+    return run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From occurrences in order of (h, ctx): a kind 0 row for each one whose whole context stands elsewhere too, and a kind 1 row
-    for one occurrence of each context under an anchor that has several contexts.
+    """From occurrences in order of (told, h, ctx, ctx2): a kind 0 row for each one whose whole context stands elsewhere too, and a
+    kind 1 row for one occurrence of each context under an anchor that has several contexts.
 
     Holds one batch and, between batches, the first row of the last context, with whether that context came twice (it is told
     then) and whether its anchor had another one before.
     """
     tail, twice, other = None, False, False
     for batch in batches:
+        told_before = batch.column("told").to_numpy(zero_copy_only=False)
+        if told_before.any():
+            yield from _of_kind(pa.Table.from_batches([batch.filter(pa.array(told_before))]), 0)
+            batch = batch.filter(pa.array(~told_before))
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
         carried = tail is not None
         if carried:
             table = pa.concat_tables([tail, table]).combine_chunks()
-        h, ctx = table.column("h").to_numpy(), table.column("ctx").to_numpy()
-        same = (h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1])
+        h, ctx, ctx2 = (table.column(c).to_numpy() for c in ("h", "ctx", "ctx2"))
+        same = (h[1:] == h[:-1]) & (ctx[1:] == ctx[:-1]) & (ctx2[1:] == ctx2[:-1])
         several = np.zeros(len(h), bool)
         several[1:] |= same
         several[:-1] |= same
@@ -109,8 +202,11 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _of_kind(tail, 1)
 
 
+MET = "h long, k1 long, k2 long, p int, lo int, hi int, kind int"
+
+
 def _of_kind(table: pa.Table, kind: int) -> list[pa.RecordBatch]:
-    return table.append_column("kind", pa.array(np.full(table.num_rows, kind, np.int32))).combine_chunks().to_batches()
+    return table.select(["h", "k1", "k2", "p", "lo", "hi"]).append_column("kind", pa.array(np.full(table.num_rows, kind, np.int32))).combine_chunks().to_batches()
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,18 +385,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest.update(raw[at:s])
                 at = e
             digest.update(raw[at:])
-            out.append((batch.column("doc_id")[row].as_py(), len(raw), sum(e - s for s, e in merged), len(merged), digest.hexdigest()))
+            out.append((batch.column("k1")[row].as_py(), batch.column("k2")[row].as_py(), batch.column("doc_id")[row].as_py(), len(raw), sum(e - s for s, e in merged), len(merged), digest.hexdigest()))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def repeated_spans(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, s, e): byte ranges that together cover every byte of a repeated string; they overlap."""
-    met = written(keyed.select("k1", "k2", "text").mapInArrow(_scan, OCCURRENCE).repartition("h").sortWithinPartitions("h", "ctx").mapInArrow(_met, OCCURRENCE + ", kind int"), "suffix-met")
-    whole = met.where("kind = 0").select("k1", "k2", (F.col("p") - F.col("hi")).alias("s"), (F.col("p") - F.col("lo") + LENGTH).alias("e"))
-    wanted = met.where("kind = 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "p", "lo", "hi")).alias("wanted"))
-    contexts = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(_contexts, "h long, k1 long, k2 long, p long, lo int, hi int, bytes binary")
+            kinds = [pa.int64()] * 6 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["k1", "k2", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def repeated_spans(keyed: DataFrame, single: DataFrame) -> DataFrame:
+    """(k1, k2, s, e): byte ranges that together cover every byte of a repeated string; they overlap. single has each (k1, k2) once."""
+    found = keyed.select("k1", "k2", "text").mapInArrow(_scan(frequent_anchors(keyed)), OCCURRENCE)
+    # what is told already may go anywhere
+    deal = F.when(F.col("told"), F.xxhash64("k2", "p")).otherwise(F.col("h"))
+    met = written(found.repartition(deal).sortWithinPartitions("told", "h", "ctx", "ctx2").mapInArrow(_met, MET), "suffix-met")
+    whole = met.where("kind = 0").select("k1", "k2", (F.col("p") - F.col("hi")).cast("long").alias("s"), (F.col("p") - F.col("lo") + LENGTH).cast("long").alias("e"))
+    wanted = met.where("kind = 1").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "p", "lo", "hi")).alias("wanted"))
+    contexts = single.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(_contexts, "h long, k1 long, k2 long, p long, lo int, hi int, bytes binary")
     return whole.unionByName(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_sort, "k1 long, k2 long, s long, e long"))
 
 
@@ -310,14 +409,39 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are UTF-8 bytes (null: empty). Every byte that is covered by a 200-byte string which also starts anywhere else, in the
     same or another document, is removed; strings are judged on the input. n_spans counts maximal removed runs; kept_sha256 is
     the digest of the remaining bytes. Texts under 200 bytes lose nothing. Rows that are wholly alike are copies of each other
-    and lose everything from 200 bytes on; null ids are kept. An empty table gives no rows; other columns are ignored.
+    and lose everything from 200 bytes on; they are cut once. Null ids are kept. An empty table gives no rows; other columns are
+    ignored.
 
     Suffixes are dealt by content: the anchor of a 200-byte window is its 32-byte gram of smallest hash, so that equal windows
-    meet in one bucket, and buckets that one context fills alone are done. Contexts that stand twice are repeats as they are
-    (pre-aggregation by a 64-bit hash under the anchor's 64-bit hash); the windows of all different contexts of a bucket are put
-    in order by deep_shallow() on their bytes. Long texts are scanned in pieces. A task streams its buckets; it holds the
+    meet in one bucket. Before they are sorted, equal contexts of an anchor are merged by 64 bits of the anchor and 128 of the
+    context, those that a task has met twice already in the task itself, so that a passage that many documents share sends few
+    rows; a merged context is a repeat as it is. The windows of all different contexts of a bucket are put in order by
+    deep_shallow() on their bytes. Grams that are frequent anchors are the last choice, so that a line that many documents share
+    does not gather its surroundings in one bucket. Long texts are scanned in pieces. A task streams its buckets; it holds the
     different contexts of one bucket, some 300 bytes each, and sorts a large bucket offset by offset.
     """
     keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(keyed).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    alike = written(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1"), "suffix-alike")
+    single = keyed
+    if not alike.isEmpty():
+        hot = ids_hint(alike.select("k1", "k2"))
+        single = keyed.join(hot, ["k1", "k2"], "left_anti").unionByName(keyed.join(hot, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*keyed.columns))
+    spans = repeated_spans(keyed, single).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    cut = single.join(spans, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "spans").mapInArrow(_cut, "k1 long, k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    if single is not keyed:
+        cut = cut.join(ids_hint(alike), ["k1", "k2"], "left").withColumn("n", F.explode(F.sequence(F.lit(1), F.coalesce("n", F.lit(1)))))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: DuckDB: the same answers, from all windows of all texts, written as hexadecimal digits.
+SUFFIX_SQL = r"""
+WITH b AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+     q AS MATERIALIZED (SELECT rid, n_bytes, base, substr(hx, 2 * base + 1, 654) AS piece FROM (SELECT rid, n_bytes, hx, unnest(range(0, n_bytes - 199, 128)) AS base FROM b)),
+     w AS MATERIALIZED (SELECT rid, base + o AS s, md5_number(substr(piece, 2 * o + 1, 400)) AS m FROM (SELECT rid, base, piece, unnest(range(least(128, n_bytes - 199 - base))) AS o FROM q)),
+     d AS (SELECT rid, s, s - lag(s) OVER (PARTITION BY rid ORDER BY s) AS gap FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+     i AS (SELECT rid, s, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY s) AS i FROM d),
+     r AS (SELECT rid, min(s) AS s, max(s) + 200 AS e FROM i GROUP BY rid, i),
+     p AS (SELECT rid, s, e, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) AS before FROM r),
+     k AS (SELECT rid, sum(e - s)::bigint AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(hx, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept FROM p JOIN b USING (rid) GROUP BY rid)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM b LEFT JOIN k USING (rid)
+"""
