@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import chat_format
 from .decontamination import matches
 from .exact_dedup import EXACT_SQL, exact_dedup
-from .jaccard_join import jaccard_groups
+from .jaccard_join import JACCARD_SQL, jaccard_groups
 from .language_id import language_id
 from .license_scan import license_scan
-from .mixing import mixed_sample
-from .suffix_dedup import suffix_dedup
+from .mixing import MIXING_SQL, mixed_sample
+from .suffix_dedup import SUFFIX_SQL, suffix_dedup
 from .token_counts import edited_counts, private_edits
 from .toxicity import toxicity
 
@@ -84,5 +84,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_jaccard_join": JACCARD_SQL,
+    "op4_mix_sources": MIXING_SQL,
+    "op6_suffix_dedup": SUFFIX_SQL,
     "op8_exact_dedup": EXACT_SQL,
 }

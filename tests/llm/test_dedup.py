@@ -204,6 +204,62 @@ def test_suffix_dedup_odd_rows(docs, spark):
     assert collected(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")), *columns) == brute_suffix(rows)
 
 
+def test_suffix_long_text_shared_line_and_alike_rows(spark):
+    """A text over several pieces with repeats at their joint, a line in many surroundings, a passage in many documents, and many
+    alike rows, against all windows."""
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, line = word(700), word(150)
+    joint = (1 << 20) - 300
+    long = word(joint) + passage + word(300_000) + passage[50:600] + word(500)
+    rows = [(1, long), (2, word(300) + passage[:400] + word(100)), (3, long[joint - 1000 : joint + 900])]
+    rows += [(10 + k, word(r.randrange(150, 400)) + line + word(r.randrange(150, 400))) for k in range(150)]
+    rows += [(500 + k, word(60) + passage + word(60)) for k in range(60)]
+    seen = collections.Counter(hash(t[s : s + 200]) for _, t in rows for s in range(len(t) - 199))  # all ASCII
+    few = [(900, word(500))] * 300
+    want = []
+    for i, t in rows:
+        gone = np.zeros(len(t) + 1, np.int64)
+        for s in range(len(t) - 199):
+            if seen[hash(t[s : s + 200])] > 1:
+                gone[s] += 1
+                gone[s + 200] -= 1
+        want.append((i, len(t), int((np.cumsum(gone[:-1]) > 0).sum())))
+    got = suffix_dedup(spark.createDataFrame(rows + few, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed) for x in got if x.doc_id != 900) == sorted(want)
+    assert [(x.n_removed, x.n_spans) for x in got if x.doc_id == 900] == [(500, 1)] * 300
+
+
+def test_frequent_grams_are_last_choice():
+    """Windows around a frequent line are anchored outside it, and equal windows still agree."""
+    from lexiloom.llm import suffix_dedup as sd
+
+    r = np.random.default_rng(1)
+    line = r.integers(97, 123, 120).astype(np.uint8)
+    texts = [np.concatenate([r.integers(97, 123, 300).astype(np.uint8), line, r.integers(97, 123, 300).astype(np.uint8)]) for _ in range(30)]
+    plain = collections.Counter(h for t in texts for h in sd.anchors(t)[0].tolist())
+    marks = np.zeros(1 << sd.FREQUENT_BITS, bool)
+    marks[[h >> (64 - sd.FREQUENT_BITS) for h, c in plain.items() if c > 5]] = True
+    assert marks.any()
+    again = collections.Counter(h for t in texts for h in sd.anchors(t, frequent=marks)[0].tolist())
+    assert all(again[h] < plain[h] for h in plain if plain[h] > 5)
+
+
+def test_seen_contexts():
+    from lexiloom.llm import suffix_dedup as sd
+
+    seen, counts, r = sd._Seen(), collections.Counter(), np.random.default_rng(2)
+    for _ in range(5):
+        x = r.integers(0, 20, 50).astype(np.uint64)
+        times = collections.Counter()
+        want = []
+        for v in x.tolist():
+            want.append(min(2, counts[v]) + times[v])
+            times[v] += 1
+        counts.update(times)
+        assert seen.before(x, x + np.uint64(1), x).tolist() == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 59), min_size=0, max_size=6), st.integers(0, 2**32))
 def test_deep_shallow_sorts(changes, seed):
@@ -257,11 +313,84 @@ def test_mixing_odd_rows(docs):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
-def test_mixing_comes_near(spark, sf_dir):
-    got = mixing.mixed_sample(spark.read.parquet(f"{sf_dir}/documents.parquet")).groupBy("source").agg({"taken": "sum", "target": "first", "size": "max"}).collect()
-    for r in got:
-        assert r["sum(taken)"] <= r["first(target)"] + 1e-6
-        assert r["first(target)"] - r["sum(taken)"] <= r["max(size)"]
+def brute_pareto(rows, seed=17):
+    """(doc_id, taken, probability) of rows (doc_id, text, source), by sorting each source."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += size(t)
+    goal, out = fill(sizes), []
+    for s, total in sizes.items():
+        whole = int(goal[s] // total) if total else 0
+        due = goal[s] - whole * total
+        docs = []
+        for i, t, x in rows:
+            if x == s:
+                h = int(hashlib.md5(f"{seed}:{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:13], 16)
+                docs.append([size(t), (h + 0.5) / 2**52, h, i])
+        certain = set()
+        while True:  # the rate of inclusion in proportion to size, the largest documents certain
+            open_ = [d for d in docs if d[0] and d[0] not in certain]
+            rate = (due - sum(d[0] for d in docs if d[0] in certain)) / sum(d[0] ** 2 for d in open_) if open_ else 0
+            if not open_ or rate * max(d[0] for d in open_) <= 1:
+                break
+            certain.add(max(d[0] for d in open_))
+        rest = due - sum(d[0] for d in docs if d[0] in certain)
+        p = lambda n: rate * n
+        odds = lambda d: 0 if p(d[0]) >= 1 else d[1] / (1 - d[1]) / (p(d[0]) / (1 - p(d[0])))
+        before = 0
+        for d in sorted((d for d in docs if p(d[0]) > 0 and d[0] not in certain), key=lambda d: (odds(d), d[2], d[3] is not None, d[3] or 0)):
+            extra = before + d[0] / 2 <= rest
+            before += d[0]
+            out.append((d[3], (whole + extra) * d[0], p(d[0])))
+        out += [(d[3], (whole + (d[0] in certain)) * d[0], 1.0 if d[0] in certain else 0.0) for d in docs if not p(d[0]) > 0 or d[0] in certain]
+    return out
+
+
+def test_mixing_is_a_pareto_sample(docs, spark, sf_dir):
+    """The same documents as a sort of each source by odds, on odd rows and on the test table; targets are met to half a document."""
+    got = sorted(((r.doc_id, r.taken) for r in mixing.mixed_sample(docs).collect()), key=str)
+    assert got == sorted(((i, t) for i, t, _ in brute_pareto([(r[0], r[1], r[6]) for r in odd_rows()])), key=str)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in table.collect()]
+    found = mixing.mixed_sample(table).collect()
+    assert sorted((r.doc_id, r.taken) for r in found) == sorted((i, t) for i, t, _ in brute_pareto(rows))
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r.source].append(r)
+    for some in by.values():
+        assert abs(sum(r.taken for r in some) - some[0].target) <= max(r["size"] for r in some) / 2 + 1e-6
+
+
+def test_mixing_probabilities():
+    """Over 200 seeds documents are drawn about as often as their inclusion probabilities say, which differ within a source."""
+    r = random.Random(6)
+    rows = [(k, "w " * r.choice([3, 5, 8, 13, 21, 34]), "ab"[k % 2]) for k in range(120)]
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    drawn, chance = collections.Counter(), {}
+    for seed in range(200):
+        for i, taken, p in brute_pareto(rows, seed):
+            drawn[i] += taken // sizes[i]
+            chance[i] = p
+    certain = {i: round(drawn[i] / 200 - chance[i]) for i in drawn}
+    assert len({round(p, 6) for p in chance.values()}) > 4
+    assert all(abs(drawn[i] / 200 - certain[i] - p) < 0.17 for i, p in chance.items())
+    assert abs(sum(drawn.values()) / 200 - sum(chance[i] + certain[i] for i in chance)) < 1
+
+
+def test_mixing_odds_and_alike_rows(spark):
+    """Odds change the result; a sample that ends among rows wholly alike takes some of them; long texts and null sources count whole."""
+    r = random.Random(7)
+    rows = [(k, "w " * r.randrange(1, 60), None if k % 2 else "s") for k in range(300)] + [(900, "x y z", "t")] * 101 + [(901, "long " * 300_000, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mixed_sample(df).collect()
+    assert len(got) == len(rows) and sorted((x.doc_id, x.taken) for x in got if x.doc_id < 900) == sorted((i, t) for i, t, _ in brute_pareto(rows) if i < 900)
+    alike = [x for x in got if x.doc_id == 900]
+    assert len(alike) == 101 and abs(sum(x.taken for x in alike) - alike[0].target) <= 1.5
+    some = mixing.mixed_sample(df.where("doc_id < 900"), share=1.2).where("source = 's'").collect()
+    by_hash = sorted(some, key=lambda x: hashlib.md5(f"17:{x.doc_id}:{'w ' * x['size']}".encode()).hexdigest()[:13])
+    extra = [x.n_copies for x in by_hash]
+    assert set(extra) == {1, 2} and extra != sorted(extra, reverse=True)  # equal odds would take the smallest random numbers
 
 
 def test_empty_tables(spark):
