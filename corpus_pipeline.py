@@ -18,12 +18,17 @@ from lexiloom.llm.language_id import identified, learned
 from lexiloom.llm.mixing import mixed_sample
 
 
+def _fresh(name: str, docs: DataFrame) -> str:
+    """name, or name with _ behind it as often as docs has such a column."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def _with_row_id(docs: DataFrame) -> tuple[DataFrame, str, bool]:
     """(docs with an id for each row, its column, whether doc_id alone would not do). Ids that are unique are taken as they are;
     a row whose doc_id is null or repeated gets a negative hash of id and text."""
-    name = "row_id"
-    while name.lower() in (c.lower() for c in docs.columns):
-        name += "_"
+    name = _fresh("row_id", docs)
     doubled = written(docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").select(F.col("doc_id").alias("d")), "pipeline-ids")
     if doubled.isEmpty():
         return docs.withColumn(name, F.col("doc_id").cast("long")), name, False
@@ -40,7 +45,8 @@ def _without(docs: DataFrame, name: str, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: null texts and texts without a letter go."""
+    """Documents whose language the learned filters can tell; null texts, texts without a letter and those whose n-grams are in no
+    language's filter go."""
     return identified(docs, learned(docs))
 
 
@@ -67,13 +73,18 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies of documents that mix sources to their target weights, one row each."""
+    """The copies of documents that mix sources to their target weights, one row each; a column of docs may have any name."""
     docs, name, _ = _with_row_id(docs)
-    label = "copy_no"
-    while label.lower() in (c.lower() for c in docs.columns):
-        label += "_"
-    taken = ids_hint(written(mixed_sample(docs, id_col=name).where("n_copies > 0").select(F.col("doc_id").alias("taken_id"), F.col("n_copies").alias("taken_n")).distinct(), "pipeline-taken"))
-    return docs.join(taken, docs[name] == taken["taken_id"]).withColumn(label, F.explode(F.sequence(F.lit(1), F.col("taken_n").cast("int")))).drop(name, "taken_id", "taken_n")
+    label, key, few, every = (_fresh(c, docs) for c in ("copy_no", "taken_id", "taken_n", "all_n"))
+    taken = mixed_sample(docs, id_col=name).groupBy(F.col("doc_id").alias(key)).agg(F.min("n_copies").alias("low"), F.max("n_copies").alias(few), F.sum("n_copies").alias(every))
+    taken = written(taken.where(F.col(few) > 0), "pipeline-taken")
+    copies = lambda rows, n: rows.withColumn(label, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(name, key, n)
+    even, odd = taken.where(F.col("low") == F.col(few)).select(key, few), taken.where(F.col("low") < F.col(few)).select(key, every)
+    out = copies(docs.join(ids_hint(even), F.col(name) == F.col(key)), few)
+    if odd.isEmpty():
+        return out
+    # rows wholly alike of which the mix takes some: one of them stands for all their copies
+    return out.unionByName(copies(docs.join(ids_hint(odd), F.col(name) == F.col(key)).dropDuplicates([name]), every))
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("n-gram Jaccard join", near), ("benchmark decontamination", clean), ("mixing sources to target weights", mix)]
