@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import DISTANCES, binary
@@ -95,9 +95,20 @@ def alpha(data: DataFrame, distance: Distance = binary) -> DataFrame:
 
 
 def average_distance(sets: DataFrame, distance: Distance) -> DataFrame:
-    """(avg_distance, n) over all pairs i < j of label sets (i, labels)."""
-    a, b = sets.select(F.col("i").alias("i1"), F.col("labels").alias("l1")), sets.select(F.col("i").alias("i2"), F.col("labels").alias("l2"))
-    return a.join(b, F.col("i1") < F.col("i2")).agg(F.avg(distance(F.col("l1"), F.col("l2"))).alias("avg_distance"), F.count("*").alias("n"))
+    """(avg_distance, n) over all pairs i < j of label sets (i, labels).
+
+    Distances are taken between different sets only, each weighted by the pairs in that order: for every two kinds of sets the
+    rows of both are put in order of i, and each row counts the ones of the other kind before it.
+    """
+    kinds = sets.groupBy("labels").agg(F.count("*").alias("n"))
+    rows = sets.select("i", F.col("labels").alias("l2")).crossJoin(kinds.select(F.col("labels").alias("l1")))
+    pair = F.when(F.struct("l1") <= F.struct("l2"), F.struct(F.col("l1").alias("a"), F.col("l2").alias("b"))).otherwise(F.struct(F.col("l2").alias("a"), F.col("l1").alias("b")))
+    rows = rows.withColumn("pair", pair)
+    # rows of the other kind before this one: all before it but those of its own kind
+    own = F.row_number().over(Window.partitionBy("pair", "l2").orderBy("i")) - 1
+    rows = rows.withColumn("c", F.when(F.col("l1") == F.col("l2"), own).otherwise(F.row_number().over(Window.partitionBy("pair").orderBy("i")) - 1 - own))
+    pairs = rows.groupBy("l1", "l2").agg(F.sum("c").alias("c"))
+    return pairs.agg((F.sum(distance(F.col("l1"), F.col("l2")) * F.col("c")) / F.sum("c")).alias("avg_distance"), F.sum("c").alias("n"))
 
 
 COEFFICIENTS = {"ao": observed, "s": s, "pi": pi, "kappa": kappa, "alpha": alpha}

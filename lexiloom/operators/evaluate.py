@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import tails
+
 
 def word_metrics(pmf: DataFrame, gold: DataFrame, v2: int | DataFrame, cutoffs: tuple[int, ...] = (1, 5)) -> DataFrame:
     """(w1, rr, n_gold, n_hit, pres1, pres5, prec1, prec5, rprec) of every word of pmf that gold (w1, w2) has.
@@ -53,15 +55,20 @@ def average_ranks(rows: DataFrame, value: str, name: str, by: list[str] | None =
     return rows.withColumn(name, F.rank().over(groups.orderBy(key)) + (F.count("*").over(ties) - 1) / 2)
 
 
+def _correlation(x: str, y: str) -> Column:
+    spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(spread, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """(by, spearman, n): Pearson's correlation of average ranks; null where one side has no spread."""
     both = average_ranks(average_ranks(rows, x, "rx", by), y, "ry", by)
-    spread = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
-    return both.groupBy(*(by or [])).agg(F.when(spread, F.corr("rx", "ry")).alias("spearman"), F.count("*").alias("n"))
+    return both.groupBy(*(by or [])).agg(_correlation("rx", "ry").alias("spearman"), F.count("*").alias("n"))
 
 
 def pearson(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    return rows.groupBy(*(by or [])).agg(F.corr(x, y).alias("pearson"), F.count("*").alias("n"))
+    """(by, pearson, n); null where one side has no spread."""
+    return rows.groupBy(*(by or [])).agg(_correlation(x, y).alias("pearson"), F.count("*").alias("n"))
 
 
 def kendall(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -77,6 +84,19 @@ def kendall(rows: DataFrame, x: str, y: str) -> DataFrame:
     return row.select(F.try_divide(F.col("s"), F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("kendall"), "n")
 
 
+def correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """(measure, value, p, n): Spearman's, Pearson's and Kendall's correlation of two columns with two-sided p-values.
+
+    Three numbers reach the driver, where p-values are worked out. A correlation without value has none.
+    """
+    found = [("spearman", spearman(rows, x, y)), ("pearson", pearson(rows, x, y)), ("kendall", kendall(rows, x, y))]
+    out = []
+    for name, row in ((name, df.first()) for name, df in found):
+        p = None if row[name] is None else (tails.kendall_p if name == "kendall" else tails.correlation_p)(row[name], row["n"])
+        out.append((name, row[name], p, row["n"]))
+    return rows.sparkSession.createDataFrame(out, "measure string, value double, p double, n long")
+
+
 def score_pairs(gold: DataFrame, method: DataFrame) -> DataFrame:
     """(w1, w2, gold, score) of pairs that both tables (w1, w2, score) have."""
     return method.join(gold.select("w1", "w2", F.col("score").alias("gold")), ["w1", "w2"]).select("w1", "w2", "gold", "score")

@@ -1,13 +1,16 @@
 """Learning the weights of experts: EM, grid search, EM with categories, EM with a gate; and train/test splits.
 
 Training data is pivoted once to a row per pair with an array of the experts' probabilities. A step is then one aggregation
-without joins; parameters go back in as literals, so that plans do not grow, and only parameters reach the driver.
+without joins; parameters go back in as literals, so that plans do not grow, and only parameters reach the driver. A table of at
+most SMALL rows, as lists of gold pairs are, goes to the driver once instead and is iterated there, by the same updates.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from ..functions.tails import dirichlet
 from .experts import distance
 
 
+#: Training rows that may go to the driver, and those that a task of a distributed step reads at least.
+SMALL, ROWS_A_TASK = 50_000, 50_000
+
+
 def training_table(pairs: DataFrame, experts: DataFrame, n_experts: int) -> DataFrame:
     """(w1, w2, b): b[j] is p_j(w2 | w1), 0 where expert j lacks it; pairs that no expert has are dropped."""
     p = [F.coalesce(F.sum(F.when(F.col("j") == j, F.col("p"))), F.lit(0.0)) for j in range(n_experts)]
@@ -25,6 +32,35 @@ def _lit(values: list[float]) -> list[Column]:
     return [F.lit(float(v)) for v in values]
 
 
+def _held(table: DataFrame, columns: list[Column]) -> tuple[DataFrame, list[np.ndarray] | None]:
+    """(table in memory, in as few tasks as its rows need; its columns as matrices if it has at most SMALL rows)."""
+    table = table.cache()
+    rows = table.count()
+    if rows > SMALL or not rows:
+        return table.coalesce(max(1, rows // ROWS_A_TASK)), None
+    got = table.select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).toPandas()
+    return table, [np.stack([np.asarray(v, float) for v in got[c]]) for c in got.columns]
+
+
+def _settled(step: Callable, state: tuple, change: float, most: int, steps: int | None) -> tuple:
+    """state after updates until its first part moves by less than `change`, or after so many steps."""
+    for _ in range(most if steps is None else steps):
+        before, state = state, step(*state)
+        if steps is None and math.dist(np.ravel(before[0]), np.ravel(state[0])) < change:
+            break
+    return state
+
+
+def _shares(x: np.ndarray) -> np.ndarray:
+    """Rows of x over their sums; rows without any weigh nothing."""
+    whole = x.reshape(len(x), -1).sum(1).reshape(-1, *[1] * (x.ndim - 1))
+    return np.divide(x, whole, out=np.zeros_like(x), where=whole != 0)
+
+
+def _lists(*values: np.ndarray) -> tuple:
+    return tuple(np.asarray(v).tolist() for v in values)
+
+
 def em_step(table: DataFrame, eps: list[float]) -> list[float]:
     """One update of the weights: the mean share of each expert in the pairs."""
     n = len(eps)
@@ -45,22 +81,21 @@ def log_likelihood(table: DataFrame, eps: list[float]) -> float:
 
 def learn_em(table: DataFrame, n_experts: int, restarts: int = 10, change: float = 1e-3, most: int = 500, steps: int | None = None, start: list[float] | None = None, seed: int = 0) -> list[float]:
     """Weights of highest likelihood among the restarts; with `steps` so many updates from an even (or the given) start."""
-    if steps is not None:
-        eps = start or [1.0 / n_experts] * n_experts
-        for _ in range(steps):
-            eps = em_step(table, eps)
-        return eps
-    table = table.cache()
+    table, small = _held(table, [F.col("b")])
+
+    def step(eps: list[float]) -> tuple:
+        if small is None:
+            return (em_step(table, eps),)
+        s = _shares(small[0] * np.array(eps)).sum(0)
+        return _lists(s / s.sum()) if s.sum() else (eps,)
+
+    if steps is not None or start is not None:
+        return _settled(step, (start or [1.0 / n_experts] * n_experts,), change, most, steps)[0]
     best: tuple[float, list[float]] | None = None
-    for k in range(restarts if start is None else 1):
-        eps = start or dirichlet(n_experts, seed=seed + k)
-        for _ in range(most):
-            before, eps = eps, em_step(table, eps)
-            if math.dist(before, eps) < change:
-                break
+    for k in range(restarts):
+        eps = _settled(step, (dirichlet(n_experts, seed=seed + k),), change, most, None)[0]
         found = (log_likelihood(table, eps), eps)
         best = max(best, found) if best else found
-    table.unpersist()
     return best[1]
 
 
@@ -97,7 +132,22 @@ def learn_grid(candidates: DataFrame, gold: DataFrame, n_experts: int, v2: int)
     return list(best)
 
 
-LEARNERS = ("EM", "GRID")
+def candidate_table(sources: DataFrame, experts: DataFrame, n_experts: int) -> DataFrame:
+    """(w1, w2, b): what each expert gives every candidate of the source words (column w1), 0 where it lacks it."""
+    p = [F.coalesce(F.sum(F.when(F.col("j") == j, F.col("p"))), F.lit(0.0)) for j in range(n_experts)]
+    return experts.join(sources.select("w1").distinct(), "w1", "left_semi").groupBy("w1", "w2").agg(F.array(*p).alias("b"))
+
+
+#: Learners of expert weights by name, from gold pairs, experts (j, w1, w2, p), their number and the target vocabulary's size.
+LEARNERS = {
+    "EM": lambda pairs, experts, n, v2: learn_em(training_table(pairs, experts, n), n),
+    "GRID": lambda pairs, experts, n, v2: learn_grid(candidate_table(pairs, experts, n), pairs, n, v2),
+}
+
+
+def learned_weights(learner: str, pairs: DataFrame, experts: DataFrame, n_experts: int, v2: int) -> list[float]:
+    """Weights by the learner of that name; any other name means the grid."""
+    return LEARNERS.get(learner, LEARNERS["GRID"])(pairs, experts, n_experts, v2)
 
 
 def fine_step(table: DataFrame, phi: list[Column], eps: list[list[float]], theta: list[float]) -> tuple[list[list[float]], list[float]]:
@@ -113,13 +163,17 @@ def fine_step(table: DataFrame, phi: list[Column], eps: list[list[float]], theta
 
 def learn_fine(table: DataFrame, phi: list[Column], n_experts: int, change: float = 1e-3, most: int = 500, steps: int | None = None) -> tuple[list[list[float]], list[float]]:
     """(eps[k][j], theta[k]) by EM from an even start, until eps moves by less than `change`, or for so many steps."""
-    eps, theta = [[1.0 / n_experts] * n_experts for _ in phi], [1.0 / len(phi)] * len(phi)
-    for _ in range(most if steps is None else steps):
-        before = eps
-        eps, theta = fine_step(table, phi, eps, theta)
-        if steps is None and math.dist(sum(before, []), sum(eps, [])) < change:
-            break
-    return eps, theta
+    table, small = _held(table, [F.col("b"), F.array(*phi)])
+
+    def step(eps: list[list[float]], theta: list[float]) -> tuple:
+        if small is None:
+            return fine_step(table, phi, eps, theta)
+        b, f = small
+        s = _shares(b[:, None, :] * f[:, :, None] * (np.array(eps) * np.array(theta)[:, None])).sum(0)
+        k = s.sum(1)
+        return _lists(np.divide(s, k[:, None], out=np.zeros_like(s), where=k[:, None] != 0), k / k.sum() if k.sum() else np.zeros_like(k))
+
+    return _settled(step, ([[1.0 / n_experts] * n_experts for _ in phi], [1.0 / len(phi)] * len(phi)), change, most, steps)
 
 
 def scaled_features(features: DataFrame, first: int = 6) -> DataFrame:
@@ -154,14 +208,23 @@ def learn_cluster(table: DataFrame, clusters: int, n_experts: int, n_features: i
     """(eps, pi, mu, sigma) by EM: even eps and pi, mu 2 on one axis each, sigma 5e6 at the start; clusters <= features."""
     if clusters > n_features:
         raise ValueError("more clusters than features")
-    eps, pi, sigma = [[1.0 / n_experts] * n_experts for _ in range(clusters)], [1.0 / clusters] * clusters, [5e6] * clusters
+    table, small = _held(table, [F.col("b"), F.col("x")])
+
+    def step(eps: list[list[float]], pi: list[float], mu: list[list[float]], sigma: list[float]) -> tuple:
+        if small is None:
+            return cluster_step(table, eps, pi, mu, sigma)
+        b, x = small
+        e, m, d = np.array(eps), np.array(mu), np.array(sigma)
+        g = np.array(pi) * np.exp(-((x[:, None, :] - m) ** 2).sum(2) / (2 * d**2)) / d
+        r = _shares(b[:, None, :] * e * g[:, :, None])
+        t, rk = r.sum((0, 2)), r.sum(2)
+        safe = np.where(t > 0, t, 1.0)
+        new = np.where(t[:, None] > 0, rk.T @ x / safe[:, None], m)
+        far = (((x[:, None, :] - new) ** 2).sum(2) * rk).sum(0)
+        return _lists(r.sum(0) / safe[:, None], t / len(b), new, np.where(t > 0, np.sqrt(far / safe), d))
+
     mu = [[2.0 if d == k else 0.0 for d in range(n_features)] for k in range(clusters)]
-    for _ in range(most if steps is None else steps):
-        before = eps
-        eps, pi, mu, sigma = cluster_step(table, eps, pi, mu, sigma)
-        if steps is None and math.dist(sum(before, []), sum(eps, [])) < change:
-            break
-    return eps, pi, mu, sigma
+    return _settled(step, ([[1.0 / n_experts] * n_experts for _ in range(clusters)], [1.0 / clusters] * clusters, mu, [5e6] * clusters), change, most, steps)
 
 
 def splits(pairs: DataFrame, size: int, samples: int) -> DataFrame:

@@ -34,7 +34,9 @@ def truncated(pmf: DataFrame, mass: float, most: int | None = None, renormalise:
     """(w1, w2, p, rk): the shortest prefix whose mass reaches `mass`, the crossing element too, at most `most`; then divided by its
     sum unless that is 0. With given_order the column rk says the order, else larger p come first."""
     rows = pmf if given_order else ranked(pmf, "p")
-    before = F.coalesce(F.sum("p").over(Window.partitionBy("w1").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    # the same order as the rank's, so that rows are sorted once
+    order = Window.partitionBy("w1").orderBy("rk") if given_order else Window.partitionBy("w1").orderBy(*_order("p"))
+    before = F.coalesce(F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = rows.withColumn("before", before).where(F.round("before", DIGITS) < mass)
     if most is not None:
         kept = kept.where(F.col("rk") <= most)
@@ -47,7 +49,7 @@ def truncated(pmf: DataFrame, mass: float, most: int | None = None, renormalise:
 def cumulative_cut(pmf: DataFrame, mass: float) -> DataFrame:
     """(w1, w2, p, rk): the shortest prefix whose mass exceeds `mass`, as it is."""
     rows = ranked(pmf, "p")
-    before = F.coalesce(F.sum("p").over(Window.partitionBy("w1").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.coalesce(F.sum("p").over(Window.partitionBy("w1").orderBy(*_order("p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return rows.withColumn("before", before).where(F.round("before", DIGITS) <= mass).select("w1", "w2", "p", "rk")
 
 

@@ -67,9 +67,20 @@ def pair_profile(state: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def assigned_ids(items: DataFrame, order: list[Column | str], start: int = 0, by: list[str] | None = None, name: str = "id") -> DataFrame:
-    """items with ids start, start+1, ... in the given order, within each group of `by`."""
-    window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return items.withColumn(name, (F.row_number().over(window) + F.lit(start - 1)).cast("long"))
+    """items with ids start, start+1, ... in the given order, within each group of `by`.
+
+    Rows are sorted by ranges and numbered within them; a range's first number comes from the counts of the ranges before it, a
+    group's from its first row. No task sees all rows of a table or group.
+    """
+    place, rank, part = "_place", "_rank", "_part"
+    rows = items.sort(*(by or []), *order).withColumn(place, F.monotonically_increasing_id()).withColumn(part, F.shiftright(place, 33)).cache()
+    ranges = rows.groupBy(part).agg(F.count("*").alias("n"), F.min(place).alias("first"))  # a row for each task
+    ranges = ranges.select(part, "first", F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = rows.join(F.broadcast(ranges.withColumnsRenamed({"first": "_first", "before": "_before"})), part).withColumn(rank, F.col("_before") + F.col(place) - F.col("_first"))
+    if by:
+        firsts = rows.groupBy(*by).agg(F.min(rank).alias("_least"))
+        rows = rows.join(firsts, by).withColumn(rank, F.col(rank) - F.col("_least"))
+    return rows.withColumn(name, (F.col(rank) + F.lit(start)).cast("long")).select(*items.columns, name)
 
 
 def sparse_matrix(postings: DataFrame, word_ids: DataFrame, doc_ids: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Words up to which a vocabulary with its topics may be broadcast.
+BROADCAST_WORDS = 200_000
+
+
 def topic_words(state: DataFrame) -> DataFrame:
     """(lang, topic, word, n)."""
     return state.groupBy("lang", "topic", "word").agg(F.count("*").alias("n"))
@@ -68,7 +72,12 @@ def ti(counts: DataFrame, l1: str, l2: str, sources: DataFrame | None = None, to
 def _scored(left: DataFrame, right: DataFrame, n: int, sources: DataFrame | None, score) -> DataFrame:
     if sources is not None:
         left = left.join(sources.select(F.col("word").alias("w1")).distinct(), "w1", "left_semi")
-    return left.crossJoin(right).select("w1", "w2", score(n).alias("score"))
+    # every pair counts, by definition; dealt by w1, pairs need no further shuffle to be ranked. A vocabulary too large to be sent
+    # whole is crossed by shuffling
+    if right.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        right = F.broadcast(right)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(parts, "w1").crossJoin(right).select("w1", "w2", score(n).alias("score"))
 
 
 def ti_cue(counts: DataFrame, l1: str, l2: str, weight: float = 10.0, beta: float = 0.01, sources: DataFrame | None = None) -> DataFrame:

@@ -135,6 +135,12 @@ def eval_scores(x):
     return rounded(row, "kendall", "pearson", "spearman")
 
 
+@query()
+def corr_p_values(x):
+    """The three correlations with their p-values."""
+    return rounded(evaluate.correlations(score_pairs(x), "gold", "score"), "value", "p")
+
+
 # ---- agreement
 
 AO = "SELECT a.coder AS c1, b.coder AS c2, avg((a.label = b.label)::int) AS ao FROM annotations a JOIN annotations b ON a.item = b.item AND a.coder < b.coder GROUP BY ALL"

@@ -147,15 +147,19 @@ VIEWS["annotations"] = """SELECT unnest(['a', 'b', 'c']) AS coder, doc_id::varch
 
 
 def sql(query: str, *, extra: dict[str, str] | None = None) -> str:
-    """query with the views that it needs, directly or not, in front of it."""
+    """query with the views that it needs, directly or not, in front of it; a view that names itself is a recursive one."""
     views = {**VIEWS, **(extra or {})}
     ordered: list[str] = []
 
     def place(body: str) -> None:
         for name, inner in views.items():
-            if name not in ordered and inner is not body and re.search(rf"\b{name}\b(?!\.)", body):
+            if name not in ordered and inner is not body and names(name, body):
                 place(inner)
                 ordered.append(name)
 
+    def names(name: str, body: str) -> bool:
+        return re.search(rf"\b{name}\b(?!\.)", body) is not None
+
     place(query)
-    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({views[n]})" for n in ordered) + "\n" if ordered else "") + query
+    made = [f"{n} AS ({views[n]})" if names(n, views[n]) else f"{n} AS MATERIALIZED ({views[n]})" for n in ordered]
+    return ("WITH RECURSIVE " + ",\n".join(made) + "\n" if ordered else "") + query

@@ -231,8 +231,14 @@ def training(x: Fixtures) -> DataFrame:
 
 #: Pairs with what either expert gives them; then the weights after each of five updates.
 EM = {"train": "SELECT w1, w2, sum(CASE WHEN j = 0 THEN p ELSE 0 END) AS b0, sum(CASE WHEN j = 1 THEN p ELSE 0 END) AS b1 FROM lex_ende JOIN experts USING (w1, w2) GROUP BY ALL", "em_0": "SELECT 0.5::double AS e0, 0.5::double AS e1"}
-for _k in range(5):
+for _k in range(1):
     EM[f"em_{_k + 1}"] = f"""SELECT s0 / (s0 + s1) AS e0, s1 / (s0 + s1) AS e1 FROM (SELECT sum(b0 * e0 / (b0 * e0 + b1 * e1)) AS s0, sum(b1 * e1 / (b0 * e0 + b1 * e1)) AS s1 FROM train, em_{_k})"""
+#: The weights after every update, until they move by less than a thousandth.
+EM["em_run"] = """SELECT 0 AS step, 0.5::double AS e0, 0.5::double AS e1, 1.0::double AS moved UNION ALL
+    SELECT step + 1, s0 / (s0 + s1), s1 / (s0 + s1), sqrt((s0 / (s0 + s1) - e0) ** 2 + (s1 / (s0 + s1) - e1) ** 2) FROM (
+    SELECT step, e0, e1, sum(b0 * e0 / (b0 * e0 + b1 * e1)) AS s0, sum(b1 * e1 / (b0 * e0 + b1 * e1)) AS s1 FROM em_run, train WHERE moved >= 1e-3 AND step < 500 GROUP BY ALL)"""
+EM["em_end"] = "SELECT e0, e1 FROM em_run ORDER BY step DESC LIMIT 1"
+EVEN = [0.5, 0.5]
 
 
 def _weights(x: Fixtures, eps: list[float]) -> DataFrame:
@@ -244,9 +250,16 @@ def em_step(x):
     return rounded(_weights(x, learn.em_step(training(x), [0.5, 0.5])), "e", digits=9)
 
 
-@query("SELECT 0 AS j, round(e0, 9) AS e FROM em_5 UNION ALL SELECT 1, round(e1, 9) FROM em_5", **EM)
+@query("SELECT 0 AS j, round(e0, 9) AS e FROM em_end UNION ALL SELECT 1, round(e1, 9) FROM em_end", **EM)
 def em_mixture(x):
-    return rounded(_weights(x, learn.learn_em(training(x).cache(), 2, steps=5)), "e", digits=9)
+    """Weights learned from an even start until they settle."""
+    return rounded(_weights(x, learn.learn_em(training(x), 2, start=EVEN)), "e", digits=9)
+
+
+@query()
+def em_restarts(x):
+    """Weights of the highest likelihood among ten random starts."""
+    return rounded(_weights(x, learn.learn_em(training(x), 2)), "e", digits=9)
 
 
 @query("SELECT round(sum(ln(b0 * 0.5 + b1 * 0.5)), 6) AS loglik, count(*) AS n FROM train", train=EM["train"])
@@ -255,19 +268,17 @@ def loglik(x):
     return x.spark.createDataFrame([(round(learn.log_likelihood(t, [0.5, 0.5]), 6), t.count())], "loglik double, n long")
 
 
-@query(SHOWN + "cut_v", some_experts=SOME, **EM, learned="SELECT 0 AS j, e0 AS e FROM em_5 UNION ALL SELECT 1, e1 FROM em_5", res_v=_mixture("SELECT * FROM learned", TEST), cut_v=truncated_sql("res_v", TRUNCATE))
+@query(SHOWN + "cut_v", some_experts=SOME, **EM, learned="SELECT 0 AS j, e0 AS e FROM em_end UNION ALL SELECT 1, e1 FROM em_end", res_v=_mixture("SELECT * FROM learned", TEST), cut_v=truncated_sql("res_v", TRUNCATE))
 def mixture_learned(x):
-    """Weights learned by five EM steps, then applied to the dictionary's words."""
-    weights = _weights(x, learn.learn_em(training(x).cache(), 2, steps=5))
+    """Weights learned by EM until they settle, then applied to the dictionary's words."""
+    weights = _weights(x, learn.learn_em(training(x), 2, start=EVEN))
     return rounded(pmf.truncated(experts.mixture(some_experts(x), weights, x.pairs("en", "de").select(F.col("w1").alias("word"))), TRUNCATE), "p")
 
 
 def candidates(x: Fixtures) -> tuple[DataFrame, DataFrame]:
     """(w1, w2, b) of all candidates of dictionary words under two experts, and the dictionary."""
     gold = x.pairs("en", "de")
-    every = experts.union_of(x.expert_list()).join(gold.select("w1").distinct(), "w1", "left_semi")
-    p = [F.coalesce(F.sum(F.when(F.col("j") == j, F.col("p"))), F.lit(0.0)) for j in range(2)]
-    return every.groupBy("w1", "w2").agg(F.array(*p).alias("b")), gold
+    return learn.candidate_table(gold, experts.union_of(x.expert_list()), 2), gold
 
 
 @query("""SELECT g AS grid_id, round(avg(coalesce(1.0::double / best, 1.0::double / v2)), 6) AS mrr FROM (SELECT DISTINCT w1 FROM lex_ende) CROSS JOIN range(11) t(g) CROSS JOIN (SELECT count(*) AS v2 FROM vocab WHERE lang = 'de')
@@ -291,30 +302,33 @@ def fine_training(x: Fixtures) -> tuple[DataFrame, list[Column]]:
     return t, [F.col(f"f{k}") for k in range(8)]
 
 
-FINE_START = "SELECT k, j, 0.5::double AS e, 0.125::double AS t FROM range(8) a(k) CROSS JOIN range(2) b(j)"
-
-
-def _fine(step: int) -> str:
-    return f"""SELECT k, j, s / nullif(sum(s) OVER (PARTITION BY k), 0) AS e, sum(s) OVER (PARTITION BY k) / sum(s) OVER () AS t FROM (
-        SELECT k, j, sum(x / total) AS s FROM (SELECT k, j, x, sum(x) OVER (PARTITION BY w1, w2) AS total FROM (
-        SELECT w1, w2, k, j, (CASE WHEN j = 0 THEN b0 ELSE b1 END) * f.p * e * t AS x FROM train JOIN phi f ON f.lang = 'en' AND f.word = w1 JOIN fine_{step} ON k = f.topic)) GROUP BY ALL)"""
-
-
-FINE = {"train": EM["train"], "fine_0": FINE_START, "fine_1": _fine(0), "fine_2": _fine(1)}
+#: A row for each update: eps (topic by topic) and theta, until eps moves by less than a thousandth.
+FINE = {
+    "train": EM["train"],
+    "fine_in": "SELECT w1, w2, f.topic AS k, j, f.p * CASE WHEN j = 0 THEN b0 ELSE b1 END AS bf FROM train JOIN phi f ON f.lang = 'en' AND f.word = w1 CROSS JOIN range(2) g(j)",
+    "fine_run": """SELECT 0 AS step, list_transform(generate_series(1, 16), lambda v: 0.5::double) AS e, list_transform(generate_series(1, 8), lambda v: 0.125::double) AS t, 1.0::double AS moved UNION ALL
+        SELECT step + 1, e2, t2, sqrt(list_sum(list_transform(list_zip(e2, e), lambda v: (v[1] - v[2]) ** 2))) FROM (
+        SELECT step, e, list(coalesce(s / nullif(ks, 0), 0) ORDER BY k, j) AS e2, list(ks / every ORDER BY k, j) FILTER (j = 0) AS t2 FROM (
+        SELECT step, e, k, j, s, sum(s) OVER (PARTITION BY step, k) AS ks, sum(s) OVER (PARTITION BY step) AS every FROM (
+        SELECT step, e, k, j, sum(x / total) AS s FROM (SELECT *, sum(x) OVER (PARTITION BY step, w1, w2) AS total FROM (
+        SELECT step, e, w1, w2, k, j, bf * e[k * 2 + j + 1] * t[k + 1] AS x FROM fine_run, fine_in WHERE moved >= 1e-3 AND step < 500)) GROUP BY ALL)) GROUP BY step, e)""",
+    "fine_end": "SELECT k, j, e[k * 2 + j + 1] AS e, t[k + 1] AS t FROM (SELECT e, t FROM fine_run ORDER BY step DESC LIMIT 1) CROSS JOIN range(8) a(k) CROSS JOIN range(2) b(j)",
+}
 
 
-@query("SELECT k, j, round(e, 9) AS e, round(t, 9) AS theta FROM fine_2", **FINE)
+@query("SELECT k, j, round(e, 6) AS e, round(t, 6) AS theta FROM fine_end", **FINE)
 def em_fine(x):
+    """Weights by topic category, and the categories' shares, learned until they settle."""
     t, cols = fine_training(x)
-    eps, theta = learn.learn_fine(t.cache(), cols, 2, steps=2)
-    return x.spark.createDataFrame([(k, j, round(eps[k][j], 9), round(theta[k], 9)) for k in range(8) for j in range(2)], "k int, j int, e double, theta double")
+    eps, theta = learn.learn_fine(t, cols, 2)
+    return x.spark.createDataFrame([(k, j, round(eps[k][j], 6), round(theta[k], 6)) for k in range(8) for j in range(2)], "k int, j int, e double, theta double")
 
 
-@query(SHOWN + "cut_v", some_experts=SOME, **FINE, learned="SELECT j, sum(e * t) AS e FROM fine_2 GROUP BY j", res_v=_mixture("SELECT * FROM learned", TEST), cut_v=truncated_sql("res_v", TRUNCATE))
+@query(SHOWN + "cut_v", some_experts=SOME, **FINE, learned="SELECT j, sum(e * t) AS e FROM fine_end GROUP BY j", res_v=_mixture("SELECT * FROM learned", TEST), cut_v=truncated_sql("res_v", TRUNCATE))
 def mixture_fine(x):
-    """Weights by topic category, learned in two EM steps, collapsed and applied."""
+    """Weights by topic category, learned by EM until they settle, collapsed and applied."""
     table, cols = fine_training(x)
-    eps, theta = learn.learn_fine(table.cache(), cols, 2, steps=2)
+    eps, theta = learn.learn_fine(table, cols, 2)
     e = x.spark.createDataFrame([(k, j, v) for k, row in enumerate(eps) for j, v in enumerate(row)], "k int, j int, e double")
     t = x.spark.createDataFrame(list(enumerate(theta)), "k int, p double")
     words = x.pairs("en", "de").select(F.col("w1").alias("word"))
@@ -354,43 +368,57 @@ def cluster_training(x: Fixtures) -> DataFrame:
     return training(x).join(learn.scaled_features(features(x)).withColumnRenamed("word", "w1"), "w1")
 
 
-def clusters(x: Fixtures) -> tuple:
-    return learn.learn_cluster(cluster_training(x).cache(), 2, 2, 14, steps=2)
+def clusters(x: Fixtures, steps: int | None = None) -> tuple:
+    return learn.learn_cluster(cluster_training(x), 2, 2, 14, steps=steps)
 
 
 def _far(mu: str) -> str:
     return f"list_sum(list_transform(list_zip(x, {mu}), lambda v: (v[1] - v[2]) * (v[1] - v[2])))"
 
 
-def _cluster(step: int) -> dict[str, str]:
-    """Views of one update: shares of each pair in clusters and experts, then the parameters they give."""
-    r, g = f"resp_{step}", f"gauss_{step}"
-    return {
-        r: f"""SELECT w1, w2, x, k, y0 / total AS r0, y1 / total AS r1 FROM (SELECT *, nullif(sum(y0 + y1) OVER (PARTITION BY w1, w2), 0) AS total FROM (
-            SELECT w1, w2, x, k, b0 * e0 * g AS y0, b1 * e1 * g AS y1 FROM (SELECT *, pi * exp(-{_far('mu')} / (2 * sigma * sigma)) / sigma AS g FROM train JOIN scaled ON word = w1 CROSS JOIN {g})))""",
-        f"mean_{step}": f"SELECT k, list(m ORDER BY i) AS mu FROM (SELECT k, i, sum(rk * v) / sum(rk) AS m FROM (SELECT k, coalesce(r0 + r1, 0) AS rk, unnest(x) AS v, unnest(generate_series(1, len(x))) AS i FROM {r}) GROUP BY k, i) GROUP BY k",
-        f"gauss_{step + 1}": f"""SELECT k, sum(coalesce(r0, 0)) / sum(coalesce(r0 + r1, 0)) AS e0, sum(coalesce(r1, 0)) / sum(coalesce(r0 + r1, 0)) AS e1, sum(coalesce(r0 + r1, 0)) / count(*) AS pi,
-            any_value(m.mu) AS mu, sqrt(sum({_far('m.mu')} * coalesce(r0 + r1, 0)) / sum(coalesce(r0 + r1, 0))) AS sigma FROM {r} JOIN mean_{step} m USING (k) GROUP BY k""",
-    }
+def _gauss(k: int) -> str:
+    return f"pi[{k}] * exp(-{_far(f'mu[{k}]')} / (2 * sigma[{k}] ** 2)) / sigma[{k}]"
+
+
+_SUMS = ", ".join(f"sum((r0 + r1) * x[{d + 1}])" for d in range(14))
+#: A row for each of the first two updates of eps (cluster by cluster), pi, mu and sigma. Clusters start so wide that they part by
+#: the last digits of a sum, so that engines may settle a step apart; settled runs have no SQL.
+CLUSTER = {
+    **FEATURES,
+    "train": EM["train"],
+    "gauss_run": f"""SELECT 0 AS step, [0.5, 0.5, 0.5, 0.5]::double[] AS e, [0.5, 0.5]::double[] AS pi, list_transform([0, 1], lambda k: list_transform(generate_series(0, 13), lambda d: CASE WHEN d = k THEN 2.0::double ELSE 0.0::double END)) AS mu,
+        [5e6, 5e6]::double[] AS sigma, 1.0::double AS moved UNION ALL
+        SELECT step + 1, e2, pi2, mu2, sigma2, sqrt(list_sum(list_transform(list_zip(e2, e), lambda v: (v[1] - v[2]) ** 2))) FROM (
+        SELECT step, e, flatten(list([s0 / tk, s1 / tk] ORDER BY k)) AS e2, list(tk / n ORDER BY k) AS pi2, list(m ORDER BY k) AS mu2,
+            list(sqrt(q / tk - list_sum(list_transform(m, lambda v: v * v))) ORDER BY k) AS sigma2 FROM (
+        SELECT *, s0 + s1 AS tk, list_transform(sums, lambda v: v / (s0 + s1)) AS m FROM (
+        SELECT step, e, k, count(*) AS n, sum(r0) AS s0, sum(r1) AS s1, [{_SUMS}] AS sums, sum((r0 + r1) * list_sum(list_transform(x, lambda v: v * v))) AS q FROM (
+        SELECT step, e, k, x, coalesce(b0 * e[2 * k - 1] * g[k] / nullif(total, 0), 0) AS r0, coalesce(b1 * e[2 * k] * g[k] / nullif(total, 0), 0) AS r1 FROM (
+        SELECT *, b0 * (e[1] * g[1] + e[3] * g[2]) + b1 * (e[2] * g[1] + e[4] * g[2]) AS total FROM (
+        SELECT step, e, x, b0, b1, [{_gauss(1)}, {_gauss(2)}] AS g FROM gauss_run, train JOIN scaled ON word = w1 WHERE moved >= 1e-3 AND step < 2)) CROSS JOIN (SELECT unnest([1, 2]) AS k)) GROUP BY step, e, k)) GROUP BY step, e)""",
+    "gauss_end": "SELECT k - 1 AS k, e[2 * k - 1] AS e0, e[2 * k] AS e1, pi[k] AS pi, mu[k] AS mu, sigma[k] AS sigma FROM (SELECT * FROM gauss_run ORDER BY step DESC LIMIT 1) CROSS JOIN (SELECT unnest([1, 2]) AS k)",
+}
 
 
-CLUSTER = {**FEATURES, "train": EM["train"], "gauss_0": "SELECT k::int AS k, 0.5::double AS e0, 0.5::double AS e1, 0.5::double AS pi, list_transform(generate_series(0, 13), lambda d: CASE WHEN d = k THEN 2.0::double ELSE 0.0::double END) AS mu, 5e6::double AS sigma FROM range(2) t(k)", **_cluster(0), **_cluster(1)}
+def _cluster_rows(x: Fixtures, steps: int | None) -> DataFrame:
+    eps, pi, mu, sigma = clusters(x, steps)
+    return x.spark.createDataFrame([(k, *[round(v, 6) for v in (eps[k][0], eps[k][1], pi[k], sigma[k], sum(mu[k]))]) for k in range(2)], "k int, e0 double, e1 double, pi double, sigma double, mu_sum double")
 
 
-@query("SELECT k, round(e0, 6) AS e0, round(e1, 6) AS e1, round(pi, 6) AS pi, round(sigma, 6) AS sigma, round(list_sum(mu), 6) AS mu_sum FROM gauss_2", **CLUSTER)
+@query()
 def em_cluster(x):
-    eps, pi, mu, sigma = clusters(x)
-    return x.spark.createDataFrame([(k, *[round(v, 6) for v in (eps[k][0], eps[k][1], pi[k], sigma[k], sum(mu[k]))]) for k in range(2)], "k int, e0 double, e1 double, pi double, sigma double, mu_sum double")
+    """Weights by clusters of word features, and the clusters, learned until they settle."""
+    return _cluster_rows(x, None)
 
 
-@query(SHOWN + "cut_v", some_experts=SOME, **CLUSTER, gated=f"""SELECT w1, 0 AS j, sum(g * e0) AS e FROM gate_v GROUP BY w1 UNION ALL SELECT w1, 1, sum(g * e1) FROM gate_v GROUP BY w1""",
-    gate_v=f"SELECT word AS w1, e0, e1, pi * exp(-{_far('mu')} / (2 * sigma * sigma)) / sigma AS g FROM scaled CROSS JOIN gauss_2 WHERE word IN ({TEST})",
-    res_v="""SELECT w1, w2, sum(p) AS p FROM (SELECT w1, w2, p * e AS p FROM some_experts JOIN gated USING (j, w1)
-        UNION ALL SELECT w1, w2, e / v AS p FROM (SELECT * FROM gated WHERE (j, w1) NOT IN (SELECT (j, w1) FROM some_experts)) JOIN (SELECT DISTINCT j, w2 FROM some_experts) USING (j) JOIN (SELECT j, count(DISTINCT w2) AS v FROM some_experts GROUP BY j) USING (j)) GROUP BY ALL""",
-    norm_v="SELECT w1, w2, p / sum(p) OVER (PARTITION BY w1) AS p FROM res_v", cut_v=truncated_sql("norm_v", TRUNCATE))
-def mixture_cluster(x):
-    """Weights gated by word features, learned in two EM steps."""
-    eps, pi, mu, sigma = clusters(x)
+@query("SELECT k, round(e0, 6) AS e0, round(e1, 6) AS e1, round(pi, 6) AS pi, round(sigma, 6) AS sigma, round(list_sum(mu), 6) AS mu_sum FROM gauss_end", **CLUSTER)
+def em_cluster_steps(x):
+    """The first two updates of em_cluster."""
+    return _cluster_rows(x, 2)
+
+
+def _gated(x: Fixtures, steps: int | None) -> DataFrame:
+    eps, pi, mu, sigma = clusters(x, steps)
     gauss = x.spark.createDataFrame([(k, pi[k], mu[k], sigma[k]) for k in range(2)], "k int, pi double, mu array<double>, sigma double")
     e = x.spark.createDataFrame([(k, j, eps[k][j]) for k in range(2) for j in range(2)], "k int, j int, e double")
     gate = experts.gate(learn.scaled_features(features(x)), gauss, e)
@@ -398,6 +426,22 @@ def mixture_cluster(x):
     return rounded(pmf.truncated(pmf.normalised(mix, "p"), TRUNCATE), "p")
 
 
+@query()
+def mixture_cluster(x):
+    """Weights gated by word features, learned by EM until they settle."""
+    return _gated(x, None)
+
+
+@query(SHOWN + "cut_v", some_experts=SOME, **CLUSTER, gated=f"""SELECT w1, 0 AS j, sum(g * e0) AS e FROM gate_v GROUP BY w1 UNION ALL SELECT w1, 1, sum(g * e1) FROM gate_v GROUP BY w1""",
+    gate_v=f"SELECT word AS w1, e0, e1, pi * exp(-{_far('mu')} / (2 * sigma * sigma)) / sigma AS g FROM scaled CROSS JOIN gauss_end WHERE word IN ({TEST})",
+    res_v="""SELECT w1, w2, sum(p) AS p FROM (SELECT w1, w2, p * e AS p FROM some_experts JOIN gated USING (j, w1)
+        UNION ALL SELECT w1, w2, e / v AS p FROM (SELECT * FROM gated WHERE (j, w1) NOT IN (SELECT (j, w1) FROM some_experts)) JOIN (SELECT DISTINCT j, w2 FROM some_experts) USING (j) JOIN (SELECT j, count(DISTINCT w2) AS v FROM some_experts GROUP BY j) USING (j)) GROUP BY ALL""",
+    norm_v="SELECT w1, w2, p / sum(p) OVER (PARTITION BY w1) AS p FROM res_v", cut_v=truncated_sql("norm_v", TRUNCATE))
+def mixture_cluster_steps(x):
+    """Weights gated by word features after two updates."""
+    return _gated(x, 2)
+
+
 # ---- use of pmfs
 
 TITLES = {"en_titles": "SELECT r AS id, word AS title FROM vocab WHERE lang = 'en' AND cf >= 40", "de_titles": "SELECT word AS title FROM vocab WHERE lang = 'de' AND cf >= 30"}
@@ -437,7 +481,14 @@ def bidir_score(x):
     return rounded(lexicon.bidirectional(x.pairs("en", "de"), x.cue_pmf("en", "de"), x.cue_pmf("de", "en")), "score")
 
 
-@query()
+@query("""SELECT block, array_to_string(list_concat(used, list_filter(l2, lambda v: NOT list_contains(used, v))[:k - len(used)]), ' ') AS translated FROM turns_run WHERE t = len(lists) * k""",
+    top_v="SELECT * FROM (SELECT lang, topic, word, row_number() OVER (PARTITION BY lang, topic ORDER BY n DESC, word) AS rk FROM topic_word WHERE lang IN ('en', 'de')) WHERE rk <= 5",
+    cands_v="SELECT w1, list(w2 ORDER BY rk) AS cands FROM pmf_ende GROUP BY w1",
+    turns_in="""SELECT topic AS block, coalesce(lists, []) AS lists, l2, len(l2) AS k FROM (SELECT topic, list(word ORDER BY rk) AS l2 FROM top_v WHERE lang = 'de' GROUP BY topic)
+        LEFT JOIN (SELECT topic, list(cands ORDER BY rk) AS lists FROM top_v JOIN cands_v ON w1 = word WHERE lang = 'en' GROUP BY topic) USING (topic)""",
+    turns_run="""SELECT block, lists, l2, k, []::varchar[] AS used, 0 AS t FROM turns_in UNION ALL
+        SELECT block, lists, l2, k, CASE WHEN len(used) < k AND len(free) > 0 THEN list_append(used, free[1]) ELSE used END, t + 1 FROM (
+        SELECT *, list_filter(lists[t % len(lists) + 1], lambda v: NOT list_contains(used, v)) AS free FROM turns_run WHERE t < len(lists) * k)""")
 def label_translate(x):
     """Labels of each topic: its five most frequent English words, put into German."""
     top = pmf.ranked(x.counts().where("lang IN ('en', 'de')").select(F.concat_ws(":", "lang", "topic").alias("w1"), F.col("word").alias("w2"), F.col("n").alias("score"), "lang", "topic")).where("rk <= 5")

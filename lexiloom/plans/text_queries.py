@@ -13,7 +13,7 @@ from .register import Register
 query = Register()
 QUERIES, SQL = query.queries, query.sql
 
-STOP = "SELECT word FROM postings JOIN n_docs USING (lang) GROUP BY lang, word, n_docs HAVING count(*) > n_docs * 0.5"
+STOP = "SELECT DISTINCT word FROM postings JOIN n_docs USING (lang) GROUP BY lang, word, n_docs HAVING count(*) > n_docs * 0.5"
 
 
 def stop_words(x: Fixtures) -> DataFrame:
@@ -63,7 +63,7 @@ def wordlist_scan(x):
     return files.word_list_lines(x.table("nation").select(F.col("n_nationkey").alias("line"), value.alias("value")))
 
 
-@query(f"SELECT lang, doc_id, pos, word FROM tokens WHERE word NOT IN ({STOP})")
+@query("SELECT lang, doc_id, pos, word FROM tokens ANTI JOIN stop_v USING (word)", stop_v=STOP)
 def filter_stopwords(x):
     return x.tokens().transform(text.drop_words(stop_words(x))).select("lang", "doc_id", "pos", "word")
 
@@ -73,7 +73,7 @@ def filter_small(x):
     return x.tokens().transform(text.at_least(3))
 
 
-@query(f"SELECT lang, doc_id, pos, word FROM tokens WHERE word IN ({STOP})")
+@query("SELECT lang, doc_id, pos, word FROM tokens SEMI JOIN stop_v USING (word)", stop_v=STOP)
 def filter_keepwords(x):
     return x.tokens().transform(text.keep_words(stop_words(x))).select("lang", "doc_id", "pos", "word")
 
@@ -83,10 +83,10 @@ def filter_script(x):
     return x.tokens().transform(text.in_script(lang_col="lang"))
 
 
-@query(rf"""SELECT doc_id, coalesce(t, '') AS text FROM documents LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM raw
-    WHERE length(word) >= 3 AND word NOT IN ({STOP}) AND (lang NOT IN ('en', 'de', 'fr') OR NOT regexp_matches(word, '[^\p{{Latin}}]')) GROUP BY doc_id) USING (doc_id)""",
+@query(r"""SELECT doc_id, coalesce(t, '') AS text FROM documents LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM raw
+    ANTI JOIN stop_v USING (word) WHERE length(word) >= 3 AND (lang NOT IN ('en', 'de', 'fr') OR NOT regexp_matches(word, '[^\p{Latin}]')) GROUP BY doc_id) USING (doc_id)""",
     raw=r"""SELECT lang, doc_id, pos, word FROM (SELECT lang, doc_id, unnest(string_split_regex(text, '\s+')) AS word,
-        generate_subscripts(string_split_regex(text, '\s+'), 1) - 1 AS pos FROM documents) WHERE word <> ''""")
+        generate_subscripts(string_split_regex(text, '\s+'), 1) - 1 AS pos FROM documents) WHERE word <> ''""", stop_v=STOP)
 def preprocess(x):
     return text.preprocessed(x.table("documents"), stop_words(x), "doc_id")
 

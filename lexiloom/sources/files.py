@@ -11,10 +11,17 @@ from ..operators.text import split_words
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): the lines of each file, numbered from 0. A file is read whole, as an order of lines is asked for."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
-    ended = F.regexp_replace("text", r"\r?\n\z", "")
-    return whole.where("text <> ''").select("file", F.posexplode(F.split(ended, r"\r?\n")).alias("line", "value"))
+    """(file, line, value): the lines of each file, numbered from 0, whatever its size.
+
+    Spark reads a file in blocks, the lines of a block in order; a line's number is its place in the block after the lines of the
+    blocks before it, whose counts are a small table.
+    """
+    block = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.text(path, lineSep="\n").select(*block, F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    blocks = rows.groupBy("path", "start").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    upto = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("path", "start", "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(blocks), ["path", "start"]).select("file", (F.col("before") + F.col("i") - F.col("first")).cast("int").alias("line"), "value")
 
 
 def token_folder(spark: SparkSession, path: str, lang: str, name_pattern: str | None = None) -> DataFrame:
@@ -203,7 +210,54 @@ def write_splits(splits: DataFrame, path: str) -> None:
     splits.select("split_id", "part", F.concat_ws("\t", "w1", "w2").alias("value")).write.partitionBy("split_id", "part").text(path)
 
 
-def write_gauss(eps: list[list[float]], pi: list[float], mu: list[list[float]], sigma: list[float], n: int) -> str:
-    """Cluster parameters as text: a head, then EPS, PI, MU and SIGMA with a line for each cluster or one for all."""
-    row = lambda x: " ".join(map(str, x))
-    return "\n".join([f"N={n}\tK={len(pi)}\tE={len(eps[0])}", "EPS", *map(row, eps), "PI", row(pi), "MU", *map(row, mu), "SIGMA", row(sigma)]) + "\n"
+def _write_lines(spark: SparkSession, rows: list[str], path: str) -> None:
+    """A few lines as one text file, in order."""
+    spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, value string").coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+
+
+def _numbers(x: list[float]) -> str:
+    return " ".join(map(str, x))
+
+
+def write_weights(weights: DataFrame, path: str) -> None:
+    """(j, e) as one line of numbers; weights() reads it."""
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "e"))), lambda x: x["e"].cast("string")), " ")
+    weights.agg(one.alias("value")).write.text(path)
+
+
+def latent_text(eps: list[list[float]], theta: list[float]) -> list[str]:
+    """Category weights as lines: experts and categories, a line of eps for each category, a line of category and theta for each."""
+    return [f"{len(eps[0])}\t{len(eps)}", *map(_numbers, eps), *(f"{k}\t{t}" for k, t in enumerate(theta))]
+
+
+def write_latent(spark: SparkSession, eps: list[list[float]], theta: list[float], path: str) -> None:
+    _write_lines(spark, latent_text(eps, theta), path)
+
+
+def latent(spark: SparkSession, path: str) -> tuple[list[list[float]], list[float]]:
+    """(eps, theta) of write_latent()."""
+    rows = [r["value"] for r in lines(spark, path).orderBy("line").collect()]  # a line or two for each category
+    n = int(rows[0].split("\t")[1])
+    return [[float(v) for v in x.split()] for x in rows[1 : n + 1]], [float(x.split("\t")[1]) for x in rows[n + 1 : 2 * n + 1]]
+
+
+def write_features(features: DataFrame, path: str) -> None:
+    """(word, x) as lines `word<TAB>f1 f2 ...`; features() reads them."""
+    features.select(F.concat_ws("\t", "word", F.array_join(F.transform("x", lambda v: v.cast("string")), " ")).alias("value")).write.text(path)
+
+
+def gauss_text(eps: list[list[float]], pi: list[float], mu: list[list[float]], sigma: list[float], n: int) -> list[str]:
+    """Cluster parameters as lines: a head, then EPS, PI, MU and SIGMA with a line for each cluster or one for all."""
+    return [f"N={n}\tK={len(pi)}\tE={len(eps[0])}", "EPS", *map(_numbers, eps), "PI", _numbers(pi), "MU", *map(_numbers, mu), "SIGMA", _numbers(sigma)]
+
+
+def write_gauss(spark: SparkSession, eps: list[list[float]], pi: list[float], mu: list[list[float]], sigma: list[float], n: int, path: str) -> None:
+    _write_lines(spark, gauss_text(eps, pi, mu, sigma, n), path)
+
+
+def gauss(spark: SparkSession, path: str) -> tuple[list[list[float]], list[float], list[list[float]], list[float]]:
+    """(eps, pi, mu, sigma) of write_gauss()."""
+    rows = [r["value"] for r in lines(spark, path).orderBy("line").collect()]  # two lines for each cluster
+    at = {name: rows.index(name) for name in ("EPS", "PI", "MU", "SIGMA")}
+    part = lambda a, b: [[float(v) for v in x.split()] for x in rows[at[a] + 1 : at.get(b, len(rows))]]
+    return part("EPS", "PI"), part("PI", "MU")[0], part("MU", "SIGMA"), part("SIGMA", "")[0]

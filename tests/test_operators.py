@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions import tails, vectors
-from lexiloom.operators import agreement, evaluate, experts, learn, lexicon, mono, pmf, reports, stats, suggest, text, topics
+from lexiloom.operators import agreement, evaluate, experts, jobs, learn, lexicon, mono, pmf, reports, stats, suggest, text, topics
 from lexiloom.sources import files
 from lexiloom.streaming import postings as stream
 
@@ -74,7 +74,14 @@ def test_mixtures(spark):
     assert shown(unseen, "w1", "w2", "p") == [("new", "t", 0.3), ("new", "v1", 0.05)]
 
 
-def test_em_matches_numpy(spark):
+@pytest.fixture(params=["driver", "cluster"])
+def both_ways(request, monkeypatch):
+    """Learners with tables that go to the driver, and with tables that do not."""
+    if request.param == "cluster":
+        monkeypatch.setattr(learn, "SMALL", 0)
+
+
+def test_em_matches_numpy(spark, both_ways):
     r = np.random.default_rng(0)
     b = r.random((30, 3))
     table = frame(spark, [(f"s{i}", "t", row.tolist()) for i, row in enumerate(b)], "w1 string, w2 string, b array<double>").cache()
@@ -89,7 +96,7 @@ def test_em_matches_numpy(spark):
     assert np.allclose(sum(learn.learn_em(table, 3, restarts=1, most=5)), 1)
 
 
-def test_cluster_em_matches_numpy(spark):
+def test_cluster_em_matches_numpy(spark, both_ways):
     r = np.random.default_rng(1)
     b, x = r.random((12, 2)), r.random((12, 3))
     table = frame(spark, [(bb.tolist(), xx.tolist()) for bb, xx in zip(b, x)], "b array<double>, x array<double>")
@@ -222,7 +229,121 @@ def test_files(spark, tmp_path):
     assert files.word_stats_documents(spark, str(tmp_path / "stats")).first().n_docs == 9 and files.word_stats(spark, str(tmp_path / "stats")).first().cf == 2.0
     files.write_splits(frame(spark, [(0, "train", "a", "b")], "split_id int, part string, w1 string, w2 string"), str(tmp_path / "splits"))
     assert spark.read.text(str(tmp_path / "splits")).first().value == "a\tb"
-    assert files.write_gauss([[1.0]], [1.0], [[2.0]], [3.0], 4).splitlines()[0] == "N=4\tK=1\tE=1"
+    assert files.gauss_text([[1.0]], [1.0], [[2.0]], [3.0], 4)[0] == "N=4\tK=1\tE=1"
+
+
+def test_more_files(spark, tmp_path):
+    """Writers and what reads them back, and the readers of small formats."""
+    weights = frame(spark, [(0, 0.25), (1, 0.75)], "j int, e double")
+    files.write_weights(weights, str(tmp_path / "w"))
+    assert shown(files.weights(spark, str(tmp_path / "w")), "j", "e") == [(0, 0.25), (1, 0.75)]
+    latent = ([[0.5, 0.5], [0.1, 0.9]], [0.3, 0.7])
+    files.write_latent(spark, *latent, str(tmp_path / "latent"))
+    assert files.latent(spark, str(tmp_path / "latent")) == latent
+    gauss = ([[0.5, 0.5], [0.1, 0.9]], [0.4, 0.6], [[1.0, 2.0, 3.0], [4.0, 5.0, 6.5]], [1.5, 2.5])
+    files.write_gauss(spark, *gauss, 9, str(tmp_path / "gauss"))
+    assert files.gauss(spark, str(tmp_path / "gauss")) == gauss
+    files.write_features(frame(spark, [("a", [1.0, 2.5])], "word string, x array<double>"), str(tmp_path / "feats"))
+    assert [tuple(r) for r in files.features(spark, str(tmp_path / "feats")).collect()] == [("a", [1.0, 2.5])]
+    write = lambda name, text: (tmp_path / name).write_text(text) and str(tmp_path / name)
+    assert shown(files.words_of(spark, write("vocab", "a b\n c\tb \n")), "word", "ord") == [("a", 0), ("b", 1), ("b", 3), ("c", 2)]
+    assert shown(files.doc_stats(spark, write("ds", "#id\tc\td\te\nd1\t9\t3\t2\n")), "doc_id", "nchars", "ntokens", "ntypes") == [("d1", 9, 3, 2)]
+    assert shown(files.column(spark, write("col", "a b c\nd\n e f\n"), 2), "word", "ord") == [("b", 0), ("f", 2)]
+    assert shown(files.titles(spark, write("t", "1\tOne Title\n2\tTwo\n")), "id", "title") == [("1", "One Title"), ("2", "Two")]
+    assert shown(files.links(spark, write("l", "1\t7\n2\t8\n"), 2), "id") == [("7",), ("8",)]
+    assert shown(files.scores(spark, write("s", "a b 0.5\nbad\n")), "w1", "w2", "score") == [("a", "b", 0.5)]
+    assert shown(files.annotation_rows(spark, write("a", "c1 i1 x:y\n")), "coder", "item", "labels") == [("c1", "i1", ["x", "y"])]
+    assert shown(files.number_annotations(spark, write("n", "1.5 2\n3 4\n")), "item", "x", "y") == [(0, 1.5, 2.0), (1, 3.0, 4.0)]
+    assert shown(files.word_list(spark, write("raw", " b\n#c \n b\na|x\n"), comments=False), "word") == [(" b",), ("#c",), ("a|x",)]
+    files.write_docs(frame(spark, [("d1", "some text"), ("d2", "more")], "doc_id string, text string"), str(tmp_path / "docs2"))
+    assert sorted((r.doc_id, r.value) for r in spark.read.text(str(tmp_path / "docs2")).collect()) == [("d1", "some text"), ("d2", "more")]
+    files.write_table(frame(spark, [("a", 1)], "x string, y int"), str(tmp_path / "table"))
+    assert shown(files.table(spark, str(tmp_path / "table"), "x string, y int"), "x", "y") == [("a", 1)]
+    assert shown(files.word_stats_text(frame(spark, [("w", 2, 1, 2.0, 0.5, 1.0, 0.34657)], "word string, cf long, df long, adc double, idf double, cfidf double, tcfidf double")), "cf", "adc", "tcfidf") == [("2", "2.0000", "0.3466")]
+
+
+def test_lines_of_large_files(spark, tmp_path):
+    """Lines keep their numbers where a file is read in several blocks."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    (tmp_path / "many").write_text("".join(f"line {k}{'x' * (k % 50)}\r\n" if k % 7 else "\n" for k in range(2000)))
+    spark.conf.set(key, "4096")
+    try:
+        got = files.lines(spark, str(tmp_path / "many")).orderBy("line").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [(r.line, r.value) for r in got] == [(k, f"line {k}{'x' * (k % 50)}" if k % 7 else "") for k in range(2000)]
+
+
+def test_jobs(spark, tmp_path):
+    """A job list: weights by either learner, applied to the test words and written."""
+    e = experts.union_of([pmf_of(spark, [("s", "t", 0.9), ("s", "u", 0.1), ("v", "t", 1.0)]), pmf_of(spark, [("s", "t", 0.2), ("s", "u", 0.8)])])
+    vocab = frame(spark, [("t",), ("u",)], "word string")
+    (tmp_path / "train").write_text("s t\nv t\n")
+    (tmp_path / "test").write_text("x s\ny v\n")
+    (tmp_path / "jobs").write_text(f"# test col train l1 l2 out params\n{tmp_path}/test 2 {tmp_path}/train en de {tmp_path}/out0 {tmp_path}/eps0\n")
+    for learner, least in (("EM", 0.9), ("GRID", 0.0), ("anything", 0.0)):
+        target = str(tmp_path / "jobs") if learner == "EM" else str(tmp_path / f"jobs-{learner}")
+        (tmp_path / f"jobs-{learner}").write_text((tmp_path / "jobs").read_text().replace("out0", f"out-{learner}").replace("eps0", f"eps-{learner}"))
+        done = jobs.run(spark, target, lambda a, b: (e, 2, vocab), learner, mass=1.0)
+        assert len(done) == 1 and math.isclose(sum(done[0][1]), 1) and done[0][1][0] >= least
+    assert {r.w1 for r in files.pmf(spark, str(tmp_path / "out0")).collect()} == {"s", "v"}
+    assert math.isclose(sum(r.e for r in files.weights(spark, str(tmp_path / "eps0")).collect()), 1)
+    train = frame(spark, [(0, "s", "t"), (1, "s", "u")], "split_id int, w1 string, w2 string")
+    words = frame(spark, [(0, "s"), (1, "s")], "split_id int, word string")
+    got = jobs.splits_run(train, words, e, 2, vocab, "GRID", 1.0).where("rk = 1").collect()
+    assert {(r.split_id, r.w2) for r in got} == {(0, "t"), (1, "u")}
+
+
+def test_learners_settle(spark, monkeypatch):
+    """EM from an even start stops where an own loop does."""
+    r = np.random.default_rng(5)
+    b, phi = r.random((20, 2)), r.random((20, 3))
+    table = frame(spark, [(bb.tolist(), *pp.tolist()) for bb, pp in zip(b, phi)], "b array<double>, f0 double, f1 double, f2 double")
+    eps = np.full(2, 0.5)
+    while True:
+        before, share = eps, b * eps / (b @ eps)[:, None]
+        eps = share.sum(0) / share.sum()
+        if np.linalg.norm(eps - before) < 1e-3:
+            break
+    assert np.allclose(learn.learn_em(table, 2, start=[0.5, 0.5]), eps)
+    e, t = np.full((3, 2), 0.5), np.full(3, 1 / 3)
+    while True:
+        x = b[:, None, :] * phi[:, :, None] * e[None] * t[None, :, None]
+        s = (x / x.sum((1, 2), keepdims=True)).sum(0)
+        before, e, t = e, s / s.sum(1, keepdims=True), s.sum(1) / s.sum()
+        if np.linalg.norm(e - before) < 1e-3:
+            break
+    got = learn.learn_fine(table, [F.col(f"f{k}") for k in range(3)], 2)
+    assert np.allclose(got[0], e) and np.allclose(got[1], t)
+    steps = learn.learn_fine(table, [F.col(f"f{k}") for k in range(3)], 2, steps=2)
+    monkeypatch.setattr(learn, "SMALL", 0)
+    for a, b in zip(steps, learn.learn_fine(table, [F.col(f"f{k}") for k in range(3)], 2, steps=2)):
+        assert np.allclose(a, b)
+
+
+def test_ids_and_distances(spark):
+    """Ids in order within groups, over many ranges; average distances of ordered pairs, also of a distance that is not symmetric."""
+    r = np.random.default_rng(8)
+    rows = [("abc"[k % 3], int(v)) for k, v in enumerate(r.permutation(500))]
+    got = stats.assigned_ids(frame(spark, rows, "g string, v int").repartition(4), [F.desc("v")], start=5, by=["g"], name="no").collect()
+    for g in "abc":
+        assert [x.v for x in sorted((x for x in got if x.g == g), key=lambda x: x.no)] == sorted((v for h, v in rows if h == g), reverse=True)
+        assert sorted(x.no for x in got if x.g == g) == list(range(5, 5 + sum(h == g for h, _ in rows)))
+    kinds = [["a"], ["a", "b"], ["b", "c", "d"], ["b"]]
+    sets = [(i, kinds[k]) for i, k in enumerate(r.integers(0, 4, 60))]
+    d = lambda a, b: len(set(a) - set(b)) ** 2
+    want = [d(a, b) for i, a in sets for j, b in sets if i < j]
+    got = agreement.average_distance(frame(spark, sets, "i int, labels array<string>"), vectors.interval).first()
+    assert math.isclose(got.avg_distance, sum(want) / len(want)) and got.n == len(want)
+
+
+def test_p_values(spark):
+    rows = frame(spark, [(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (4.0, 5.0), (5.0, 4.0)], "x double, y double")
+    got = {r.measure: r for r in evaluate.correlations(rows, "x", "y").collect()}
+    assert math.isclose(got["pearson"].value, 0.8) and math.isclose(got["pearson"].p, 0.10408803866182788, rel_tol=1e-6) and got["kendall"].n == 5
+    flat = evaluate.correlations(frame(spark, [(1.0, 1.0), (1.0, 2.0)], "x double, y double"), "x", "y").collect()
+    assert [r.p for r in flat if r.measure == "spearman"] == [None]
 
 
 def test_sections(spark):

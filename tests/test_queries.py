@@ -13,7 +13,7 @@ import __spark_entry__
 from lexiloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["wordlist_scan", "filter_script", "preprocess", "useful_docs", "title_map", "id_map_intersect", "word_stats", "tfidf", "phi", "pair_profile", "sparse_matrix", "ti_score", "cue_pmf", "pmi_pmf", "esa_pmf", "taxonomy_sim", "pivot_pmf", "mixture_fixed", "em_mixture", "eval_lexicon_sum", "eval_spearman", "train_test_split", "agree_kappa", "agree_alpha", "avg_label_distance", "eval_pivot"]
+QUICK = ["wordlist_scan", "filter_script", "preprocess", "useful_docs", "title_map", "id_map_intersect", "word_stats", "tfidf", "phi", "pair_profile", "sparse_matrix", "ti_score", "cue_pmf", "pmi_pmf", "esa_pmf", "taxonomy_sim", "pivot_pmf", "mixture_fixed", "em_mixture", "em_fine", "em_cluster_steps", "label_translate", "filter_stopwords", "assign_ids", "eval_lexicon_sum", "eval_spearman", "train_test_split", "agree_kappa", "agree_alpha", "avg_label_distance", "eval_pivot"]
 
 
 def plain(v):
