@@ -46,10 +46,10 @@ def test_stages(spark, sf_dir):
 
 
 def test_odd_rows(spark, sf_dir):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, row_id int, copy_no int, gone_id int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_id int, copy_no int, gone_id int, taken_id int, taken_n int, all_n int"
     text = "the quick brown fox jumps over the lazy dog and runs away from it all day long"
     rows = [(1, text), (1, text), (1, "another text with the very same id as before, quite long"), (None, text + " ..."), (None, "a lonely text without any id in this table"), (2, None), (3, ""), (4, "12 34"), (5, "  " + text)]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1, 1, 1, 1) for i, t in rows], schema)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 1, 1, 1, 1, 1, 1) for i, t in rows], schema)
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stage(spark, docs, sf_dir).cache()
         assert docs.columns == [c.split()[0] for c in schema.split(", ")]
@@ -61,3 +61,16 @@ def test_odd_rows(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.count() == 0
+
+
+def test_mix_takes_some_of_alike_rows(spark, sf_dir):
+    """Where the mix takes some of many alike rows, each copy is one row, numbered, with all columns."""
+    rows = [(1, "one two three", "s")] * 40 + [(k, "word " * k, "s" if k % 2 else "t") for k in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = dict(corpus_pipeline.STAGES)["mixing sources to target weights"](spark, docs, sf_dir)
+    want = collections.Counter()
+    for r in queries.mixed_sample(corpus_pipeline._with_row_id(docs)[0], id_col="row_id").collect():
+        want[r["size"]] += r.n_copies
+    got = mixed.collect()
+    assert mixed.columns == [*docs.columns, "copy_no"]
+    assert collections.Counter(len(r.text.split()) for r in got) == +want
