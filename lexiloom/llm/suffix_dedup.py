@@ -34,19 +34,21 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return bounded_batches(docs).select(F.coalesce(doc_id, F.lit(0)).alias("k1"), F.xxhash64(doc_id, text).alias("k2"), doc_id.alias("doc_id"), text.alias("text"))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(hash, position, first start, last start, two context hashes) of the anchors of one text.
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None, contexts: bool = True) -> tuple[np.ndarray, ...]:
+    """(hash, text, position, first start, last start, and two context hashes) of the anchors of texts that lie one behind another.
 
     The anchor of a window of `length` bytes is its gram of smallest hash, the first of them; grams whose hash starts with bits
     that `frequent` marks come after all others. Equal windows have equal grams at equal offsets, so they meet under the anchor's
     hash; successive windows mostly share theirs. The context is all bytes of the windows that an anchor stands for. Hashes mix
-    eight bytes at a time and are no polynomials, so that no pattern of bytes cancels; a context has 128 bits.
+    eight bytes at a time and are no polynomials, so that no pattern of bytes cancels; a context has 128 bits. All texts are
+    worked on at once, windows over their ends left out; positions are those in data, which has less than 2**24 bytes.
     """
-    n = len(data) - length + 1
-    if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    sizes = np.diff(offsets)
+    starts = np.maximum(sizes - length + 1, 0)
+    if not starts.sum():
+        return tuple(np.zeros(0, np.int64) for _ in range(7 if contexts else 5))
     eight = mixed(np.array(lanes(data)[: len(data) - 7]))
-    count = len(data) - gram + 1
+    count, n = len(data) - gram + 1, len(data) - length + 1
     h = np.zeros(count, np.uint64)
     for k in range(gram // 8):
         h += eight[8 * k : 8 * k + count] * _factors[0, k]
@@ -61,33 +63,37 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, frequent:
     block[:count] = (key & ~np.uint64((1 << 24) - 1)) | np.arange(count, dtype=np.uint64)
     right = np.minimum.accumulate(block.reshape(-1, w), axis=1).ravel()
     left = np.minimum.accumulate(block.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = (np.minimum(left[:n], right[w - 1 : w - 1 + n]) & np.uint64((1 << 24) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.concatenate([first[1:] - 1, [n - 1]])
-    at = at[first]
+    best = (np.minimum(left[:n], right[w - 1 : w - 1 + n]) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    # windows inside a text, and runs of those with one anchor
+    doc = np.repeat(np.arange(len(sizes)), starts)
+    window = offsets[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(starts) - starts, starts)
+    best = best[window]
+    head = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])]))
+    tail = np.append(head[1:], len(best)) - 1
+    at, first, last, doc = best[head], window[head], window[tail], doc[head]
+    if not contexts:
+        return h[at], doc, at, first, last
     end = last + length
     place = (at - first).astype(np.uint64) << np.uint64(32) | (last - first).astype(np.uint64)
-    contexts = [mixed(place + np.uint64(k)) + eight[end - 8] * _factors[k, 0] for k in range(2)]
+    names = [mixed(place + np.uint64(k)) + eight[end - 8] * _factors[k, 0] for k in range(2)]
     for j in range(-(-(2 * length - gram) // 8)):
-        inside = first + 8 * j + 8 <= end
-        part = np.where(inside, eight[np.where(inside, first + 8 * j, 0)], np.uint64(0))
+        on = np.flatnonzero(first + 8 * j + 8 <= end)
+        part = eight[first[on] + 8 * j]
         for k in range(2):
-            contexts[k] += part * _factors[k, 1 + j]
-    return h[at], at, first, last, mixed(contexts[0]), mixed(contexts[1])
+            names[k][on] += part * _factors[k, 1 + j]
+    return h[at], doc, at, first, last, mixed(names[0]), mixed(names[1])
 
 
-def _pieces(batch: pa.RecordBatch, frequent: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, hash, contexts, position, lo, hi) of the anchors of stretches of a batch."""
-    for a, b, data, offsets in steps(batch, "text", PIECE):
-        out = []
-        for i in range(b - a):
-            for base in range(0, max(1, int(offsets[i + 1] - offsets[i]) - LENGTH + 1), PIECE):
-                text = data[offsets[i] + base : min(offsets[i + 1], offsets[i] + base + PIECE + LENGTH - 1)]
-                if len(text) >= LENGTH:
-                    h, at, first, last, ctx, ctx2 = anchors(text, frequent=frequent)
-                    out.append((np.full(len(h), a + i), h, ctx, ctx2, at + base, at - last, at - first))
-        if out:
-            yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _pieces(batch: pa.RecordBatch, frequent: np.ndarray | None = None, contexts: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, row, position in its text, lo, hi, and two context hashes) of the anchors of stretches of a batch."""
+    for a, _, data, offsets in steps(batch, "text", PIECE):
+        # a text longer than PIECE is a stretch of its own
+        for base in range(0, max(1, len(data) - LENGTH + 1), PIECE) if len(offsets) == 2 else (0,):
+            part = data[base : base + PIECE + LENGTH - 1] if len(offsets) == 2 else data
+            at_ = np.array([0, len(part)]) if len(offsets) == 2 else offsets
+            h, doc, at, first, last, *names = anchors(part, at_, frequent=frequent, contexts=contexts)
+            if len(h):
+                yield h, a + doc, at - at_[doc] + base, at - last, at - first, *names
 
 
 def frequent_anchors(keyed: DataFrame) -> np.ndarray | None:
@@ -106,7 +112,7 @@ def frequent_anchors(keyed: DataFrame) -> np.ndarray | None:
             return pa.RecordBatch.from_arrays([pa.array(h[c >= TOLD].view(np.int64)), pa.array(c[c >= TOLD].astype(np.int64))], ["h", "c"])
 
         for batch in batches:
-            for _, h, *_ in _pieces(batch, None):
+            for h, *_ in _pieces(batch, contexts=False):
                 held.append(h)
                 size += len(h)
             if size >= COUNTED:
@@ -155,7 +161,7 @@ def _scan(frequent: np.ndarray | None):
         seen = _Seen()
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            for rows, h, ctx, ctx2, at, lo, hi in _pieces(batch, frequent):
+            for h, rows, at, lo, hi, ctx, ctx2 in _pieces(batch, frequent):
                 told = seen.before(h, ctx, ctx2) >= 2
                 longs = [pa.array(x.view(np.int64)) for x in (h, ctx, ctx2)]
                 yield pa.RecordBatch.from_arrays([pa.array(told), *longs, pa.array(k1[rows]), pa.array(k2[rows]), *(pa.array(x.astype(np.int32)) for x in (at, lo, hi))], [x.split()[0] for x in OCCURRENCE.split(", ")])

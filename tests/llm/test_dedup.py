@@ -237,11 +237,11 @@ def test_frequent_grams_are_last_choice():
     r = np.random.default_rng(1)
     line = r.integers(97, 123, 120).astype(np.uint8)
     texts = [np.concatenate([r.integers(97, 123, 300).astype(np.uint8), line, r.integers(97, 123, 300).astype(np.uint8)]) for _ in range(30)]
-    plain = collections.Counter(h for t in texts for h in sd.anchors(t)[0].tolist())
+    plain = collections.Counter(h for t in texts for h in sd.anchors(t, np.array([0, len(t)]))[0].tolist())
     marks = np.zeros(1 << sd.FREQUENT_BITS, bool)
     marks[[h >> (64 - sd.FREQUENT_BITS) for h, c in plain.items() if c > 5]] = True
     assert marks.any()
-    again = collections.Counter(h for t in texts for h in sd.anchors(t, frequent=marks)[0].tolist())
+    again = collections.Counter(h for t in texts for h in sd.anchors(t, np.array([0, len(t)]), frequent=marks)[0].tolist())
     assert all(again[h] < plain[h] for h in plain if plain[h] > 5)
 
 
