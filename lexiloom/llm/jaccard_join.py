@@ -264,7 +264,9 @@ def connected(opened: DataFrame, groups: DataFrame, rows: DataFrame, classes: Da
     # from a large label, all other ones from the mixed part, of which only the later blocks
     asked = opened.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")).select("cls", "own", "g", "label")
     other = asked.where("own <> g").join(parts, "g").where("NOT (low = label AND high = label)").withColumn("from", F.lit(0))
-    inner = placed.where("blocks > 1").select("cls", "g", "label", F.col("large").alias("mine")).join(parts, "g")
+    # groups of several blocks are few, and their parts are sent to their members, of which a group may have very many
+    inner_parts = ids_hint(parts.join(ids_hint(sizes.where("blocks > 1").select("g")), "g", "left_semi"))
+    inner = placed.where("blocks > 1").select("cls", "g", "label", F.col("large").alias("mine")).join(inner_parts, "g")
     inner = inner.where("(mine AND large AND low > label) OR (NOT mine AND large) OR (NOT mine AND NOT large AND low <> high)")
     inner = inner.withColumn("from", F.when(F.col("large"), 0).otherwise(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int") + 1)).where(F.col("from") < F.col("parts"))
     to = lambda df: df.select("g", "large", F.when(F.col("large"), F.col("low")).alias("part"), F.explode(F.sequence(F.col("from"), F.col("parts") - 1)).alias("block"), "cls")
