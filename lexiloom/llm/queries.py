@@ -11,9 +11,11 @@ from .jaccard_join import JACCARD_SQL, jaccard_groups
 from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import MIXING_SQL, mixed_sample
+from .periodic_runs import periodic_runs, planted, run_digests
 from .suffix_dedup import SUFFIX_SQL, suffix_dedup
 from .token_counts import edited_counts, private_edits
 from .toxicity import toxicity
+from .url_filter import PAGE_RULES, URL_SQL, url_rules, url_verdicts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that repeat four times and more in every document, some of them planted, and the documents without them."""
+    return run_digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every page may stay, by its URL."""
+    return url_verdicts(table(spark, sf_dir, "pages"), url_rules(spark, PAGE_RULES))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontamination": op2_decontamination,
@@ -81,6 +93,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_url_filter": op13_url_filter,
 }
 
 SQL = {
@@ -88,4 +102,5 @@ SQL = {
     "op4_mix_sources": MIXING_SQL,
     "op6_suffix_dedup": SUFFIX_SQL,
     "op8_exact_dedup": EXACT_SQL,
+    "op13_url_filter": URL_SQL,
 }
