@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import alignment_counts
 from .chat_format import chat_format
 from .decontamination import matches
 from .exact_dedup import EXACT_SQL, exact_dedup
@@ -77,6 +78,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of byte-level and piece tokens of every document, and how often their linked ids meet in the corpus."""
+    return alignment_counts(table(spark, sf_dir, "documents"))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every page may stay, by its URL."""
     return url_verdicts(table(spark, sf_dir, "pages"), url_rules(spark, PAGE_RULES))
@@ -94,6 +100,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
     "op13_url_filter": op13_url_filter,
 }
 
