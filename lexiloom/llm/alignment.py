@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -23,10 +22,13 @@ from .token_counts import PRE_TOKEN
 #: Vocabulary files of tokenizer A (byte-level BPE) and B (pieces).
 VOCABULARY_A, VOCABULARY_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Words and linked pairs that a worker remembers; links of a word above which equal tokens are counted first.
-REMEMBERED, REMEMBERED_PAIRS, MANY_LINKS = 200_000, 4_000_000, 4_096
+REMEMBERED, REMEMBERED_PAIRS, MANY_LINKS = 300_000, 8_000_000, 4_096
 #: Pairs of ids whose counts are broadcast, 16 bytes each; those of all others are joined.
 FREQUENT = 500_000
 
+#: Characters up to which words are learned together.
+SHORT = 64
+
 #: Labels of bytes, and a stretch of them that ends where tokens of both end.
 NONE, A_END, B_END, BOTH = 0, 1, 2, 3
 GROUP = re.compile(rb"[\x00-\x02]*\x03")
@@ -71,6 +73,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(pieces)]
         self.n_b = len(pieces)
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.text_a = [f"{k}{end}" for k in range(len(self.bytes_a)) for end in ",|"]
+        self.text_b = [f"{k}{end}" for k in range(self.n_b) for end in ",;"]
         self.cuts = not any(re.search("[^▁]▁", x) for x in pieces)
         self._forget()
 
@@ -88,56 +93,103 @@ class Aligner:
         parts = text.split(" ")
         return parts if len(parts) == len(text.split()) else re.split(r"(?<=\S) (?=\S)", text)
 
-    def align(self, word: str) -> tuple[list[tuple[list[int], list[int]]], bool]:
-        """(groups of the ids of A and of B of a space and word, whether both tokenizers give these bytes)."""
-        raw = (" " + word).encode()
-        a, b = self.a.encode_ordinary(" " + word), self.b.encode(word)
-        size_a, size_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
-        if b"".join(size_a) != raw or b"".join(size_b) != raw:
-            return [], False
+    def align(self, a: list[int], b: list[int], raw: bytes) -> list[tuple[list[int], list[int]]] | None:
+        """Groups of the ids of A and of B that spell raw; None where they don't."""
+        spelled_a, spelled_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
+        if b"".join(spelled_a) != raw or b"".join(spelled_b) != raw:
+            return None
         labels = bytearray(len(raw))
-        for end in accumulate(map(len, size_a)):
+        for end in accumulate(map(len, spelled_a)):
             labels[end - 1] = A_END
-        for end in accumulate(map(len, size_b)):
+        for end in accumulate(map(len, spelled_b)):
             labels[end - 1] |= B_END
         out, i, j = [], 0, 0
         for span in GROUP.findall(labels):
             both = span.count(BOTH)
-            n, m = span.count(A_END) + both, span.count(B_END) + both
-            out.append((a[i : i + n], b[j : j + m]))
-            i, j = i + n, j + m
-        return out, True
-
-    def _links(self, groups: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-        """(linked id pairs, how often each is linked)."""
-        if sum(len(a) * len(b) for a, b in groups) <= MANY_LINKS:
-            found = Counter(x * self.n_b + y for a, b in groups for x in a for y in b)
-            return np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-        pairs, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for a, b in groups:
-            (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-            pairs = np.concatenate([pairs, np.add.outer(x * self.n_b, y).ravel()])
-            times = np.concatenate([times, np.multiply.outer(n, m).ravel()])
-            if len(pairs) > 1 << 20:
-                pairs, times = merged_counts(pairs, times)
-        return merged_counts(pairs, times)
+            n, m = i + span.count(A_END) + both, j + span.count(B_END) + both
+            out.append((a[i:n], b[j:m]))
+            i, j = n, m
+        return out
+
+    def _many_links(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        """(linked id pairs, how often each is linked) of a large group, equal tokens counted first."""
+        (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+        return np.add.outer(x * self.n_b, y).ravel().tolist(), np.multiply.outer(n, m).ravel().tolist()
 
     def learn(self, words: set[str]) -> None:
-        sums, pairs, times = [], [self.pairs], [self.times]
-        starts = [self.starts]
-        end = int(self.starts[-1])
-        for word in sorted(words):
-            groups, same = self.align(word)
-            self.known[word] = len(self.groups)
-            self.groups.append(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups) if same else None)
-            sums.append((sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups)))
-            p, t = self._links(groups)
-            pairs.append(p)
-            times.append(t)
-            end += len(p)
-            starts.append(np.array([end]))
-        self.sums = np.concatenate([self.sums, np.array(sums, np.int64).reshape(-1, 4)])
-        self.starts, self.pairs, self.times = np.concatenate(starts), np.concatenate(pairs), np.concatenate(times)
+        """Remembers words, with their groups, as rows of flat arrays."""
+        short = sorted(x for x in words if 0 < len(x) <= SHORT and len(x.split()) == 1 and not x[0].isspace() and not x[-1].isspace()) if self.cuts else []
+        if not self._learn_together(short):
+            short = []
+        self._learn_alone(sorted(words.difference(short)))
+
+    def _remembered(self, words: list[str], groups: list[str | None], sums: np.ndarray, ends: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        first = len(self.groups)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.groups += groups
+        self.sums = np.concatenate([self.sums, sums])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+
+    def _learn_alone(self, words: list[str]) -> None:
+        sums, pairs, times, ends, texts = [], [], [], [], []
+        encode_a, encode_b = self.a.encode_ordinary, self.b.encode  # their calls for lists start threads
+        for word in words:
+            a, b = encode_a(" " + word), encode_b(word)
+            groups = self.align(a, b, (" " + word).encode())
+            for x, y in groups or ():
+                if len(x) * len(y) <= MANY_LINKS:
+                    pairs += [k * self.n_b + m for k in x for m in y]
+                else:
+                    times += [1] * (len(pairs) - len(times))
+                    keys, counts = self._many_links(x, y)
+                    pairs += keys
+                    times += counts
+            texts.append(None if groups is None else ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]))
+            sums.append((0, 0, 0, 0) if groups is None else (len(a), len(b), len(groups), sum([len(x) * len(y) for x, y in groups])))
+            ends.append(len(pairs))
+        times += [1] * (len(pairs) - len(times))
+        self._remembered(words, texts, np.array(sums, np.int64).reshape(-1, 4), np.array(ends, np.int64), np.array(pairs, np.int64), np.array(times, np.int64))
+
+    def _learn_together(self, words: list[str]) -> bool:
+        """Learns words that have no white space as one text, as a space cuts it for both tokenizers; False if the bytes of a word differ."""
+        if not words:
+            return True
+        text = " ".join(words)
+        raw = (" " + text).encode()
+        a, b = np.array(self.a.encode_ordinary(" " + text), np.int64), np.array(self.b.encode(text), np.int64)
+        if b"".join([self.bytes_a[k] for k in a.tolist()]) != raw or b"".join([self.bytes_b[k] for k in b.tolist()]) != raw:
+            return False
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        labels = np.zeros(len(raw), np.uint8)
+        labels[end_a - 1] = A_END
+        labels[end_b - 1] |= B_END
+        # bytes without a label count for nothing
+        spans = GROUP.findall(labels.tobytes().translate(None, bytes([NONE])))
+        n = {x: (x.count(A_END) + x.count(BOTH), x.count(B_END) + x.count(BOTH)) for x in set(spans)}
+        n_a, n_b = np.array([n[x] for x in spans], np.int64).T
+        links = n_a * n_b
+        upto_a, upto_b, upto = np.cumsum(n_a), np.cumsum(n_b), np.cumsum(links)
+        group = np.repeat(np.arange(len(links)), links)
+        inside = np.arange(upto[-1]) - (upto - links)[group]
+        pairs = a[(upto_a - n_a)[group] + inside // n_b[group]] * self.n_b + b[(upto_b - n_b)[group] + inside % n_b[group]]
+        # the last group of each word ends where the word does
+        word_ends = np.cumsum([1 + len(x.encode()) for x in words])
+        last = np.searchsorted(end_a[upto_a - 1], word_ends)
+        sums = np.diff(np.stack([upto_a[last], upto_b[last], last + 1, upto[last]], 1), axis=0, prepend=0)
+        # each token's number and what follows it, in the order of the groups' text
+        place_a = np.arange(len(a)) + np.repeat(upto_b - n_b, n_a)
+        place_b = np.arange(len(b)) + np.repeat(upto_a, n_b)
+        ends_a, ends_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        ends_a[upto_a - 1] = 1
+        ends_b[upto_b - 1] = 1
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[place_a], codes[place_b] = 2 * a + ends_a, len(self.text_a) + 2 * b + ends_b
+        shown = list(map((self.text_a + self.text_b).__getitem__, codes.tolist()))
+        cuts = (upto_a + upto_b)[last].tolist()
+        groups = ["".join(shown[i:j])[:-1] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+        self._remembered(words, groups, sums, upto[last], pairs, np.ones(len(pairs), np.int64))
+        return True
 
     def texts(self, texts: list[str]) -> Iterator[tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray]]:
         """((n_a, n_b, n_groups, n_links), groups, linked pairs, times) of each text."""
