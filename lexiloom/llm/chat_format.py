@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from .common import bounded_batches, ids_hint, written
 
 ROLES = ("system", "user", "assistant")
@@ -23,8 +24,10 @@ MARKERS = {
 }
 #: Labelled transcripts that the model is fitted on at most.
 FIT_TRANSCRIPTS = 5_000
-#: Turn numbers of a part, in which a longer conversation travels; a part has at most FULL times as many rows.
-PART_TURNS, FULL = 256, 4
+#: Turns above which a conversation travels in parts, and turns of a part.
+WHOLE_TURNS, PART_TURNS = 1_024, 256
+#: Turns up to which the roles of a conversation in parts are one value; those of longer ones stand with its parts.
+ROLE_TURNS = 1_000_000
 #: Steps of a natural logarithm: scores are whole numbers, so that sums do not depend on where a transcript is cut.
 UNIT = 1 << 20
 #: Numbers of values of the line features: marker, first line, line before is blank, asks, length, is blank.
@@ -319,11 +322,11 @@ STYLES = (
 )
 
 
-ORDER = ["late", "block", "number", "bucket", "copy"]
+ORDER = ["late", "block"]
 
 
 def raw_turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, late, block, turn, h, text, letters) of every turn, with its marker: what a scraped chat looks like before parsing.
+    """(conv_id, late, turn, h, text, letters) of every turn, with its marker: what a scraped chat looks like before parsing.
 
     The style of markers follows from the id. Null roles and roles not in ROLES count as user (as `tool` is for this format), null
     texts are empty, turns without number come last. h orders turns of one number; letters has the role of each line.
@@ -333,7 +336,7 @@ def raw_turns(conversations: DataFrame) -> DataFrame:
     conv, turn, text = F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("text"), F.lit(""))
     style = F.pmod(F.xxhash64(F.coalesce(conv, F.lit(0))), F.lit(len(STYLES))).cast("int") + 1
     lead = F.element_at(F.array(*[F.create_map(*[F.lit(x) for pair in zip(ROLES, leads, strict=True) for x in pair]) for leads in STYLES]), style)
-    rows = conversations.select(conv.alias("conv_id"), turn.isNull().cast("int").alias("late"), F.coalesce(F.floor(turn / PART_TURNS), F.lit(0)).alias("block"), F.coalesce(turn, F.lit(0)).alias("turn"), F.xxhash64(role, text).alias("h"), role.alias("role"), F.concat(lead[role], F.trim(text)).alias("text"))
+    rows = conversations.select(conv.alias("conv_id"), turn.isNull().cast("int").alias("late"), F.coalesce(turn, F.lit(0)).alias("turn"), F.xxhash64(role, text).alias("h"), role.alias("role"), F.concat(lead[role], F.trim(text)).alias("text"))
     letter = F.substring("role", 1, 1)
     return rows.withColumn("letters", F.concat(F.upper(letter), F.repeat(letter, F.regexp_count("text", F.lit("\n"))))).drop("role")
 
@@ -345,56 +348,70 @@ def transcripts(turns: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, joined("text", "\n").alias("transcript"), joined("letters", "").alias("truth"))
 
 
-def in_parts(turns: DataFrame, blocks: DataFrame) -> DataFrame:
-    """turns of long conversations with the columns ORDER, which cut them into parts of bounded size, in order.
+def in_parts(turns: DataFrame) -> DataFrame:
+    """turns of long conversations with the columns ORDER, which cut them into parts of PART_TURNS turns, in order.
 
-    A part is a block of PART_TURNS turn numbers. Where a block has more than FULL times as many rows, as turns may share a
-    number, each number makes a part, cut by the hashes that order its turns; turns that are wholly alike, of which the order
-    says nothing, are dealt to as many parts as they fill.
+    Turns are counted in the order of number and h, whatever their numbers are. Places are found by ranges of numbers; turns of one
+    number are spread over ranges by h, and those that are wholly alike, of which the order says nothing, by where they are read.
     """
-    most = FULL * PART_TURNS
-    of = lambda df, names: [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names]
-    crowded = ids_hint(written(blocks.where(F.col("n") > most).select("conv_id", "late", "block"), "chat-crowded").toDF("conv_id_", "late_", "block_").withColumn("crowded", F.lit(True)))
-    rows = turns.join(crowded, of(turns, ["conv_id", "late", "block"]), "left").drop("conv_id_", "late_", "block_")
-    counts = written(rows.where("crowded").groupBy("conv_id", "late", "turn", "h").agg(F.count("*").alias("n")), "chat-crowds")
-    numbers = counts.groupBy("conv_id", "late", "turn").agg(F.ceil(F.sum("n") / PART_TURNS).alias("buckets"))
-    alike = counts.where(F.col("n") > most).select("conv_id", "late", "turn", "h", F.ceil(F.col("n") / PART_TURNS).alias("copies"))
-    rows = rows.join(ids_hint(numbers.toDF("conv_id_", "late_", "turn_", "buckets")), of(rows, ["conv_id", "late", "turn"]), "left").drop("conv_id_", "late_", "turn_")
-    rows = rows.join(ids_hint(alike.toDF("conv_id_", "late_", "turn_", "h_", "copies")), of(rows, ["conv_id", "late", "turn", "h"]), "left").drop("conv_id_", "late_", "turn_", "h_")
-    share = (F.shiftright("h", 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
-    full = F.coalesce("crowded", F.lit(False))
-    rows = rows.withColumn("number", F.when(full, F.col("turn")).otherwise(F.lit(0)))
-    rows = rows.withColumn("bucket", F.when(full, F.floor(share * F.col("buckets"))).otherwise(F.lit(0)))
-    return rows.withColumn("copy", F.when(F.col("copies").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("copies"))).otherwise(F.lit(0)))
+    rows = written(turns.withColumn("read", F.monotonically_increasing_id()), "chat-turns")
+    spread = (F.shiftright("h", 32) + F.lit(1 << 31)) * F.lit(1 << 20) + F.pmod(F.xxhash64("read"), F.lit(1 << 20))
+    placed = ranks.numbered(rows, ["conv_id", "late"], F.col("turn") + spread / F.lit(float(1 << 52)), ["turn", "h", "read"])
+    return placed.withColumn("block", F.floor((F.col("place") - 1) / PART_TURNS))
+
+
+def _digest(pieces: Column) -> list[Column]:
+    """Aggregates of a 256-bit digest of texts in parts, from a digest of each with its place: four exclusive ors."""
+    return [F.bit_xor(F.conv(F.substring(pieces, 16 * k + 1, 16), 16, -10).cast("long")).alias(f"x{k}") for k in range(4)]
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:
-    """(conv_id, part, held_out, n_lines, n_turns, roles, line_accuracy, chat_sha256, chat) of the raw transcripts of all
+    """(conv_id, part, held_out, n_parts, n_lines, n_turns, roles, line_accuracy, chat_sha256, chat) of the raw transcripts of all
     conversations; line_accuracy is the share of lines whose role is the true one.
 
-    A conversation is one transcript and parsed as one. It is one row, part 0, unless it has more than PART_TURNS turn numbers or
-    FULL times as many rows: then it comes in parts, whose chats make up the whole. The model learns from parts of conversations
-    whose crc32(conv_id as text) mod 5 is not 0, FIT_TRANSCRIPTS at most, of smallest hash; held_out marks the others.
+    A conversation is one transcript and parsed as one. It has one row, part 0, with the lines, turns, roles, accuracy and digest of
+    the whole. Up to WHOLE_TURNS turns its chat stands there, and n_parts is 1. A longer one is cut into n_parts parts, each of
+    PART_TURNS turns in order, whatever the turns' numbers are: chat is null in row 0, and rows 1 to n_parts hold the parts, whose
+    chats make up the whole and whose other columns are their own. The whole's chat_sha256 is then the exclusive or of the SHA-256 of
+    `part:chat_sha256` of its parts, and its roles are null above ROLE_TURNS turns, where the parts have them.
+
+    The model learns from transcripts, or parts, of conversations whose crc32(conv_id as text) mod 5 is not 0, FIT_TRANSCRIPTS at
+    most of each, of smallest hash; held_out marks the others.
 
     Repeated turns all count; of turns with one number the order is that of a hash. Null turn numbers come last, rows without
     conv_id are one conversation, null roles count as user, null texts are empty; an empty table gives no rows; other columns are
     ignored.
     """
     turns = raw_turns(conversations)
-    blocks = written(turns.groupBy("conv_id", "late", "block").agg(F.count("*").alias("n")), "chat-blocks")
-    long = blocks.groupBy("conv_id").agg(F.sum(1 - F.col("late")).alias("blocks"), F.sum("n").alias("n")).where((F.col("blocks") > 1) | (F.col("n") > FULL * PART_TURNS)).select(F.col("conv_id").alias("long_id"))
-    long = ids_hint(written(long, "chat-long"))
+    sizes = written(turns.groupBy("conv_id").agg(F.count("*").alias("n")), "chat-sizes")
+    long = ids_hint(written(sizes.where(F.col("n") > WHOLE_TURNS).select(F.col("conv_id").alias("long_id")), "chat-long"))
     out = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-    few = blocks.where(~out & (F.col("n") <= FULL * PART_TURNS)).orderBy(F.xxhash64(F.lit(3), "conv_id", "late", "block"), "conv_id", "late", "block").limit(FIT_TRANSCRIPTS)
-    few = F.broadcast(few.select(F.col("conv_id").alias("c"), F.col("late").alias("l"), F.col("block").alias("b")))
-    known = turns.join(few, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("late") == F.col("l")) & (F.col("block") == F.col("b")), "left_semi")
-    model = fit(transcripts(known, ["conv_id", "late", "block"]))
-
     is_long = F.col("conv_id").eqNullSafe(F.col("long_id"))
-    short = formatted(transcripts(turns.join(long, is_long, "left_anti"), ["conv_id"]), model, truth_col="truth").withColumn("part", F.lit(0).cast("long"))
+
+    few = sizes.where(~out & (F.col("n") <= WHOLE_TURNS)).orderBy(F.xxhash64(F.lit(3), "conv_id"), "conv_id").limit(FIT_TRANSCRIPTS)
+    few = F.broadcast(few.select(F.col("conv_id").alias("c")))
+    known = transcripts(turns.join(few, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi"), ["conv_id"]).select("transcript", "truth")
+    parts = None
     if not long.isEmpty():
-        cut = in_parts(turns.join(long, is_long, "left_semi"), blocks)
-        parts = written(transcripts(cut, ["conv_id", *ORDER]), "chat-cut")
-        short = short.unionByName(formatted_parts(parts, model, ORDER, "truth"))
-    return short.select("conv_id", "part", out.alias("held_out"), "n_lines", "n_turns", "roles", F.round("line_accuracy", 6).alias("line_accuracy"), "chat_sha256", "chat")
+        parts = written(transcripts(in_parts(turns.join(long, is_long, "left_semi")), ["conv_id", *ORDER]), "chat-cut")
+        some = parts.where(~out).orderBy(F.xxhash64(F.lit(3), "conv_id", *ORDER), "conv_id", *ORDER).limit(FIT_TRANSCRIPTS)
+        known = known.unionByName(some.select("transcript", "truth"))
+    model = fit(known)
+
+    right = F.round("line_accuracy", 6).alias("line_accuracy")
+    whole = formatted(transcripts(turns.join(long, is_long, "left_anti"), ["conv_id"]), model, truth_col="truth")
+    whole = whole.select("conv_id", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("n_parts"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_turns").cast("long").alias("n_turns"), "roles", right, "chat_sha256", "chat")
+    if parts is not None:
+        pieces = written(formatted_parts(parts, model, ORDER, "truth").withColumn("part", F.col("part") + 1), "chat-pieces")
+        named = F.sha2(F.concat_ws(":", "part", "chat_sha256").cast("binary"), 256)
+        share = F.sum(F.col("line_accuracy") * F.col("n_lines")) / F.sum(F.when(F.col("line_accuracy").isNotNull(), F.col("n_lines")))
+        sums = pieces.groupBy("conv_id").agg(F.count("*").alias("n_parts"), F.sum("n_lines").alias("n_lines"), F.sum("n_turns").alias("n_turns"), F.round(share, 6).alias("line_accuracy"), *_digest(named))
+        sums = sums.withColumn("chat_sha256", F.lower(F.concat(*[F.lpad(F.hex(f"x{k}"), 16, "0") for k in range(4)])))
+        told = sums.where(F.col("n_turns") <= ROLE_TURNS).select(F.col("conv_id").alias("c"))
+        said = pieces.join(told, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi").where("roles <> ''").groupBy(F.col("conv_id").alias("c")).agg(F.array_sort(F.collect_list(F.struct("part", "roles"))).alias("s"))
+        said = said.select("c", F.array_join(F.transform("s", lambda x: x["roles"]), ",").alias("roles"))
+        heads = sums.join(said, F.col("conv_id").eqNullSafe(F.col("c")), "left").select("conv_id", F.lit(0).cast("long").alias("part"), "n_parts", "n_lines", "n_turns", "roles", "line_accuracy", "chat_sha256", F.lit(None).cast("string").alias("chat"))
+        counts = sums.select(F.col("conv_id").alias("c"), "n_parts")
+        rows = pieces.join(counts, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "part", "n_parts", "n_lines", "n_turns", "roles", right, "chat_sha256", "chat")
+        whole = whole.unionByName(heads).unionByName(rows)
+    return whole.select("conv_id", "part", out.alias("held_out"), "n_parts", "n_lines", "n_turns", "roles", "line_accuracy", "chat_sha256", "chat")

@@ -235,8 +235,9 @@ def linear(x: np.ndarray, target: np.ndarray, l2: float = 1.0, rounds: int = 25)
     return w
 
 
-def vote_patterns(docs: DataFrame, voters: Voters, text_col: str = "text") -> DataFrame:
-    """(votes, n), written: how often each pattern of votes, packed into bits, stands in docs; null texts don't vote."""
+def vote_patterns(docs: DataFrame, voters: Voters, text_col: str = "text", but: DataFrame | None = None) -> DataFrame:
+    """(votes, n), written: how often each pattern of votes, packed into bits, stands in docs; null texts don't vote. `but` (text) are
+    rows of docs that are counted elsewhere; their votes are taken off again."""
     packed = pickle.dumps(voters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,10 @@ def vote_patterns(docs: DataFrame, voters: Voters, text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), pa.array(n.astype(np.int64))], ["votes", "n"])
 
     rows = bounded_batches(docs).select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return written(rows.mapInArrow(run, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")), "toxic-votes")
+    found = rows.mapInArrow(run, "votes binary, n long")
+    if but is not None:
+        found = found.unionByName(but.select("text").mapInArrow(run, "votes binary, n long").select("votes", (-F.col("n")).alias("n")))
+    return written(found.groupBy("votes").agg(F.sum("n").alias("n")).where("n > 0"), "toxic-votes")
 
 
 def _elsewhere(patterns: DataFrame, count: int) -> Callable:
@@ -280,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, take: object, id_col: str = "doc_id"
     """The voters and the classifier's weights, learned from rows for which take holds.
 
     Voters are mined from, and the classifier is fitted on, the posteriors of labelled rows, bounded by the FIT_ parameters. The
-    label model sees the votes of all rows, labelled or not; their labels count where the row is one of those.
+    label model sees the votes of all rows, each once: with its label where the row is one of those, without it elsewhere.
     """
     rows = written(learning_rows(docs, labels, id_col, text_col, take), "toxic-fit")
     voters = mine(rows)
@@ -299,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, take: object, id_col: str = "doc_id"
         return voters, np.append(np.zeros(2 * voters.count), -3.0)
     hits = np.stack([np.frombuffer(bytes(x), np.int32) for x in got["hits"]]).astype(np.int64)
     words, known = got["words"].to_numpy(), got["label"].to_numpy()
-    patterns = vote_patterns(docs.where(take), voters, text_col)
+    patterns = vote_patterns(docs.where(take), voters, text_col, rows)
     target = label_model(_votes(hits, words), known, _elsewhere(patterns, voters.count))
     deleted(rows, patterns)
     return voters, linear(_features(hits, words), target)

@@ -1,5 +1,6 @@
 """License scan, decontamination, language, tokens, chat and toxicity, with odd rows."""
 
+import hashlib
 import random
 import textwrap
 import zlib
@@ -7,6 +8,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lexiloom.llm import chat_format, decontamination, language_id, license_scan, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, score double, label int"
@@ -275,24 +278,44 @@ def test_chat_odd_rows_and_long_conversations(spark):
     finally:
         chat_format.fit = chat_format_fit
     logs = models[0].logs()
-    turns = chat_format.raw_turns(df).orderBy("conv_id", "late", "block", "turn", "h", "text").collect()
+    turns = chat_format.raw_turns(df).orderBy("conv_id", "late", "turn", "h", "text").collect()
     texts = {i: "\n".join(t.text for t in turns if t.conv_id == i) for i in (None, 1, 2, 3, 4, 5)}
-    assert set(got) == set(texts) and len(got[5]) == 20 and len(got[3]) == 2 and len(got[None]) > 2 and len(got[1]) == 1
+    assert set(got) == set(texts) and {i: len(got[i]) for i in texts} == {None: 13, 1: 1, 2: 1, 3: 1, 4: 1, 5: 21}
     for i, text in texts.items():
-        parts = [got[i][k] for k in range(len(got[i]))]
+        whole, parts = got[i][0], [got[i][k] for k in range(1, len(got[i]))]
         lines = text.split("\n")
         states = chat_format.viterbi(chat_format.features(lines), logs).tolist()
         chat, roles = chat_format.rendered(lines, states)
-        assert "".join(x.chat for x in parts) == chat and sum(x.n_lines for x in parts) == len(lines)
-        assert ",".join(x.roles for x in parts if x.roles) == ",".join(roles) and sum(x.n_turns for x in parts) == len(roles)
+        truth = "".join(t.letters for t in turns if t.conv_id == i).lower()
+        right = sum("sua"[s % 3] == c for s, c in zip(states, truth, strict=True)) / len(lines)
+        assert (whole.n_lines, whole.n_turns, whole.roles, whole.n_parts) == (len(lines), len(roles), ",".join(roles), max(1, len(parts)))
+        assert abs(whole.line_accuracy - right) < 1e-5
+        if not parts:
+            assert whole.chat == chat and whole.chat_sha256 == hashlib.sha256(chat.encode()).hexdigest()
+            continue
+        assert whole.chat is None and "".join(x.chat for x in parts) == chat and sum(x.n_lines for x in parts) == len(lines)
+        assert ",".join(x.roles for x in parts if x.roles) == ",".join(roles) and {x.n_parts for x in parts} == {len(parts)}
+        digest = 0
+        for x in parts:
+            digest ^= int(hashlib.sha256(f"{x.part}:{hashlib.sha256(x.chat.encode()).hexdigest()}".encode()).hexdigest(), 16)
+        assert whole.chat_sha256 == f"{digest:064x}"
     assert got[1][0].chat.count("Hello?") == 2 and "< |im_end|>" in got[1][0].chat
 
 
+def test_chat_is_not_cut_by_turn_numbers(spark):
+    """A dozen turns are one row, whether they are numbered from 250 on, by seconds or by milliseconds."""
+    rows = [(c, start + k * step, "user" if k % 2 == 0 else "assistant", f"turn {k}", k) for c, (start, step) in enumerate([(0, 1), (250, 1), (1_700_000_000, 60), (1_700_000_000_000, 61_234)]) for k in range(12)]
+    got = chat_format.chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, k int")).collect()
+    assert sorted((r.conv_id, r.part, r.n_parts) for r in got) == [(c, 0, 1) for c in range(4)]
+    assert all([line for line in r.chat.split("\n") if "turn " in line] == sorted((line for line in r.chat.split("\n") if "turn " in line), key=lambda x: int(x.split()[-1].removesuffix("<|im_end|>"))) for r in got)
+
+
 def test_chat_alike_turns_are_dealt(spark):
     """A conversation of one turn many times comes in parts of bounded size."""
     crowd = spark.createDataFrame([(7, 1, "user", "same")] * 3000 + [(8, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
     got = chat_format.chat_format(crowd).where("conv_id = 7").collect()
-    assert sum(x.n_lines for x in got) >= 3000 and max(x.n_lines for x in got) <= 1024
+    parts = [x for x in got if x.part]
+    assert len(parts) == 12 and sum(x.n_lines for x in parts) == sum(x.n_lines for x in got if not x.part) >= 3000 and max(x.n_lines for x in parts) <= 512
 
 
 def test_viterbi_is_best():
@@ -346,6 +369,32 @@ def test_pattern_voters():
     assert hits[:, at : at + 3].tolist() == [[1, 0, 0], [0, 1, 0], [0, 0, 0], [0, 0, 1], [0, 0, 0], [0, 0, 0], [0, 0, 1]]
 
 
+def test_labelled_rows_vote_once(spark, sf_dir, monkeypatch):
+    """The labelled rows and the rows elsewhere are together all rows to learn from, and no more."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    seen = {}
+    made, patterns = toxicity.label_model, toxicity.vote_patterns
+    monkeypatch.setattr(toxicity, "label_model", lambda votes, known, more: seen.update(votes=votes, known=known) or made(votes, known, more))
+
+    def counted(*x):
+        found = patterns(*x)
+        seen["elsewhere"] = [tuple(r) for r in found.collect()]
+        return found
+
+    monkeypatch.setattr(toxicity, "vote_patterns", counted)
+    take = ~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    voters, _ = toxicity.fit(docs, labels, take)
+    rows = docs.where(take).where("text IS NOT NULL").select("text")
+    every = {bytes(v): n for v, n in patterns(rows, voters).collect()}
+    mine = {}
+    for v in np.packbits(seen["votes"].astype(np.uint8), axis=1):
+        mine[v.tobytes()] = mine.get(v.tobytes(), 0) + 1
+    assert len(seen["known"]) == labels.where(take).where("toxic IS NOT NULL").select("doc_id").distinct().join(docs.where("text IS NOT NULL"), "doc_id").select("doc_id").distinct().count()
+    for v, n in seen["elsewhere"]:
+        mine[bytes(v)] = mine.get(bytes(v), 0) + n
+    assert mine == every and sum(every.values()) == rows.count()
+
+
 def test_label_model_counts_patterns_elsewhere(spark):
     """Rows that come as patterns from a table count as they do in memory."""
     r = np.random.default_rng(1)
