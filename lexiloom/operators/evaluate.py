@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from . import inversions, ranks
 
 
 def word_metrics(pmf: DataFrame, gold: DataFrame, v2: int | DataFrame, cutoffs: tuple[int, ...] = (1, 5)) -> DataFrame:
@@ -47,14 +48,6 @@ def jensen_shannon(both: DataFrame) -> DataFrame:
     return both.groupBy("w1").agg((F.sum(part("p") + part("q")) / 2 / F.log(F.lit(2.0))).alias("jsd"))
 
 
-def average_ranks(rows: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """rows with average ranks: equal values (to 12 digits) share the mean of their places."""
-    key = F.round(value, 12)
-    groups = Window.partitionBy(*(by or [F.lit(0)]))
-    ties = Window.partitionBy(*(by or [F.lit(0)]), key)
-    return rows.withColumn(name, F.rank().over(groups.orderBy(key)) + (F.count("*").over(ties) - 1) / 2)
-
-
 def _correlation(x: str, y: str) -> Column:
     spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     return F.when(spread, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
@@ -62,7 +55,7 @@ def _correlation(x: str, y: str) -> Column:
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """(by, spearman, n): Pearson's correlation of average ranks; null where one side has no spread."""
-    both = average_ranks(average_ranks(rows, x, "rx", by), y, "ry", by)
+    both = ranks.average_ranks(ranks.average_ranks(rows, x, "rx", by), y, "ry", by)
     return both.groupBy(*(by or [])).agg(_correlation("rx", "ry").alias("spearman"), F.count("*").alias("n"))
 
 
@@ -72,11 +65,10 @@ def pearson(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> Dat
 
 
 def kendall(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """(kendall, n): tau-b over all pairs of rows, from counts of equal (x, y), so that repeated points meet once."""
+    """(kendall, n): tau-b over all pairs of rows, from counts of equal (x, y); concordant and discordant pairs are counted as
+    inversions, in n log n steps. Rows with a null are in no pair."""
     points = rows.groupBy(F.round(x, 12).alias("x"), F.round(y, 12).alias("y")).agg(F.count("*").alias("c"))
-    a, b = points.toDF("x1", "y1", "c1"), points.toDF("x2", "y2", "c2")
-    signed = F.signum(F.col("x2") - F.col("x1")) * F.signum(F.col("y2") - F.col("y1")) * F.col("c1") * F.col("c2")
-    s = a.join(b, (F.col("x1") < F.col("x2"))).agg(F.coalesce(F.sum(signed), F.lit(0.0)).alias("s"))
+    s = inversions.signed_pairs(points)
     n = points.agg(F.sum("c").alias("n"))
     tied = lambda col: points.groupBy(col).agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{col}"))
     row = s.crossJoin(n).crossJoin(tied("x")).crossJoin(tied("y"))

@@ -49,20 +49,24 @@ def expert_vocabularies(experts: DataFrame) -> DataFrame:
     return experts.groupBy("j").agg(F.countDistinct("w2").alias("v")).withColumn("inv_v", 1.0 / F.col("v"))
 
 
-def mixture(experts: DataFrame, weights: DataFrame, sources: DataFrame) -> DataFrame:
-    """(w1, w2, p): sum of e_j p_j(w2 | w1) with weights (j, e), or per word (w1, j, e).
+def mixture(experts: DataFrame, weights: DataFrame, sources: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, w1, w2, p): sum of e_j p_j(w2 | w1) with weights (by, j, e), or per word (by, w1, j, e), for sources (by, word).
 
     An expert that has never seen w1 gives 1/v to each of its v target words. Those back-offs are expert tables joined once per
     word that lacks the expert, not a cross of vocabularies.
     """
-    words = sources.select(F.col("word").alias("w1")).distinct()
-    per_word = "w1" in weights.columns
-    e = (weights.join(words, "w1", "left_semi") if per_word else words.crossJoin(F.broadcast(weights))).select("w1", "j", "e")
-    seen = experts.join(e, ["w1", "j"]).select("w1", "w2", (F.col("p") * F.col("e")).alias("p"))
+    by = by or []
+    key = [*by, "w1"]
+    words = sources.select(*by, F.col("word").alias("w1")).distinct()
+    if "w1" in weights.columns:
+        e = weights.join(words, key, "left_semi").select(*key, "j", "e")
+    else:
+        e = (words.join(F.broadcast(weights), by) if by else words.crossJoin(F.broadcast(weights))).select(*key, "j", "e")
+    seen = experts.join(e, ["w1", "j"]).select(*key, "w2", (F.col("p") * F.col("e")).alias("p"))
     unseen = e.join(experts.select("w1", "j").distinct(), ["w1", "j"], "left_anti")
     targets = experts.select("j", "w2").distinct().join(F.broadcast(expert_vocabularies(experts).select("j", "inv_v")), "j")
-    even = unseen.join(targets, "j").select("w1", "w2", (F.col("e") * F.col("inv_v")).alias("p"))
-    return seen.unionByName(even).groupBy("w1", "w2").agg(F.sum("p").alias("p"))
+    even = unseen.join(targets, "j").select(*key, "w2", (F.col("e") * F.col("inv_v")).alias("p"))
+    return seen.unionByName(even).groupBy(*key, "w2").agg(F.sum("p").alias("p"))
 
 
 def collapsed(eps: DataFrame, theta: DataFrame) -> DataFrame:

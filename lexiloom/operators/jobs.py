@@ -1,4 +1,4 @@
-"""Learning jobs: weights learned on a training list, applied to the words of a test list, truncated and written, job by job."""
+"""Learning jobs: weights learned on training lists, applied to the words of test lists, truncated and written, all in one plan."""
 
 from __future__ import annotations
 
@@ -12,36 +12,39 @@ from . import experts as mixing
 from . import learn, pmf
 
 
-def applied(learner: str, train: DataFrame, words: DataFrame, experts: DataFrame, n_experts: int, target_vocab: DataFrame, mass: float, most: int | None = None) -> tuple[list[float], DataFrame]:
-    """(weights, pmf): weights learned from the pairs (w1, w2) of train, and the truncated mixture for words (column word)."""
-    eps = learn.learned_weights(learner, train, experts, n_experts, target_vocab.select("word").distinct().count())
-    weights = train.sparkSession.createDataFrame(list(enumerate(eps)), "j int, e double")
-    return eps, pmf.truncated(mixing.mixture(experts, weights, words), mass, most)
+def applied(learner: str, train: DataFrame, words: DataFrame, experts: DataFrame, n_experts: int, target_vocab: DataFrame, mass: float, most: int | None = None) -> tuple[dict[int, list[float]], DataFrame]:
+    """(weights of each job, pmf (job, w1, w2, p, rk)): weights learned from the pairs (job, w1, w2) of train, and the truncated mixtures
+    for words (job, word). Jobs share every scan, join and step of learning; a job is a key, not a plan of its own."""
+    jobs = sorted({r[0] for table in (train, words) for r in table.select("job").distinct().collect()})
+    eps = learn.learned_weights(learner, train, experts, n_experts, target_vocab.select("word").distinct().count(), jobs)
+    rows = [(job, j, float(e)) for job, w in eps.items() for j, e in enumerate(w)]
+    weights = train.sparkSession.createDataFrame(rows, "job int, j int, e double")
+    return eps, pmf.truncated(mixing.mixture(experts, weights, words, ["job"]), mass, most, by=["job", "w1"])
 
 
 def run(spark: SparkSession, path: str, experts_of: Callable[[str, str], tuple[DataFrame, int, DataFrame]], learner: str = "EM", mass: float = 0.5, most: int | None = None) -> list[tuple[int, list[float]]]:
     """Runs every line `test col train l1 l2 out params` of a job list: (number, weights) of each.
 
     experts_of(l1, l2) gives (experts, their number, target vocabulary). The test words are column `col` of the file `test`, the
-    pairs to learn from are the first two columns of `train`; the pmf goes to `out`, the weights to `params`. A job list is a
-    short file, and jobs run one after the other, each a distributed plan.
+    pairs to learn from are the first two columns of `train`; the pmf goes to the file `out`, the weights to `params`. All jobs of a
+    language pair are one plan; a job list is a short file, and so are its paths.
     """
+    listed = files.jobs(spark, path).orderBy("split_id").collect()
     done = []
-    for job in files.jobs(spark, path).orderBy("split_id").collect():
-        experts, n, vocab = experts_of(job["l1"], job["l2"])
-        pairs = files.column(spark, job["train"], 1).withColumnRenamed("word", "w1").join(files.column(spark, job["train"], 2).withColumnRenamed("word", "w2"), "ord").select("w1", "w2").distinct()
-        words = files.column(spark, job["test"], int(job["col"])).select("word").distinct()
+    for l1, l2 in sorted({(job["l1"], job["l2"]) for job in listed}):
+        some = [job for job in listed if (job["l1"], job["l2"]) == (l1, l2)]
+        experts, n, vocab = experts_of(l1, l2)
+        pairs = files.columns(spark, [(j["split_id"], j["train"], [1, 2]) for j in some]).select("job", F.col("words")[0].alias("w1"), F.col("words")[1].alias("w2")).distinct()
+        words = files.columns(spark, [(j["split_id"], j["test"], [int(j["col"])]) for j in some]).select("job", F.col("words")[0].alias("word")).distinct()
         eps, found = applied(learner, pairs, words, experts, n, vocab, mass, most)
-        files.write_pmf(found, job["out"])
-        files.write_weights(spark.createDataFrame(list(enumerate(eps)), "j int, e double"), job["params"])
-        done.append((job["split_id"], eps))
-    return done
+        out = spark.createDataFrame([(j["split_id"], j["out"]) for j in some], "job int, path string")
+        files.write_pmfs(found.join(F.broadcast(out), "job"))
+        files.write_lines(spark, {j["params"]: [files.numbers(eps[j["split_id"]])] for j in some})
+        done += [(j["split_id"], eps[j["split_id"]]) for j in some]
+    return sorted(done)
 
 
 def splits_run(train: DataFrame, words: DataFrame, experts: DataFrame, n_experts: int, target_vocab: DataFrame, learner: str = "EM", mass: float = 0.5) -> DataFrame:
-    """(split_id, w1, w2, p, rk) of cross-validation: train (split_id, w1, w2), words (split_id, word); splits are few."""
-    out = None
-    for k in sorted(r[0] for r in train.select("split_id").distinct().collect()):
-        some = applied(learner, train.where(F.col("split_id") == k), words.where(F.col("split_id") == k), experts, n_experts, target_vocab, mass)[1].withColumn("split_id", F.lit(k))
-        out = some if out is None else out.unionByName(some)
-    return out
+    """(split_id, w1, w2, p, rk) of cross-validation: train (split_id, w1, w2), words (split_id, word); all splits are one plan."""
+    keyed = lambda df: df.withColumnRenamed("split_id", "job")
+    return applied(learner, keyed(train), keyed(words), experts, n_experts, target_vocab, mass)[1].withColumnRenamed("job", "split_id")

@@ -13,9 +13,9 @@ def _order(value: str, tie: list[Column | str] | None = None) -> list[Column | s
     return [F.round(value, DIGITS).desc(), *(tie or ["w2"])]
 
 
-def ranked(scores: DataFrame, value: str = "score", tie: list[Column | str] | None = None) -> DataFrame:
-    """scores with rk, from 1: larger first, ties by word (or by `tie`)."""
-    return scores.withColumn("rk", F.row_number().over(Window.partitionBy("w1").orderBy(*_order(value, tie))))
+def ranked(scores: DataFrame, value: str = "score", tie: list[Column | str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """scores with rk, from 1 for each w1 (or `by`): larger first, ties by word (or by `tie`)."""
+    return scores.withColumn("rk", F.row_number().over(Window.partitionBy(*by or ["w1"]).orderBy(*_order(value, tie))))
 
 
 def normalised(scores: DataFrame, value: str = "score") -> DataFrame:
@@ -30,20 +30,21 @@ def min_shifted(scores: DataFrame, value: str = "score") -> DataFrame:
     return normalised(scores.select("w1", "w2", (F.col(value) - least).alias("score")))
 
 
-def truncated(pmf: DataFrame, mass: float, most: int | None = None, renormalise: bool = True, given_order: bool = False) -> DataFrame:
-    """(w1, w2, p, rk): the shortest prefix whose mass reaches `mass`, the crossing element too, at most `most`; then divided by its
+def truncated(pmf: DataFrame, mass: float, most: int | None = None, renormalise: bool = True, given_order: bool = False, by: list[str] | None = None) -> DataFrame:
+    """(w1 or by, w2, p, rk): the shortest prefix whose mass reaches `mass`, the crossing element too, at most `most`; then divided by its
     sum unless that is 0. With given_order the column rk says the order, else larger p come first."""
-    rows = pmf if given_order else ranked(pmf, "p")
+    by = by or ["w1"]
+    rows = pmf if given_order else ranked(pmf, "p", by=by)
     # the same order as the rank's, so that rows are sorted once
-    order = Window.partitionBy("w1").orderBy("rk") if given_order else Window.partitionBy("w1").orderBy(*_order("p"))
+    order = Window.partitionBy(*by).orderBy("rk") if given_order else Window.partitionBy(*by).orderBy(*_order("p"))
     before = F.coalesce(F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = rows.withColumn("before", before).where(F.round("before", DIGITS) < mass)
     if most is not None:
         kept = kept.where(F.col("rk") <= most)
     if renormalise:
-        total = F.sum("p").over(Window.partitionBy("w1"))
+        total = F.sum("p").over(Window.partitionBy(*by))
         kept = kept.withColumn("t", total).withColumn("p", F.when(F.col("t") != 0, F.col("p") / F.col("t")).otherwise(F.col("p")))
-    return kept.select("w1", "w2", "p", "rk")
+    return kept.select(*by, "w2", "p", "rk")
 
 
 def cumulative_cut(pmf: DataFrame, mass: float) -> DataFrame:

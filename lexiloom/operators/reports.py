@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def sections(lines: DataFrame) -> DataFrame:
     """(key, mrr, p1, p5, n) from lines (line, value): a line of one field opens a section, others are runs; # lines are skipped.
 
-    A report is one file, and its lines are read in order.
+    The section of a line is handed on from block to block of lines, so that a report of any length is read side by side.
     """
     rows = lines.where("NOT startswith(value, '#') AND trim(value) <> ''").withColumn("f", F.split(F.trim("value"), r"\s+"))
-    key = F.last(F.when(F.size("f") == 1, F.col("f")[0]), ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("line"))
-    runs = rows.withColumn("key", key).where("size(f) >= 4")
+    runs = ranks.running(rows, "line", F.when(F.size("f") == 1, F.col("f")[0]), "last", "key").where("size(f) >= 4")
     return runs.select("key", *[F.col("f")[i].cast("double").alias(c) for i, c in enumerate(("mrr", "p1", "p5"))], F.col("f")[3].cast("long").alias("n"))
 
 

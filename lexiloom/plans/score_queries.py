@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import exact, vectors
+from ..functions.tails import dirichlet
 from ..operators import experts, learn, lexicon, mono, pmf, stats, suggest, topics
+from ..sources import shared
 from .fixtures import TRUNCATE, Fixtures, of_scores_sql, truncated_sql
 from .register import Register
 
@@ -230,7 +232,12 @@ def training(x: Fixtures) -> DataFrame:
 
 
 #: Pairs with what either expert gives them; then the weights after each of five updates.
-EM = {"train": "SELECT w1, w2, sum(CASE WHEN j = 0 THEN p ELSE 0 END) AS b0, sum(CASE WHEN j = 1 THEN p ELSE 0 END) AS b1 FROM lex_ende JOIN experts USING (w1, w2) GROUP BY ALL", "em_0": "SELECT 0.5::double AS e0, 0.5::double AS e1"}
+def _settled(v: str) -> str:
+    """exact.settled()."""
+    return f"({v} * {exact.SETTLE!r}::double - ({v} * {exact.SETTLE!r}::double - {v}))"
+
+
+EM = {"train": f"SELECT w1, w2, {_settled('x0')} AS b0, {_settled('x1')} AS b1 FROM (SELECT w1, w2, sum(CASE WHEN j = 0 THEN p ELSE 0 END) AS x0, sum(CASE WHEN j = 1 THEN p ELSE 0 END) AS x1 FROM lex_ende JOIN experts USING (w1, w2) GROUP BY ALL)", "em_0": "SELECT 0.5::double AS e0, 0.5::double AS e1"}
 for _k in range(1):
     EM[f"em_{_k + 1}"] = f"""SELECT s0 / (s0 + s1) AS e0, s1 / (s0 + s1) AS e1 FROM (SELECT sum(b0 * e0 / (b0 * e0 + b1 * e1)) AS s0, sum(b1 * e1 / (b0 * e0 + b1 * e1)) AS s1 FROM train, em_{_k})"""
 #: The weights after every update, until they move by less than a thousandth.
@@ -256,16 +263,27 @@ def em_mixture(x):
     return rounded(_weights(x, learn.learn_em(training(x), 2, start=EVEN)), "e", digits=9)
 
 
-@query()
+STARTS = ", ".join(f"({k}, '{e[0]!r}'::double, '{e[1]!r}'::double)" for k, e in enumerate(dirichlet(2, seed=k) for k in range(10)))
+RESTARTS = {
+    "train": EM["train"],
+    "runs_v": f"""SELECT run, 0 AS step, e0, e1, 1.0::double AS moved FROM (VALUES {STARTS}) t(run, e0, e1) UNION ALL
+        SELECT run, step + 1, s0 / (s0 + s1), s1 / (s0 + s1), sqrt((s0 / (s0 + s1) - e0) ** 2 + (s1 / (s0 + s1) - e1) ** 2) FROM (
+        SELECT run, step, e0, e1, sum(b0 * e0 / (b0 * e0 + b1 * e1)) AS s0, sum(b1 * e1 / (b0 * e0 + b1 * e1)) AS s1 FROM runs_v, train WHERE moved >= 1e-3 AND step < 500 GROUP BY ALL)""",
+    "ends_v": "SELECT run, arg_max(e0, step) AS e0, arg_max(e1, step) AS e1 FROM runs_v GROUP BY run",
+    "best_v": "SELECT e0, e1 FROM ends_v, train GROUP BY ALL ORDER BY round(sum(ln(b0 * e0 + b1 * e1)), 9) DESC, min(run) LIMIT 1",
+}
+
+
+@query("SELECT 0 AS j, round(e0, 9) AS e FROM best_v UNION ALL SELECT 1, round(e1, 9) FROM best_v", **RESTARTS)
 def em_restarts(x):
-    """Weights of the highest likelihood among ten random starts."""
+    """Weights of the highest likelihood among ten random starts, which are learned side by side."""
     return rounded(_weights(x, learn.learn_em(training(x), 2)), "e", digits=9)
 
 
 @query("SELECT round(sum(ln(b0 * 0.5 + b1 * 0.5)), 6) AS loglik, count(*) AS n FROM train", train=EM["train"])
 def loglik(x):
-    t = training(x).cache()
-    return x.spark.createDataFrame([(round(learn.log_likelihood(t, [0.5, 0.5]), 6), t.count())], "loglik double, n long")
+    with shared.held(training(x)) as (t,):
+        return x.spark.createDataFrame([(round(learn.log_likelihood(t, [0.5, 0.5]), 6), t.count())], "loglik double, n long")
 
 
 @query(SHOWN + "cut_v", some_experts=SOME, **EM, learned="SELECT 0 AS j, e0 AS e FROM em_end UNION ALL SELECT 1, e1 FROM em_end", res_v=_mixture("SELECT * FROM learned", TEST), cut_v=truncated_sql("res_v", TRUNCATE))
@@ -339,7 +357,7 @@ FEATURES = {
     "en_stats": "SELECT word, [cf, df, adc, idf, cfidf, tcfidf]::double[] AS six FROM word_stats WHERE lang = 'en'",
     "feats": "SELECT word, list_concat(any_value(six), list(p / total ORDER BY topic)) AS x FROM en_stats JOIN (SELECT word, topic, p, sum(p) OVER (PARTITION BY word) AS total FROM phi WHERE lang = 'en') USING (word) GROUP BY word",
     "tops": "SELECT " + ", ".join(f"max(x[{i + 1}]) AS m{i}" for i in range(6)) + " FROM feats",
-    "scaled": "SELECT word, list_concat([" + ", ".join(f"coalesce(x[{i + 1}] / nullif(m{i}, 0), 0)" for i in range(6)) + "], x[7:]) AS x FROM feats, tops",
+    "scaled": "SELECT word, list_transform(list_concat([" + ", ".join(f"coalesce(x[{i + 1}] / nullif(m{i}, 0), 0)" for i in range(6)) + f"], x[7:]), lambda v: {_settled('v')}) AS x FROM feats, tops",
 }
 
 
@@ -372,32 +390,61 @@ def clusters(x: Fixtures, steps: int | None = None) -> tuple:
     return learn.learn_cluster(cluster_training(x), 2, 2, 14, steps=steps)
 
 
+def _added(values: str) -> str:
+    return f"list_reduce({values}, lambda p, q: p + q)"
+
+
 def _far(mu: str) -> str:
-    return f"list_sum(list_transform(list_zip(x, {mu}), lambda v: (v[1] - v[2]) * (v[1] - v[2])))"
+    return _added(f"list_transform(list_zip(x, {mu}), lambda v: (v[1] - v[2]) * (v[1] - v[2]))")
+
+
+def _list(values: list[float]) -> str:
+    return "[" + ", ".join(f"'{v!r}'" for v in values) + "]::double[]"
+
+
+def _decay(t: str) -> str:
+    """exact.decay()."""
+    series = f"'{exact.DECAY_SERIES[0]!r}'::double"
+    for c in exact.DECAY_SERIES[1:]:
+        series = f"({series} * s.f + '{c!r}'::double)"
+    most = f"least(t, {exact.DECAYED}::double)"
+    at = [f"({_list(exact.DECAY[k])})[{i} + 1]" for k, i in enumerate(("s.q // 1024", "s.q // 32 % 32", "s.q % 32"))]
+    return f"""list_transform(list_transform([{t}], lambda t: {{'gone': t >= {exact.DECAYED}, 'q': floor({most} * 32)::bigint, 'f': {most} - floor({most} * 32) / 32}}),
+        lambda s: CASE WHEN s.gone THEN 0::double ELSE {" * ".join(at)} * {series} END)[1]"""
 
 
 def _gauss(k: int) -> str:
-    return f"pi[{k}] * exp(-{_far(f'mu[{k}]')} / (2 * sigma[{k}] ** 2)) / sigma[{k}]"
+    return f"pi[{k}] * {_decay(_far(f'mu[{k}]') + f' / (2 * (sigma[{k}] * sigma[{k}]))')} / sigma[{k}]"
+
+
+def _exact(v: str) -> str:
+    """The sum of exact.units()."""
+    units = f"({v}) * {1 / exact.HALF!r}::double"
+    return f"(sum(floor({units})::bigint)::double + sum(floor(({units} - floor({units})) * {1 / exact.HALF!r}::double)::bigint)::double * {exact.HALF!r}::double) * {exact.HALF!r}::double"
 
 
-_SUMS = ", ".join(f"sum((r0 + r1) * x[{d + 1}])" for d in range(14))
-#: A row for each of the first two updates of eps (cluster by cluster), pi, mu and sigma. Clusters start so wide that they part by
-#: the last digits of a sum, so that engines may settle a step apart; settled runs have no SQL.
+_PARTS = ["b0 * e[1] * g[1]", "b1 * e[2] * g[1]", "b0 * e[3] * g[2]", "b1 * e[4] * g[2]"]
+#: A row for each update of eps (cluster by cluster), pi, mu and sigma, until eps moves by less than a thousandth. Clusters start so
+#: wide that they part by the last digits of a sum: hence sums of whole numbers and an exp() of its own on both sides.
 CLUSTER = {
     **FEATURES,
     "train": EM["train"],
+    "gauss_in": f"SELECT b0, b1, x, {_added('list_transform(x, lambda v: v * v)')} AS xx FROM train JOIN scaled ON word = w1",
     "gauss_run": f"""SELECT 0 AS step, [0.5, 0.5, 0.5, 0.5]::double[] AS e, [0.5, 0.5]::double[] AS pi, list_transform([0, 1], lambda k: list_transform(generate_series(0, 13), lambda d: CASE WHEN d = k THEN 2.0::double ELSE 0.0::double END)) AS mu,
         [5e6, 5e6]::double[] AS sigma, 1.0::double AS moved UNION ALL
         SELECT step + 1, e2, pi2, mu2, sigma2, sqrt(list_sum(list_transform(list_zip(e2, e), lambda v: (v[1] - v[2]) ** 2))) FROM (
         SELECT step, e, flatten(list([s0 / tk, s1 / tk] ORDER BY k)) AS e2, list(tk / n ORDER BY k) AS pi2, list(m ORDER BY k) AS mu2,
-            list(sqrt(q / tk - list_sum(list_transform(m, lambda v: v * v))) ORDER BY k) AS sigma2 FROM (
+            list(CASE WHEN spread > 0 THEN sqrt(spread) ELSE width END ORDER BY k) AS sigma2 FROM (
+        SELECT *, q / tk - {_added("list_transform(m, lambda v: v * v)")} AS spread FROM (
         SELECT *, s0 + s1 AS tk, list_transform(sums, lambda v: v / (s0 + s1)) AS m FROM (
-        SELECT step, e, k, count(*) AS n, sum(r0) AS s0, sum(r1) AS s1, [{_SUMS}] AS sums, sum((r0 + r1) * list_sum(list_transform(x, lambda v: v * v))) AS q FROM (
-        SELECT step, e, k, x, coalesce(b0 * e[2 * k - 1] * g[k] / nullif(total, 0), 0) AS r0, coalesce(b1 * e[2 * k] * g[k] / nullif(total, 0), 0) AS r1 FROM (
-        SELECT *, b0 * (e[1] * g[1] + e[3] * g[2]) + b1 * (e[2] * g[1] + e[4] * g[2]) AS total FROM (
-        SELECT step, e, x, b0, b1, [{_gauss(1)}, {_gauss(2)}] AS g FROM gauss_run, train JOIN scaled ON word = w1 WHERE moved >= 1e-3 AND step < 2)) CROSS JOIN (SELECT unnest([1, 2]) AS k)) GROUP BY step, e, k)) GROUP BY step, e)""",
+        SELECT step, e, k, count(*) AS n, any_value(sigma[k]) AS width, {_exact("r0")} AS s0, {_exact("r1")} AS s1, [{", ".join(_exact(f"(r0 + r1) * x[{d + 1}]") for d in range(14))}] AS sums, {_exact("(r0 + r1) * xx")} AS q FROM (
+        SELECT step, e, sigma, k, x, xx, coalesce(parts[2 * k - 1] / nullif(total, 0), 0) AS r0, coalesce(parts[2 * k] / nullif(total, 0), 0) AS r1 FROM (
+        SELECT *, parts[1] + parts[2] + parts[3] + parts[4] AS total FROM (
+        SELECT *, [{", ".join(_PARTS)}] AS parts FROM (
+        SELECT step, e, sigma, x, xx, b0, b1, [{_gauss(1)}, {_gauss(2)}] AS g FROM gauss_run, gauss_in WHERE moved >= 1e-3 AND step < STEPS))) CROSS JOIN (SELECT unnest([1, 2]) AS k)) GROUP BY step, e, k))) GROUP BY step, e)""",
     "gauss_end": "SELECT k - 1 AS k, e[2 * k - 1] AS e0, e[2 * k] AS e1, pi[k] AS pi, mu[k] AS mu, sigma[k] AS sigma FROM (SELECT * FROM gauss_run ORDER BY step DESC LIMIT 1) CROSS JOIN (SELECT unnest([1, 2]) AS k)",
 }
+CLUSTER, CLUSTER_STEPS = ({name: body.replace("STEPS", most) for name, body in CLUSTER.items()} for most in ("500", "2"))
 
 
 def _cluster_rows(x: Fixtures, steps: int | None) -> DataFrame:
@@ -405,13 +452,16 @@ def _cluster_rows(x: Fixtures, steps: int | None) -> DataFrame:
     return x.spark.createDataFrame([(k, *[round(v, 6) for v in (eps[k][0], eps[k][1], pi[k], sigma[k], sum(mu[k]))]) for k in range(2)], "k int, e0 double, e1 double, pi double, sigma double, mu_sum double")
 
 
-@query()
+CLUSTER_ROWS = "SELECT k, round(e0, 6) AS e0, round(e1, 6) AS e1, round(pi, 6) AS pi, round(sigma, 6) AS sigma, round(list_sum(mu), 6) AS mu_sum FROM gauss_end"
+
+
+@query(CLUSTER_ROWS, **CLUSTER)
 def em_cluster(x):
     """Weights by clusters of word features, and the clusters, learned until they settle."""
     return _cluster_rows(x, None)
 
 
-@query("SELECT k, round(e0, 6) AS e0, round(e1, 6) AS e1, round(pi, 6) AS pi, round(sigma, 6) AS sigma, round(list_sum(mu), 6) AS mu_sum FROM gauss_end", **CLUSTER)
+@query(CLUSTER_ROWS, **CLUSTER_STEPS)
 def em_cluster_steps(x):
     """The first two updates of em_cluster."""
     return _cluster_rows(x, 2)
@@ -426,17 +476,24 @@ def _gated(x: Fixtures, steps: int | None) -> DataFrame:
     return rounded(pmf.truncated(pmf.normalised(mix, "p"), TRUNCATE), "p")
 
 
-@query()
+#: The gate of two clusters applied to the dictionary's words.
+GATED = {
+    "gated": """SELECT w1, 0 AS j, sum(g * e0) AS e FROM gate_v GROUP BY w1 UNION ALL SELECT w1, 1, sum(g * e1) FROM gate_v GROUP BY w1""",
+    "gate_v": f"SELECT word AS w1, e0, e1, pi * exp(-{_far('mu')} / (2 * sigma * sigma)) / sigma AS g FROM scaled CROSS JOIN gauss_end WHERE word IN ({TEST})",
+    "res_v": """SELECT w1, w2, sum(p) AS p FROM (SELECT w1, w2, p * e AS p FROM some_experts JOIN gated USING (j, w1)
+        UNION ALL SELECT w1, w2, e / v AS p FROM (SELECT * FROM gated WHERE (j, w1) NOT IN (SELECT (j, w1) FROM some_experts)) JOIN (SELECT DISTINCT j, w2 FROM some_experts) USING (j) JOIN (SELECT j, count(DISTINCT w2) AS v FROM some_experts GROUP BY j) USING (j)) GROUP BY ALL""",
+    "norm_v": "SELECT w1, w2, p / sum(p) OVER (PARTITION BY w1) AS p FROM res_v",
+    "cut_v": truncated_sql("norm_v", TRUNCATE),
+}
+
+
+@query(SHOWN + "cut_v", some_experts=SOME, **CLUSTER, **GATED)
 def mixture_cluster(x):
     """Weights gated by word features, learned by EM until they settle."""
     return _gated(x, None)
 
 
-@query(SHOWN + "cut_v", some_experts=SOME, **CLUSTER, gated=f"""SELECT w1, 0 AS j, sum(g * e0) AS e FROM gate_v GROUP BY w1 UNION ALL SELECT w1, 1, sum(g * e1) FROM gate_v GROUP BY w1""",
-    gate_v=f"SELECT word AS w1, e0, e1, pi * exp(-{_far('mu')} / (2 * sigma * sigma)) / sigma AS g FROM scaled CROSS JOIN gauss_end WHERE word IN ({TEST})",
-    res_v="""SELECT w1, w2, sum(p) AS p FROM (SELECT w1, w2, p * e AS p FROM some_experts JOIN gated USING (j, w1)
-        UNION ALL SELECT w1, w2, e / v AS p FROM (SELECT * FROM gated WHERE (j, w1) NOT IN (SELECT (j, w1) FROM some_experts)) JOIN (SELECT DISTINCT j, w2 FROM some_experts) USING (j) JOIN (SELECT j, count(DISTINCT w2) AS v FROM some_experts GROUP BY j) USING (j)) GROUP BY ALL""",
-    norm_v="SELECT w1, w2, p / sum(p) OVER (PARTITION BY w1) AS p FROM res_v", cut_v=truncated_sql("norm_v", TRUNCATE))
+@query(SHOWN + "cut_v", some_experts=SOME, **CLUSTER_STEPS, **GATED)
 def mixture_cluster_steps(x):
     """Weights gated by word features after two updates."""
     return _gated(x, 2)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks
 from ..operators.text import split_words
+from .named import write_named
 
 # ---- readers
 
@@ -128,6 +133,19 @@ def column(spark: SparkSession, path: str, number: int) -> DataFrame:
     return lines(spark, path).select(F.get(F.split(F.trim("value"), r"\s+"), F.lit(number - 1)).alias("word"), F.col("line").alias("ord")).where("word IS NOT NULL AND word <> ''")
 
 
+def columns(spark: SparkSession, wanted: list[tuple[int, str, list[int]]]) -> DataFrame:
+    """(job, words): of each (job, path, numbers) the columns of those numbers, counted from 1, of lines of white space separated
+    fields that have them all. Files of any number of jobs, some of them the same, are one scan."""
+    read = spark.read.text(sorted({path for _, path, _ in wanted}))
+    plain = lambda uri: re.sub(r"^\w+:/+", "/", unquote(uri))
+    found = [(uri, job, numbers) for uri in read.inputFiles() for job, path, numbers in wanted if plain(uri) == plain(path) or plain(uri).startswith(plain(path).rstrip("/") + "/")]
+    files = spark.createDataFrame([(plain(uri), job, numbers) for uri, job, numbers in found], "file string, job int, numbers array<int>")
+    at = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^\w+:/+", "/")
+    rows = read.select(at.alias("file"), F.split(F.trim("value"), r"\s+").alias("f")).join(F.broadcast(files), "file")
+    words = F.transform("numbers", lambda n: F.get("f", n - 1))
+    return rows.select("job", words.alias("words")).where(F.forall("words", lambda w: w.isNotNull() & (w != "")))
+
+
 def jobs(spark: SparkSession, path: str) -> DataFrame:
     """(split_id, test, col, train, l1, l2, out, params): a line for each learning job."""
     f = F.split(F.trim("value"), r"\s+")
@@ -149,7 +167,8 @@ def label_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_block_lines(values: DataFrame) -> DataFrame:
-    rows = values.where("trim(value) <> ''").withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line")) - 1)
+    # lines that are not blank are counted block by block
+    rows = ranks.running(values, "line", F.when(F.trim("value") != "", 1), "count", "i").where("trim(value) <> ''")
     rows = rows.select((F.col("i") / 3).cast("int").alias("block"), (F.col("i") % 3).alias("k"), F.split(F.trim("value"), r"\s+").alias("w"))
     return rows.groupBy("block").agg(F.max(F.when(F.col("k") == 1, F.col("w"))).alias("l1_labels"), F.max(F.when(F.col("k") == 2, F.col("w"))).alias("l2_labels"))
 
@@ -185,6 +204,24 @@ def write_pmf(pmf: DataFrame, path: str) -> None:
     pmf_text(pmf).write.text(path, compression="gzip")
 
 
+def write_pmfs(pmfs: DataFrame) -> None:
+    """(path, w1, w2, p, rk) as a file for each path, a line for each source word, in order; .gz paths are compressed."""
+    cands = F.array_sort(F.collect_list(F.struct("rk", F.concat_ws(" ", "w2", F.col("p").cast("string")).alias("c"))))
+    lines_ = pmfs.groupBy("path", "w1").agg(F.array_join(F.transform(cands, lambda x: x["c"]), "\t").alias("c"))
+    write_named(lines_.select("path", "w1", F.concat_ws("\t", "w1", "c").alias("value")), "w1")
+
+
+def write_matrix(matrix: DataFrame, path: str) -> None:
+    """(wid, did, n) as lines of three numbers in one file."""
+    write_named(matrix.select(F.lit(path).alias("path"), "wid", "did", F.concat_ws(" ", "wid", "did", F.col("n").cast("long")).alias("value")), "wid", "did")
+
+
+def matrix(spark: SparkSession, path: str) -> DataFrame:
+    """(wid, did, n) of write_matrix()."""
+    f = F.split(F.trim("value"), " ")
+    return spark.read.text(path).select(f[0].cast("long").alias("wid"), f[1].alias("did"), f[2].cast("long").alias("n"))
+
+
 def write_table(df: DataFrame, path: str, separator: str = "\t") -> None:
     """Flat columns as separated values without quotes; array columns are joined by blanks."""
     flat = [F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
@@ -205,40 +242,66 @@ def write_docs(docs: DataFrame, path: str) -> None:
     docs.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(path)
 
 
+def write_document_files(docs: DataFrame, path: str) -> None:
+    """(doc_id, text) as a file for each document, its name the id, its text and a line feed its content."""
+    write_named(docs.select(F.concat(F.lit(path.rstrip("/") + "/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("value")))
+
+
+def write_split_files(splits: DataFrame, path: str, prefix: str) -> None:
+    """(split_id, part, w1, w2) as files <path>/<split_id>/<prefix>.tr.gold and .ts.gold, sorted."""
+    end = F.when(F.col("part") == "train", f"/{prefix}.tr.gold").otherwise(f"/{prefix}.ts.gold")
+    write_named(splits.select(F.concat(F.lit(path.rstrip("/") + "/"), F.col("split_id").cast("string"), end).alias("path"), F.concat_ws("\t", "w1", "w2").alias("value")), "value")
+
+
+def split_files(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """(split_id, part, w1, w2) of write_split_files()."""
+    f, at = F.split("value", "\t"), F.regexp_extract("_metadata.file_path", r"/(\d+)/[^/]+\.(tr|ts)\.gold$", 1)
+    rows = spark.read.text(f"{path.rstrip('/')}/*/{prefix}.t?.gold")
+    return rows.select(at.cast("int").alias("split_id"), F.when(F.endswith("_metadata.file_path", F.lit(".tr.gold")), "train").otherwise("test").alias("part"), f[0].alias("w1"), f[1].alias("w2"))
+
+
 def write_splits(splits: DataFrame, path: str) -> None:
     """(split_id, part, w1, w2) as folders split_id=/part=."""
     splits.select("split_id", "part", F.concat_ws("\t", "w1", "w2").alias("value")).write.partitionBy("split_id", "part").text(path)
 
 
-def _write_lines(spark: SparkSession, rows: list[str], path: str) -> None:
-    """A few lines as one text file, in order."""
-    spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, value string").coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+def write_lines(spark: SparkSession, rows: dict[str, list[str]]) -> None:
+    """A few lines for each path, as one text file, in order."""
+    write_named(spark.createDataFrame([(path, k, x) for path, some in rows.items() for k, x in enumerate(some)], "path string, k int, value string"), "k")
 
 
-def _numbers(x: list[float]) -> str:
+def numbers(x: list[float]) -> str:
     return " ".join(map(str, x))
 
 
 def write_weights(weights: DataFrame, path: str) -> None:
     """(j, e) as one line of numbers; weights() reads it."""
     one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", "e"))), lambda x: x["e"].cast("string")), " ")
-    weights.agg(one.alias("value")).write.text(path)
+    write_named(weights.agg(one.alias("value")).withColumn("path", F.lit(path)))
 
 
-def latent_text(eps: list[list[float]], theta: list[float]) -> list[str]:
-    """Category weights as lines: experts and categories, a line of eps for each category, a line of category and theta for each."""
-    return [f"{len(eps[0])}\t{len(eps)}", *map(_numbers, eps), *(f"{k}\t{t}" for k, t in enumerate(theta))]
+def latent_text(eps: list[list[float]], theta: list[float], names: list[str] | None = None) -> list[str]:
+    """Category weights as lines: numbers of experts and categories, a line of eps for each category, a line of name and theta for each;
+    categories without names have numbers."""
+    return [f"E={len(eps[0])}\tT={len(eps)}", *map(numbers, eps), *(f"{name}\t{t}" for name, t in zip(names or range(len(theta)), theta, strict=True))]
 
 
-def write_latent(spark: SparkSession, eps: list[list[float]], theta: list[float], path: str) -> None:
-    _write_lines(spark, latent_text(eps, theta), path)
+def write_latent(spark: SparkSession, eps: list[list[float]], theta: list[float], path: str, names: list[str] | None = None) -> None:
+    write_lines(spark, {path: latent_text(eps, theta, names)})
 
 
 def latent(spark: SparkSession, path: str) -> tuple[list[list[float]], list[float]]:
     """(eps, theta) of write_latent()."""
+    eps, theta, _ = named_latent(spark, path)
+    return eps, theta
+
+
+def named_latent(spark: SparkSession, path: str) -> tuple[list[list[float]], list[float], list[str]]:
+    """(eps, theta, category names) of write_latent()."""
     rows = [r["value"] for r in lines(spark, path).orderBy("line").collect()]  # a line or two for each category
-    n = int(rows[0].split("\t")[1])
-    return [[float(v) for v in x.split()] for x in rows[1 : n + 1]], [float(x.split("\t")[1]) for x in rows[n + 1 : 2 * n + 1]]
+    n = int(rows[0].rpartition("T=")[2])
+    named = [x.split("\t") for x in rows[n + 1 : 2 * n + 1]]
+    return [[float(v) for v in x.split()] for x in rows[1 : n + 1]], [float(t) for _, t in named], [name for name, _ in named]
 
 
 def write_features(features: DataFrame, path: str) -> None:
@@ -248,11 +311,11 @@ def write_features(features: DataFrame, path: str) -> None:
 
 def gauss_text(eps: list[list[float]], pi: list[float], mu: list[list[float]], sigma: list[float], n: int) -> list[str]:
     """Cluster parameters as lines: a head, then EPS, PI, MU and SIGMA with a line for each cluster or one for all."""
-    return [f"N={n}\tK={len(pi)}\tE={len(eps[0])}", "EPS", *map(_numbers, eps), "PI", _numbers(pi), "MU", *map(_numbers, mu), "SIGMA", _numbers(sigma)]
+    return [f"N={n}\tK={len(pi)}\tE={len(eps[0])}", "EPS", *map(numbers, eps), "PI", numbers(pi), "MU", *map(numbers, mu), "SIGMA", numbers(sigma)]
 
 
 def write_gauss(spark: SparkSession, eps: list[list[float]], pi: list[float], mu: list[list[float]], sigma: list[float], n: int, path: str) -> None:
-    _write_lines(spark, gauss_text(eps, pi, mu, sigma, n), path)
+    write_lines(spark, {path: gauss_text(eps, pi, mu, sigma, n)})
 
 
 def gauss(spark: SparkSession, path: str) -> tuple[list[list[float]], list[float], list[list[float]], list[float]]:

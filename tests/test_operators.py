@@ -74,14 +74,7 @@ def test_mixtures(spark):
     assert shown(unseen, "w1", "w2", "p") == [("new", "t", 0.3), ("new", "v1", 0.05)]
 
 
-@pytest.fixture(params=["driver", "cluster"])
-def both_ways(request, monkeypatch):
-    """Learners with tables that go to the driver, and with tables that do not."""
-    if request.param == "cluster":
-        monkeypatch.setattr(learn, "SMALL", 0)
-
-
-def test_em_matches_numpy(spark, both_ways):
+def test_em_matches_numpy(spark):
     r = np.random.default_rng(0)
     b = r.random((30, 3))
     table = frame(spark, [(f"s{i}", "t", row.tolist()) for i, row in enumerate(b)], "w1 string, w2 string, b array<double>").cache()
@@ -96,7 +89,7 @@ def test_em_matches_numpy(spark, both_ways):
     assert np.allclose(sum(learn.learn_em(table, 3, restarts=1, most=5)), 1)
 
 
-def test_cluster_em_matches_numpy(spark, both_ways):
+def test_cluster_em_matches_numpy(spark):
     r = np.random.default_rng(1)
     b, x = r.random((12, 2)), r.random((12, 3))
     table = frame(spark, [(bb.tolist(), xx.tolist()) for bb, xx in zip(b, x)], "b array<double>, x array<double>")
@@ -295,7 +288,7 @@ def test_jobs(spark, tmp_path):
     assert {(r.split_id, r.w2) for r in got} == {(0, "t"), (1, "u")}
 
 
-def test_learners_settle(spark, monkeypatch):
+def test_learners_settle(spark):
     """EM from an even start stops where an own loop does."""
     r = np.random.default_rng(5)
     b, phi = r.random((20, 2)), r.random((20, 3))
@@ -317,7 +310,6 @@ def test_learners_settle(spark, monkeypatch):
     got = learn.learn_fine(table, [F.col(f"f{k}") for k in range(3)], 2)
     assert np.allclose(got[0], e) and np.allclose(got[1], t)
     steps = learn.learn_fine(table, [F.col(f"f{k}") for k in range(3)], 2, steps=2)
-    monkeypatch.setattr(learn, "SMALL", 0)
     for a, b in zip(steps, learn.learn_fine(table, [F.col(f"f{k}") for k in range(3)], 2, steps=2)):
         assert np.allclose(a, b)
 
