@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pmf
 
-#: Words up to which a vocabulary with its topics may be broadcast.
-BROADCAST_WORDS = 200_000
+#: Words up to which a vocabulary with its topics may be broadcast; bytes up to which one may be sent whole as numbers, and pairs of
+#: words that are scored at once.
+BROADCAST_WORDS, BROADCAST_BYTES, BLOCK_CELLS = 200_000, 64 << 20, 2_000_000
 
 
 def topic_words(state: DataFrame) -> DataFrame:
@@ -92,6 +97,80 @@ def ti_cue(counts: DataFrame, l1: str, l2: str, weight: float = 10.0, beta: floa
     return _scored(left, right, n, sources, lambda _: by_ti + F.lit(float(weight)) * by_cue)
 
 
+def cue_pmf(phi: DataFrame, l1: str, l2: str, mass: float, most: int | None = None, topics: list[int] | None = None) -> DataFrame:
+    """pmf.of_scores() of cue(), by blocks of source words."""
+    topics = topics or topics_of(phi)
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _products(a, b) / _folded(list(a.T))[:, None]
+
+    found = _top_lists(_wide(phi, l1, topics, "p", "w1", "a"), _wide(phi, l2, topics, "p", "w2", "b"), score, mass, most)
+    return pmf.of_scores(cue(phi, l1, l2, topics=topics), mass, most) if found is None else found
+
+
+def ti_cue_pmf(counts: DataFrame, l1: str, l2: str, mass: float, most: int | None = None, weight: float = 10.0, beta: float = 0.01, topics: list[int] | None = None) -> DataFrame:
+    """pmf.of_scores() of ti_cue(), by blocks of source words."""
+    topics = topics or topics_of(counts)
+    n = len(topics)
+    p, v = phi(counts, beta), ti_vectors(counts)
+    left = _wide(p, l1, topics, "p", "w1", "a").join(_wide(v, l1, topics, "p", "w1", "c"), "w1")
+    right = _wide(p, l2, topics, "p", "w2", "b").join(_wide(v, l2, topics, "p", "w2", "d"), "w2")
+
+    def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _products(a[:, n:], b[:, n:]) + weight * (_products(a[:, :n], b[:, :n]) / _folded(list(a[:, :n].T))[:, None])
+
+    found = _top_lists(left, right, score, mass, most)
+    return pmf.of_scores(ti_cue(counts, l1, l2, weight, beta), mass, most) if found is None else found
+
+
+def _folded(parts: list[np.ndarray]) -> np.ndarray:
+    return reduce(lambda a, b: a + b, parts)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of all rows of a and b, topic by topic as flat arithmetic has it, so that digits are the same."""
+    return _folded([np.multiply.outer(a[:, t], b[:, t]) for t in range(a.shape[1])])
+
+
+def _top_lists(left: DataFrame, right: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], mass: float, most: int | None) -> DataFrame | None:
+    """(w1, w2, p, rk): pmf.of_scores() of every row of left (w1, values) with every row of right (w2, values), without the pairs that the
+    cut drops ever leaving a task: a block of source words is scored, summed, ordered and cut at once. None where right has more than
+    BROADCAST_BYTES and so cannot be sent whole.
+    """
+    width = len(right.columns) - 1
+    limit = BROADCAST_BYTES // (8 * width + 32)
+    table = right.limit(limit + 1).toArrow()
+    if table.num_rows > limit:
+        return None
+    names = table.column("w2").to_pylist()
+    order = sorted(range(len(names)), key=lambda k: names[k].encode())  # ties go by word
+    values = np.stack([table.column(c).to_numpy() for c in right.columns if c != "w2"], 1)[order] if names else np.zeros((0, width))
+    held = left.sparkSession.sparkContext.broadcast((pa.array(names, pa.string()).take(pa.array(order, pa.int64())), values))
+    columns = [c for c in left.columns if c != "w1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        targets, b = held.value
+        step = max(1, BLOCK_CELLS // max(1, len(b)))
+        for batch in batches:
+            every = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1) if batch.num_rows else np.zeros((0, len(columns)))
+            for at in range(0, batch.num_rows if len(b) else 0, step):
+                scores = score(every[at : at + step], b)
+                total = scores.sum(1)
+                rows = np.flatnonzero(total != 0)
+                p = scores[rows] / total[rows, None]
+                by = np.argsort(-np.round(p, pmf.DIGITS), axis=1, kind="stable")
+                p = np.take_along_axis(p, by, 1)
+                kept = np.round(np.cumsum(p, 1) - p, pmf.DIGITS) < mass
+                if most is not None:
+                    kept[:, most:] = False
+                whole = np.where(kept, p, 0.0).sum(1)
+                p = p / np.where(whole != 0, whole, 1.0)[:, None]
+                row, rank = np.nonzero(kept)
+                yield pa.RecordBatch.from_arrays([batch.column("w1").take(pa.array(at + rows[row], pa.int64())), targets.take(pa.array(by[row, rank], pa.int64())), pa.array(p[row, rank]), pa.array((rank + 1).astype(np.int32))], ["w1", "w2", "p", "rk"])
+
+    return left.mapInArrow(run, "w1 string, w2 string, p double, rk int")
+
+
 def word_features(stats: DataFrame, phi: DataFrame, lang: str) -> DataFrame:
     """(word, x): the six word statistics, then phi(topic, word) over its sum over topics; words without statistics are dropped."""
     post = phi.where(F.col("lang") == lang).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("topic", "p"))).alias("tp"), F.sum("p").alias("total"))

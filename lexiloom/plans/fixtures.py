@@ -7,9 +7,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import lexicon, pmf, stats, text, topics
+from ..operators import lexicon, stats, text, topics
 
 TRUNCATE = 0.5
+#: Plans of pmfs by application, folder and parameters: a plan with a Python step is only known again as the same object.
+_PMFS: dict[tuple, DataFrame] = {}
 
 
 class Fixtures:
@@ -59,7 +61,10 @@ class Fixtures:
         return topics.cue(topics.phi(self.counts(step, n)), l1, l2, topics=list(range(n)))
 
     def cue_pmf(self, l1: str = "en", l2: str = "de", step: int = 3, n: int = 8) -> DataFrame:
-        return pmf.of_scores(self.cue(l1, l2, step, n), TRUNCATE).cache()
+        key = (self.spark.sparkContext.applicationId, self.dir, l1, l2, step, n)
+        if key not in _PMFS:
+            _PMFS[key] = topics.cue_pmf(topics.phi(self.counts(step, n)), l1, l2, TRUNCATE, topics=list(range(n)))
+        return _PMFS[key].cache()
 
     def expert_list(self) -> list[DataFrame]:
         """Two English-German pmfs over different topic states."""

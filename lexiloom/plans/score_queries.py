@@ -46,7 +46,7 @@ def cue_pmf(x):
 
 @query(SHOWN + "res_v", res_v=of_scores_sql("ticue_ende"))
 def ticue_pmf(x):
-    return rounded(pmf.of_scores(topics.ti_cue(x.counts(), "en", "de"), TRUNCATE), "p")
+    return rounded(topics.ti_cue_pmf(x.counts(), "en", "de", TRUNCATE), "p")
 
 
 WHOLE = "(SELECT w1, w2, score / sum(score) OVER (PARTITION BY w1) AS p FROM cue_ende)"

@@ -63,7 +63,7 @@ def wordlist_scan(x):
     return files.word_list_lines(x.table("nation").select(F.col("n_nationkey").alias("line"), value.alias("value")))
 
 
-@query("SELECT lang, doc_id, pos, word FROM tokens ANTI JOIN stop_v USING (word)", stop_v=STOP)
+@query("SELECT lang, doc_id, pos, word FROM tokens WHERE word NOT IN (SELECT word FROM stop_v)", stop_v=STOP)
 def filter_stopwords(x):
     return x.tokens().transform(text.drop_words(stop_words(x))).select("lang", "doc_id", "pos", "word")
 
@@ -73,7 +73,7 @@ def filter_small(x):
     return x.tokens().transform(text.at_least(3))
 
 
-@query("SELECT lang, doc_id, pos, word FROM tokens SEMI JOIN stop_v USING (word)", stop_v=STOP)
+@query("SELECT lang, doc_id, pos, word FROM tokens WHERE word IN (SELECT word FROM stop_v)", stop_v=STOP)
 def filter_keepwords(x):
     return x.tokens().transform(text.keep_words(stop_words(x))).select("lang", "doc_id", "pos", "word")
 
