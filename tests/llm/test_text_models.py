@@ -211,6 +211,39 @@ def test_license_versions_and_denials():
         assert said(text) == [name] and said("Intro words here; " + text.upper()) == [name]
 
 
+def test_license_short_forms_and_more_denials():
+    scanner = license_scan.Scanner()
+    said = lambda text: [n[1] for n in scanner.notices(text)]
+    forms = [("SPDX-License-Identifier: MIT", "MIT"), ("This project is MIT licensed.", "MIT"), ("This project is licensed under the MIT License.", "MIT"), ("Licensed under the Apache License 2.0", "Apache-2.0"), ("Licensed under the BSD 3-Clause License.", "BSD")]
+    forms += [("License: GPLv3", "GPL-3.0"), ("Licensed under the GNU GPL v3", "GPL-3.0"), ("Licensed under CC-BY-4.0.", "CC-BY-4.0"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0")]
+    for text, name in forms:
+        assert said(text) == [name] and said(f"// {text}\nint main;") == [name], text
+    for text in ("This is no longer released under the MIT License.", "No rights reserved. All rights reserved by nobody without notice.".replace("All rights reserved", "No rights reserved"), "Released without the MIT License."):
+        assert said(text) == [], text
+
+
+def test_license_savings_decide(documents):
+    """Winners are those that save most: with equal savings for all, or none, answers change; planted notices are found."""
+    scanner = license_scan.Scanner()
+    r = random.Random(4)
+    prose = [w for x in documents.where("lang = 'en'").select("text").collect() for w in (x.text or "").split() if license_scan.CUES.isdisjoint(license_scan.words(w))]
+    texts, found = [], 0
+    for k in range(3 * len(license_scan.TEMPLATES)):
+        name, text = license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)]
+        at, w = r.randrange(len(prose) - 300), text.split()
+        if len(w) > 12 and k >= len(license_scan.TEMPLATES):
+            w[1] = "changed"
+        texts.append((" ".join([*prose[at : at + 150], *w, *prose[at + 150 : at + 300]]), name))
+    right = [[n[1] for n in scanner.notices(t)] for t, _ in texts]
+    found = sum(a == [name] for a, (_, name) in zip(right, texts, strict=True))
+    assert found >= 0.95 * len(texts), [(a, n) for a, (_, n) in zip(right, texts, strict=True) if a != [n]]
+    for constant in (0, 1000):
+        same = license_scan.Scanner()
+        same.savings = lambda own, some, v=constant: [v] * len(some)
+        assert [[n[1:3] for n in same.notices(t)] for t, _ in texts] != [[n[1:3] for n in scanner.notices(t)] for t, _ in texts]
+    assert [n for t, _ in texts for n in (lambda s: setattr(s, "savings", lambda own, some: [0] * len(some)) or s)(license_scan.Scanner()).notices(t)] == []
+
+
 def test_license_scan_empty(spark):
     assert license_scan.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
