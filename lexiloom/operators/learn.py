@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import add
 
@@ -30,6 +31,17 @@ def training_table(pairs: DataFrame, experts: DataFrame, n_experts: int, by: lis
     return pairs.join(experts, ["w1", "w2"]).groupBy(*(by or []), "w1", "w2").agg(F.array(*p).alias("b"))
 
 
+#: Training rows that a task of a step reads at least.
+ROWS_A_TASK = 50_000
+
+
+@contextmanager
+def _held(table: DataFrame) -> Iterator[DataFrame]:
+    """table held in as few tasks as its rows need; a step of a single task needs no shuffle."""
+    with shared.held(table) as (rows,):
+        yield rows.coalesce(max(1, rows.count() // ROWS_A_TASK))
+
+
 # ---- steps
 
 #: What a step makes of its rows: their columns as matrices and the parameters go in, named vectors to be summed come out.
@@ -42,12 +54,10 @@ def sums_of(rows: DataFrame, weights: dict[tuple[int, int], list[float]], values
     A task sends its sums in whole units, two numbers for each run and value, which are added up by key: the digits of a sum are the
     same in any partitioning.
     """
-    spark = rows.sparkSession
     columns = [c for c in rows.columns if c != "job"]
     runs: dict[int, list[tuple[int, np.ndarray]]] = {}
     for (job, run), w in weights.items():
         runs.setdefault(job, []).append((run, np.array(w, float)))
-    some = F.broadcast(spark.createDataFrame([(job,) for job in runs], "job int")) if len(runs) > 1 else None
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int, str], list[int]] = {}
@@ -69,8 +79,8 @@ def sums_of(rows: DataFrame, weights: dict[tuple[int, int], list[float]], values
             names = [pa.array(c, t) for c, t in zip(zip(*sums, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*names, *(pa.array(c, pa.int64()) for c in zip(*sums.values(), strict=True))], ["job", "run", "name", "whole", "rest"])
 
-    read = rows if some is None else rows.join(some, "job", "left_semi")
-    found = read.mapInArrow(step, "job int, run int, name string, whole long, rest long").groupBy("job", "run", "name").agg(F.sum("whole").alias("whole"), F.sum("rest").alias("rest"))
+    # the jobs that are still open are as many as fit the driver's table of them
+    found = rows.where(F.col("job").isin(list(runs))).mapInArrow(step, "job int, run int, name string, whole long, rest long").groupBy("job", "run", "name").agg(F.sum("whole").alias("whole"), F.sum("rest").alias("rest"))
     out: dict[tuple[int, int], tuple[int, dict[str, float]]] = {}
     for r in found.collect():  # a row for each run and value
         n, sums = out.get((r["job"], r["run"]), (0, {}))
@@ -154,7 +164,7 @@ def log_likelihood(table: DataFrame, eps: list[float]) -> float:
 def learn_em_jobs(table: DataFrame, n_experts: int, jobs: list[int], restarts: int = 10, change: float = 1e-3, most: int = 500, steps: int | None = None, start: list[float] | None = None, seed: int = 0) -> dict[int, list[float]]:
     """Weights of every job of table (job, b), all learned at once: of highest likelihood (to 9 digits, then the first) among the
     restarts; with `steps` so many updates, or until settled, from an even or the given start."""
-    with shared.held(table.select("job", "b")) as (rows,):
+    with _held(table.select("job", "b")) as rows:
         fixed = steps is not None or start is not None
         starts = [start or [1.0 / n_experts] * n_experts] if fixed else [dirichlet(n_experts, seed=seed + k) for k in range(restarts)]
         states = settle(rows, {(job, run): (list(eps),) for job in jobs for run, eps in enumerate(starts)}, lambda eps: eps, _shares, _mean_shares, change, most, steps)
@@ -269,7 +279,7 @@ def fine_step(table: DataFrame, phi: list[Column], eps: list[list[float]], theta
 def learn_fine(table: DataFrame, phi: list[Column], n_experts: int, change: float = 1e-3, most: int = 500, steps: int | None = None) -> tuple[list[list[float]], list[float]]:
     """(eps[k][j], theta[k]) by EM from an even start, until eps moves by less than `change`, or for so many steps."""
     start = [[1.0 / n_experts] * n_experts for _ in phi], [1.0 / len(phi)] * len(phi)
-    with shared.held(_one(table.select("b", F.array(*phi).alias("f")))) as (rows,):
+    with _held(_one(table.select("b", F.array(*phi).alias("f")))) as rows:
         return settle(rows, {(0, 0): start}, *_fine(len(phi), n_experts), change, most, steps)[0, 0]
 
 
@@ -337,7 +347,7 @@ def learn_cluster(table: DataFrame, clusters: int, n_experts: int, n_features: i
         raise ValueError("more clusters than features")
     mu = [[2.0 if d == k else 0.0 for d in range(n_features)] for k in range(clusters)]
     start = ([[1.0 / n_experts] * n_experts for _ in range(clusters)], [1.0 / clusters] * clusters, mu, [5e6] * clusters)
-    with shared.held(_one(table.select("b", "x"))) as (rows,):
+    with _held(_one(table.select("b", "x"))) as rows:
         return settle(rows, {(0, 0): start}, *_cluster(clusters, n_experts, n_features), change, most, steps)[0, 0]
 
 

@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
+
+#: Rows of a key that one task sets against all rows of the key on the other side.
+ROWS_A_TASK = 1_000
+
+
+def met(left: DataFrame, right: DataFrame, key: str, most: int = ROWS_A_TASK) -> DataFrame:
+    """left joined with right by key, where a key may stand on very many rows of both. The rows of left with one key are dealt into parts
+    of about `most`; those of right go to each part of their key. So a long document, or the root of a taxonomy, is the work of
+    many tasks, and keys of few rows travel once."""
+    parts = left.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("parts_")).where("parts_ > 1")
+    n = F.coalesce("parts_", F.lit(1))
+    dealt = left.join(parts, key, "left").withColumn("part_", F.pmod(F.xxhash64(*left.columns), n).cast("int")).drop("parts_")
+    copied = right.join(parts, key, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts_")
+    # dealt anew, as rows that lie by key alone would do for the join
+    return dealt.repartition(key, "part_").join(copied.repartition(key, "part_"), [key, "part_"]).drop("part_")
+
 
 def cooccurrence(postings: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(w1, w2, n12): documents that have both words, a word with itself included; only pairs that meet."""
     left = postings.select(F.col("word").alias("w1"), "doc_id")
     if sources is not None:
         left = left.join(sources.select(F.col("word").alias("w1")).distinct(), "w1", "left_semi")
-    return left.join(postings.select(F.col("word").alias("w2"), "doc_id"), "doc_id").groupBy("w1", "w2").agg(F.count("*").alias("n12"))
+    return met(left, postings.select(F.col("word").alias("w2"), "doc_id"), "doc_id").groupBy("w1", "w2").agg(F.count("*").alias("n12"))
 
 
 def pmi(postings: DataFrame, sources: DataFrame, vocab: DataFrame, epsilon: float = 1e-4) -> DataFrame:
@@ -51,7 +71,7 @@ def vector_similarity(vectors: DataFrame, sources: DataFrame | None = None) -> D
     left = vectors.select(F.col("word").alias("w1"), "doc_id", F.col("s").alias("s1"))
     if sources is not None:
         left = left.join(sources.select(F.col("word").alias("w1")).distinct(), "w1", "left_semi")
-    return left.join(vectors.select(F.col("word").alias("w2"), "doc_id", F.col("s").alias("s2")), "doc_id").groupBy("w1", "w2").agg(F.sum(F.col("s1") * F.col("s2")).alias("score"))
+    return met(left, vectors.select(F.col("word").alias("w2"), "doc_id", F.col("s").alias("s2")), "doc_id").groupBy("w1", "w2").agg(F.sum(F.col("s1") * F.col("s2")).alias("score"))
 
 
 def with_zeros(scores: DataFrame, sources: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -61,15 +81,22 @@ def with_zeros(scores: DataFrame, sources: DataFrame, vocab: DataFrame) -> DataF
 
 
 def hypernym_distances(edges: DataFrame, longest: int = 20) -> DataFrame:
-    """(node, up, d): every ancestor of each node (itself at 0) of child, parent edges with its least distance, by joins a level."""
+    """(node, up, d): every ancestor of each node (itself at 0) of child, parent edges with its least distance, by a join for each level.
+    Levels are written, so that none is worked out twice; the result is a written table."""
     nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
-    found = level = nodes.select("node", F.col("node").alias("up"), F.lit(0).alias("d"))
-    for d in range(1, longest + 1):
-        level = level.join(edges.select(F.col("child").alias("up"), "parent"), "up").select("node", F.col("parent").alias("up"), F.lit(d).alias("d")).distinct()
-        if level.isEmpty():
+    found, paths = [], []
+    level = nodes.select("node", F.col("node").alias("up"), F.lit(0).alias("d"))
+    for d in range(1, longest + 2):
+        level, path = shared.written(level)
+        paths.append(path)
+        if d > 1 and level.isEmpty():
             break
-        found = found.unionByName(level)
-    return found.groupBy("node", "up").agg(F.min("d").alias("d"))
+        found.append(level)
+        level = level.join(edges.select(F.col("child").alias("up"), "parent"), "up").select("node", F.col("parent").alias("up"), F.lit(d).alias("d")).distinct()
+    out, _ = shared.written(reduce(DataFrame.unionByName, found).groupBy("node", "up").agg(F.min("d").alias("d")))
+    for path in paths:
+        shared.deleted(edges.sparkSession, path)
+    return out
 
 
 def taxonomy_similarity(senses: DataFrame, edges: DataFrame, words: DataFrame) -> DataFrame:
@@ -82,7 +109,7 @@ def taxonomy_similarity(senses: DataFrame, edges: DataFrame, words: DataFrame) -
     listed = words.select("word").distinct()
     a = at.join(listed, "word", "left_semi").select(F.col("word").alias("w1"), "up", F.col("d").alias("d1"))
     b = at.select(F.col("word").alias("w2"), "up", F.col("d").alias("d2"))
-    best = a.join(b, "up").groupBy("w1", "w2").agg((1.0 / (1 + F.min(F.col("d1") + F.col("d2")))).alias("score"))
+    best = met(a, b, "up").groupBy("w1", "w2").agg((1.0 / (1 + F.min(F.col("d1") + F.col("d2")))).alias("score"))
     known = best.withColumn("t", F.sum("score").over(Window.partitionBy("w1"))).select("w1", "w2", (F.col("score") / F.col("t")).alias("p"))
     alone = listed.join(senses.select("word").distinct(), "word", "left_anti").select(F.col("word").alias("w1"), F.col("word").alias("w2"), F.lit(1.0).alias("p"))
     return known.unionByName(alone)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import agreement, evaluate, learn, reports, stats, topics
+from ..sources import files
 from .fixtures import Fixtures
 from .register import Register
-from .score_queries import rounded
+from .score_queries import EM, rounded, training
 
 query = Register()
 QUERIES, SQL = query.queries, query.sql
@@ -63,6 +64,27 @@ def train_test_split(x):
     return splits(x)
 
 
+@query("SELECT split_id, w1, w2, part FROM splits_v", splits_v=SPLITS)
+def splits_roundtrip(x):
+    """The splits as files <split>/en-de.tr.gold and .ts.gold, read again."""
+    path = x.written("splits")
+    files.write_split_files(splits(x), path, "en-de")
+    return files.split_files(x.spark, path, "en-de")
+
+
+@query("SELECT split_id, unnest([0, 1]) AS j, round(unnest([e0, e1]), 9) AS e FROM (SELECT split_id, arg_max(e0, step) AS e0, arg_max(e1, step) AS e1 FROM cv_run GROUP BY split_id)",
+    train=EM["train"], splits_v=SPLITS, cv_train="SELECT split_id, b0, b1 FROM train JOIN splits_v USING (w1, w2) WHERE part = 'train'",
+    cv_run="""SELECT split_id, 0 AS step, 0.5::double AS e0, 0.5::double AS e1, 1.0::double AS moved FROM (SELECT DISTINCT split_id FROM cv_train) UNION ALL
+        SELECT split_id, step + 1, s0 / (s0 + s1), s1 / (s0 + s1), sqrt((s0 / (s0 + s1) - e0) ** 2 + (s1 / (s0 + s1) - e1) ** 2) FROM (
+        SELECT split_id, step, e0, e1, sum(b0 * e0 / (b0 * e0 + b1 * e1)) AS s0, sum(b1 * e1 / (b0 * e0 + b1 * e1)) AS s1 FROM cv_run JOIN cv_train USING (split_id) WHERE moved >= 1e-3 AND step < 500 GROUP BY ALL)""")
+def cv_weights(x):
+    """Weights learned on the training pairs of every split, all splits at once."""
+    rows = training(x).join(splits(x).where("part = 'train'").select(F.col("split_id").alias("job"), "w1", "w2"), ["w1", "w2"])
+    jobs = sorted(r[0] for r in splits(x).select("split_id").distinct().collect())
+    found = learn.learn_em_jobs(rows, 2, jobs, start=[0.5, 0.5])
+    return rounded(x.spark.createDataFrame([(k, j, e) for k, w in found.items() for j, e in enumerate(w)], "split_id int, j int, e double"), "e", digits=9)
+
+
 @query(f"SELECT split_id, {MEANS} FROM details_v JOIN (SELECT DISTINCT split_id, w1 FROM splits_v WHERE part = 'test') USING (w1) GROUP BY split_id", details_v=DETAILS, splits_v=SPLITS)
 def cv_splits_eval(x):
     """The dictionary's test words of each split, all splits in one plan."""
@@ -247,8 +269,20 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     pair_v="SELECT a.r_name AS l1, b.r_name, s_acctbal AS mrr FROM region a CROSS JOIN supplier JOIN nation ON n_nationkey = s_nationkey JOIN region b ON b.r_regionkey = n_regionkey WHERE a.r_regionkey <= b.r_regionkey")
 def eval_pivot(x):
     """Deviations by language pair as a table; regions stand for languages here and balances for the metric."""
+    return rounded(reports.pair_table(pair_runs(x), "mrr", REGIONS), *REGIONS, digits=4)
+
+
+@query("SELECT a.r_name AS l1, b.r_name AS l2, " + ", ".join(f"round({f}({v}), 4) AS {n}_{m}" for m, v in (("mrr", "s_acctbal"), ("p1", "s_acctbal / 2"), ("p5", "s_suppkey")) for n, f in (("mean", "avg"), ("std", "stddev_pop"))) + """
+    FROM region a CROSS JOIN supplier JOIN nation ON n_nationkey = s_nationkey JOIN region b ON b.r_regionkey = n_regionkey WHERE a.r_regionkey <= b.r_regionkey GROUP BY ALL""")
+def eval_list(x):
+    """Means and deviations by language pair as a list."""
+    found = reports.pair_list(pair_runs(x))
+    return rounded(found, *[c for c in found.columns if c not in ("l1", "l2")], digits=4)
+
+
+def pair_runs(x: Fixtures) -> DataFrame:
+    """Runs (l1, l2, mrr, p1, p5) of pairs of regions, numbers of suppliers in place of metrics."""
     a = x.table("region").select(F.col("r_name").alias("l1"), F.col("r_regionkey").alias("k1"))
     b = x.table("region").select(F.col("r_name").alias("l2"), F.col("r_regionkey").alias("k2"))
-    s = x.table("supplier").join(x.table("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(b, F.col("k2") == F.col("n_regionkey")).select("l2", "k2", F.col("s_acctbal").cast("double").alias("mrr"))
-    runs = s.join(F.broadcast(a), F.col("k1") <= F.col("k2"))
-    return rounded(reports.pair_table(runs, "mrr", REGIONS), *REGIONS, digits=4)
+    s = x.table("supplier").join(x.table("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(b, F.col("k2") == F.col("n_regionkey")).select("l2", "k2", F.col("s_acctbal").cast("double").alias("mrr"), (F.col("s_acctbal").cast("double") / 2).alias("p1"), F.col("s_suppkey").cast("double").alias("p5"))
+    return s.join(F.broadcast(a), F.col("k1") <= F.col("k2"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import lexicon, stats, text, topics
+from ..sources import shared
 
 TRUNCATE = 0.5
 #: Plans of pmfs by application, folder and parameters: a plan with a Python step is only known again as the same object.
@@ -24,6 +26,10 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def written(self, name: str) -> str:
+        """A path of its own, in the shared folder, for what a query writes and reads again."""
+        return f"{shared.folder(self.spark)}/query-{uuid.uuid4().hex}/{name}"
+
     def tokens(self) -> DataFrame:
         return text.tokens(self.table("documents"))
 

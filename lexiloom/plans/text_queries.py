@@ -237,3 +237,19 @@ def sparse_matrix(x):
     words = stats.assigned_ids(x.vocab(), ["lang", "word"], start=1, name="wid").select("lang", "word", "wid")
     docs = stats.assigned_ids(x.table("documents").select("doc_id"), ["doc_id"], start=1, name="did")
     return stats.sparse_matrix(x.postings(), words, docs)
+
+
+@query("""SELECT wid, did, tf AS n FROM postings JOIN (SELECT lang, word, row_number() OVER (ORDER BY lang, word) AS wid FROM vocab) USING (lang, word)
+    JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS did FROM documents) USING (doc_id)""")
+def matrix_roundtrip(x):
+    """The sparse matrix as one file of triples, read again."""
+    path = x.written("matrix.txt")
+    files.write_matrix(sparse_matrix(x), path)
+    return files.matrix(x.spark, path).select("wid", F.col("did").cast("long").alias("did"), "n")
+
+
+@query("SELECT lang AS l, count(*) AS n FROM vocab WHERE lang IN ('en', 'de', 'es') GROUP BY lang")
+def vocab_sizes(x):
+    """Vocabulary sizes of the three languages of two language pairs that share one."""
+    outer, mid, other = lexicon.common_language(("en", "de"), ("de", "es"))
+    return x.vocab().where(F.col("lang").isin(outer, mid, other)).groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))

@@ -27,6 +27,14 @@ def deleted(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def written(table: DataFrame) -> tuple[DataFrame, str]:
+    """(table, as read again from the files it has been written to; their path)."""
+    spark = table.sparkSession
+    path = f"{folder(spark)}/written-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path), path
+
+
 @contextmanager
 def held(*tables: DataFrame) -> Iterator[list[DataFrame]]:
     """The tables written and kept in memory as far as it reaches, for work that reads them again and again; gone afterwards.
@@ -36,10 +44,9 @@ def held(*tables: DataFrame) -> Iterator[list[DataFrame]]:
     paths, out = [], []
     try:
         for table in tables:
-            spark = table.sparkSession
-            paths.append(f"{folder(spark)}/held-{uuid.uuid4().hex}")
-            table.write.parquet(paths[-1])
-            out.append(spark.read.schema(table.schema).parquet(paths[-1]).cache())
+            read, path = written(table)
+            paths.append(path)
+            out.append(read.cache())
         yield out
     finally:
         for table in out:

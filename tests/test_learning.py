@@ -193,7 +193,7 @@ def test_job_list_is_one_plan(spark, tmp_path):
 
 
 def test_held_tables_go(spark):
-    there = lambda: {x for x in os.listdir(shared.folder(spark).removeprefix("file://")) if x.startswith("held-")}
+    there = lambda: {x for x in os.listdir(shared.folder(spark).removeprefix("file://")) if x.startswith("written-")}
     with shared.held(spark.range(5), spark.range(3)) as (a, b):
         before = there()
         assert a.count() == 5 and b.count() == 3

@@ -314,6 +314,34 @@ def test_learners_settle(spark):
         assert np.allclose(a, b)
 
 
+def test_top_lists_in_blocks(spark, monkeypatch):
+    """Cut inside blocks as by sorting all pairs, also where a vocabulary is too large to be sent."""
+    r = np.random.default_rng(3)
+    rows = [(lang, t, f"{lang}{'é' if k % 7 == 0 else ''}{k}", int(n)) for lang, size in (("en", 23), ("de", 31)) for k in range(size) for t, n in enumerate(r.integers(0, 6, 4)) if n]
+    counts = frame(spark, rows, "lang string, topic int, word string, n long").cache()
+    p = topics.phi(counts)
+    keep = lambda df: shown(df, "w1", "w2", "p", "rk")
+    want = keep(pmf.of_scores(topics.cue(p, "en", "de"), 0.4)), keep(pmf.of_scores(topics.ti_cue(counts, "en", "de"), 0.4, 3))
+    monkeypatch.setattr(topics, "BLOCK_CELLS", 100)
+    assert (keep(topics.cue_pmf(p, "en", "de", 0.4)), keep(topics.ti_cue_pmf(counts, "en", "de", 0.4, 3))) == want
+    monkeypatch.setattr(topics, "BROADCAST_BYTES", 64)
+    assert (keep(topics.cue_pmf(p, "en", "de", 0.4)), keep(topics.ti_cue_pmf(counts, "en", "de", 0.4, 3))) == want
+    assert topics.cue_pmf(p.where("lang = 'en'"), "en", "de", 0.4, topics=[0, 1, 2, 3]).count() == 0
+
+
+def test_crowded_keys_are_dealt(spark):
+    """A join by a key of many rows is the plain join, whatever the size of parts; taxonomies with a crowded root too."""
+    r = np.random.default_rng(6)
+    a = frame(spark, [(f"a{k}", int(d)) for k in range(40) for d in {0, *r.integers(0, 9, 2).tolist()}], "w1 string, doc_id int")
+    b = frame(spark, [(f"b{k}", int(d)) for k in range(30) for d in {0, *r.integers(0, 9, 2).tolist()}], "w2 string, doc_id int")
+    want = shown(a.join(b, "doc_id"), "doc_id", "w1", "w2")
+    for most in (1, 7, 1000):
+        assert shown(mono.met(a, b, "doc_id", most), "doc_id", "w1", "w2") == want
+    assert mono.met(a, b.where("false"), "doc_id", 2).count() == 0
+    edges = frame(spark, [("x", "root"), ("y", "root"), ("z", "y"), ("w", "z"), ("w", "x")], "child string, parent string")
+    assert dict(shown(mono.hypernym_distances(edges).where("node = 'w'"), "up", "d")) == {"w": 0, "z": 1, "x": 1, "y": 2, "root": 2}
+
+
 def test_ids_and_distances(spark):
     """Ids in order within groups, over many ranges; average distances of ordered pairs, also of a distance that is not symmetric."""
     r = np.random.default_rng(8)
