@@ -356,7 +356,7 @@ def splits(pairs: DataFrame, size: int, samples: int) -> DataFrame:
     rest `test`. The draw is by md5 of split and pair, the same everywhere. Pairs are placed by ranges of that digest."""
     ids = pairs.sparkSession.range(samples).select(F.col("id").cast("int").alias("split_id"))
     drawn = F.md5(F.concat_ws(":", "split_id", "w1", "w2").cast("binary"))
-    rows = pairs.crossJoin(F.broadcast(ids)).withColumn("drawn", drawn)
+    rows, _ = shared.written(pairs.crossJoin(F.broadcast(ids)).withColumn("drawn", drawn))
     placed = ranks.numbered(rows, ["split_id"], F.conv(F.substring("drawn", 1, 8), 16, 10).cast("long"), ["drawn", "w1", "w2"])
     n = pairs.agg(F.count("*").alias("n"))
     take = F.when(F.lit(size) > F.col("n"), F.floor(F.col("n") / 2)).otherwise(F.lit(size))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 #: Ranges that the values of a group are cut into, and lines of a block of a file.
 RANGES, BLOCK = 256, 65_536
 
@@ -60,11 +62,13 @@ def counts_below(points: DataFrame, by: list[str], value: str, count: str, range
 def average_ranks(rows: DataFrame, value: str, name: str, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
     """rows with average ranks: equal values (to 12 digits) share the mean of their places; nulls are equal and lowest.
 
-    Values are counted first, so that ties are one row wherever ranges end, and ranks are joined back by value.
+    Values are counted first, so that ties are one row wherever ranges end, and ranks are joined back by value. The counts are
+    written, as ranges are found from them and then filled with them.
     """
     by = by or []
     keyed = rows.withColumn("key_", F.round(value, 12))
-    ranked = counts_below(keyed.groupBy(*by, "key_").agg(F.count("*").alias("c_")), by, "key_", "c_", ranges)
+    points, _ = shared.written(keyed.groupBy(*by, "key_").agg(F.count("*").alias("c_")))
+    ranked = counts_below(points, by, "key_", "c_", ranges)
     found = ranked.select(*[F.col(c).alias(f"{c}__") for c in by], F.col("key_").alias("key__"), (F.col("below") + (F.col("c_") + 1) / 2).alias(name))
     condition = keyed["key_"].eqNullSafe(F.col("key__"))
     for c in by:
