@@ -320,16 +320,22 @@ def fine_training(x: Fixtures) -> tuple[DataFrame, list[Column]]:
     return t, [F.col(f"f{k}") for k in range(8)]
 
 
+def _exact(v: str) -> str:
+    """The sum of exact.units()."""
+    units = f"({v}) * {1 / exact.HALF!r}::double"
+    return f"(sum(floor({units})::bigint)::double + sum(floor(({units} - floor({units})) * {1 / exact.HALF!r}::double)::bigint)::double * {exact.HALF!r}::double) * {exact.HALF!r}::double"
+
+
 #: A row for each update: eps (topic by topic) and theta, until eps moves by less than a thousandth.
 FINE = {
     "train": EM["train"],
     "fine_in": "SELECT w1, w2, f.topic AS k, j, f.p * CASE WHEN j = 0 THEN b0 ELSE b1 END AS bf FROM train JOIN phi f ON f.lang = 'en' AND f.word = w1 CROSS JOIN range(2) g(j)",
-    "fine_run": """SELECT 0 AS step, list_transform(generate_series(1, 16), lambda v: 0.5::double) AS e, list_transform(generate_series(1, 8), lambda v: 0.125::double) AS t, 1.0::double AS moved UNION ALL
+    "fine_run": f"""SELECT 0 AS step, list_transform(generate_series(1, 16), lambda v: 0.5::double) AS e, list_transform(generate_series(1, 8), lambda v: 0.125::double) AS t, 1.0::double AS moved UNION ALL
         SELECT step + 1, e2, t2, sqrt(list_sum(list_transform(list_zip(e2, e), lambda v: (v[1] - v[2]) ** 2))) FROM (
         SELECT step, e, list(coalesce(s / nullif(ks, 0), 0) ORDER BY k, j) AS e2, list(ks / every ORDER BY k, j) FILTER (j = 0) AS t2 FROM (
         SELECT step, e, k, j, s, sum(s) OVER (PARTITION BY step, k) AS ks, sum(s) OVER (PARTITION BY step) AS every FROM (
-        SELECT step, e, k, j, sum(x / total) AS s FROM (SELECT *, sum(x) OVER (PARTITION BY step, w1, w2) AS total FROM (
-        SELECT step, e, w1, w2, k, j, bf * e[k * 2 + j + 1] * t[k + 1] AS x FROM fine_run, fine_in WHERE moved >= 1e-3 AND step < 500)) GROUP BY ALL)) GROUP BY step, e)""",
+        SELECT step, e, k, j, {_exact('x / total')} AS s FROM (SELECT *, list_reduce(list(x) OVER (PARTITION BY step, w1, w2 ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), lambda p, q: p + q) AS total FROM (
+        SELECT step, e, w1, w2, k, j, bf * (e[k * 2 + j + 1] * t[k + 1]) AS x FROM fine_run, fine_in WHERE moved >= 1e-3 AND step < 500)) GROUP BY ALL)) GROUP BY step, e)""",
     "fine_end": "SELECT k, j, e[k * 2 + j + 1] AS e, t[k + 1] AS t FROM (SELECT e, t FROM fine_run ORDER BY step DESC LIMIT 1) CROSS JOIN range(8) a(k) CROSS JOIN range(2) b(j)",
 }
 
@@ -417,12 +423,6 @@ def _gauss(k: int) -> str:
     return f"pi[{k}] * {_decay(_far(f'mu[{k}]') + f' / (2 * (sigma[{k}] * sigma[{k}]))')} / sigma[{k}]"
 
 
-def _exact(v: str) -> str:
-    """The sum of exact.units()."""
-    units = f"({v}) * {1 / exact.HALF!r}::double"
-    return f"(sum(floor({units})::bigint)::double + sum(floor(({units} - floor({units})) * {1 / exact.HALF!r}::double)::bigint)::double * {exact.HALF!r}::double) * {exact.HALF!r}::double"
-
-
 _PARTS = ["b0 * e[1] * g[1]", "b1 * e[2] * g[1]", "b0 * e[3] * g[2]", "b1 * e[4] * g[2]"]
 #: A row for each update of eps (cluster by cluster), pi, mu and sigma, until eps moves by less than a thousandth. Clusters start so
 #: wide that they part by the last digits of a sum: hence sums of whole numbers and an exp() of its own on both sides.
