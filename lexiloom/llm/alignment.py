@@ -91,7 +91,8 @@ class Aligner:
         if not self.cuts:
             return [text]
         parts = text.split(" ")
-        return parts if len(parts) == len(text.split()) else re.split(r"(?<=\S) (?=\S)", text)
+        # alike only if all white space is single spaces between words
+        return parts if parts == text.split() else re.split(r"(?<=\S) (?=\S)", text)
 
     def align(self, a: list[int], b: list[int], raw: bytes) -> list[tuple[list[int], list[int]]] | None:
         """Groups of the ids of A and of B that spell raw; None where they don't."""

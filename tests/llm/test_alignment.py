@@ -116,3 +116,11 @@ def test_texts_are_not_cut_where_pieces_go_over_spaces(both):
     text = "Words that go on, and on; and \n on"
     assert held.words(text) == [text]
     assert next(iter(held.texts([text])))[1] == text_of(both(text))
+
+
+@pytest.mark.parametrize("text", [" x\ty", "x\ty ", "a  b\tc", " OPEN\n4\u5c5e", "a  b c\u2028d", "  two\n\nlines\tx "])
+def test_other_white_space_does_not_make_up_for_empty_words(both, text):
+    held = alignment.Aligner(*(open(p, "rb").read() for p in (VOCABULARY_A, VOCABULARY_B)))
+    want = both(text)
+    assert want
+    assert next(iter(held.texts([text])))[1] == text_of(want)
