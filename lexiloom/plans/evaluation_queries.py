@@ -94,7 +94,7 @@ def cv_splits_eval(x):
 
 @query("""SELECT word, cf, df, round(adc, 6) AS adc, round(avg(rr), 6) AS rr, round(avg(pres1), 6) AS pres1, round(avg(pres5), 6) AS pres5 FROM details_v JOIN word_stats ON word = w1 AND lang = 'en' GROUP BY ALL""", details_v=DETAILS)
 def perf_by_freq(x):
-    s = stats.word_stats(x.postings()).where("lang = 'en'")
+    s = x.word_stats().where("lang = 'en'")
     return rounded(reports.by_frequency(details(x), s), "adc", "rr", "pres1", "pres5")
 
 

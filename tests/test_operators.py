@@ -1,6 +1,7 @@
 """Hand-computed cases of the operators."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import tails, vectors
 from lexiloom.operators import agreement, evaluate, experts, jobs, learn, lexicon, mono, pmf, reports, stats, suggest, text, topics
+from lexiloom.plans.fixtures import Fixtures
 from lexiloom.sources import files
 from lexiloom.streaming import postings as stream
 
@@ -378,3 +380,44 @@ def test_streamed_postings(spark, tmp_path, sf_dir):
     query.awaitTermination()
     batch = stats.postings(text.tokens(spark.read.parquet(str(tmp_path / "in"))))
     assert spark.table("streamed").exceptAll(batch).count() == 0 and spark.table("streamed").count() == batch.count()
+
+
+ODD_SPACE = [(1, "en", "src1", " One one\ttwo\x1cthree  ONE　two x "), (2, "en", "src2", None), (3, None, "src1", "two İi ΑΣ two"), (4, "de", "src3", ""), (5, "de", "src1", "\x85a\xa0b᠎c​d e a 12 straße"), (6, "en", "src2", "\n"), (7, "en", None, "123 456 one")]
+
+
+def test_row_counts_like_postings(spark):
+    docs = spark.createDataFrame(ODD_SPACE, "doc_id long, lang string, source string, text string")
+    words = {tuple(r) for r in stats.row_counts(docs.select("lang", "text")).select("lang", "word", "cf", "df").collect()}
+    assert words == {tuple(r) for r in stats.postings(text.tokens(docs)).groupBy("lang", "word").agg(F.sum("tf"), F.count("*")).collect()}
+    places = {tuple(r) for r in stats.row_counts(docs.select("lang", "source", "text"), 3).select("lang", "source", "place", "word", "cf").collect()}
+    assert places == {tuple(r) for r in text.tokens(docs, keep=["source"]).groupBy("lang", "source", F.col("pos") % 3, "word").agg(F.count("*")).collect()}
+    assert stats.row_counts(docs.select("lang", "text").where("false")).count() == 0
+    found = stats.document_counts_of(docs.select("lang", "text"), lambda w, lang: (F.length(w) >= 3) & ~text.foreign(w, lang))
+    clean = text.tokens(docs).transform(text.at_least(3)).transform(text.in_script(lang_col="lang"))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in stats.document_counts(stats.postings(clean)).collect()}
+
+
+def test_white_space_is_the_same_everywhere(spark):
+    every = "".join(f"{chr(c)}x" for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000)
+    docs = spark.createDataFrame([("en", every)], "lang string, text string")
+    assert {r["word"] for r in stats.row_counts(docs).collect()} == {r["word"] for r in text.tokens(docs.withColumn("doc_id", F.lit(1))).collect()}
+
+
+def test_vocabulary_counts_texts_without_grouping_by_document(spark, sf_dir, tmp_path):
+    """Rows that share or lack a doc_id are counted as one document, in another plan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.write.parquet(str(tmp_path / "single" / "documents.parquet"))
+    shared_ids = docs.where("doc_id % 9 = 0").withColumn("source", F.lit("src5")).unionByName(docs.where("doc_id % 50 = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    docs.unionByName(shared_ids).write.parquet(str(tmp_path / "shared" / "documents.parquet"))
+    for name in ("single", "shared"):
+        x = Fixtures(spark, str(tmp_path / name))
+        assert x.single() == (name == "single")
+        by_document = re.search(r"Aggregate \[[^\]]*doc_id", x.vocab()._jdf.queryExecution().analyzed().toString())
+        assert (by_document is None) == x.single()
+        got = {tuple(r) for r in x.word_stats().select("lang", "word", "cf", "df").collect()}
+        p = x.postings()
+        assert got == {tuple(r) for r in stats.word_stats(p).select("lang", "word", "cf", "df").collect()}
+        for step, n in ((3, 8), (5, 6)):
+            want = x.clean().join(x.vocab().select("lang", "word"), ["lang", "word"], "left_semi").join(x.table("documents").select("doc_id", F.substring("source", 4, 9).cast("int").alias("s")), "doc_id")
+            want = want.groupBy("lang", ((F.col("s") + F.col("pos") % step) % n).alias("topic"), "word").agg(F.count("*").alias("n"))
+            assert {tuple(r) for r in x.counts(step, n).select("lang", "topic", "word", "n").collect()} == {tuple(r) for r in want.collect()}
