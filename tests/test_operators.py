@@ -421,3 +421,12 @@ def test_vocabulary_counts_texts_without_grouping_by_document(spark, sf_dir, tmp
             want = x.clean().join(x.vocab().select("lang", "word"), ["lang", "word"], "left_semi").join(x.table("documents").select("doc_id", F.substring("source", 4, 9).cast("int").alias("s")), "doc_id")
             want = want.groupBy("lang", ((F.col("s") + F.col("pos") % step) % n).alias("topic"), "word").agg(F.count("*").alias("n"))
             assert {tuple(r) for r in x.counts(step, n).select("lang", "topic", "word", "n").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_cuts_beyond_a_mass_in_blocks(spark):
+    counts = frame(spark, [(lang, t, f"{lang}{w}", (w * 7 + t * 3) % 5 + 1) for lang in ("en", "de") for t in range(3) for w in range(9)], "lang string, topic int, word string, n long")
+    phi = topics.phi(counts)
+    rows = lambda df: {(r["w1"], r["w2"], r["rk"], round(r["p"], 9)) for r in df.collect()}
+    whole = pmf.normalised(topics.cue(phi, "en", "de"))
+    assert rows(topics.cue_pmf(phi, "en", "de", 0.3, beyond=True)) == rows(pmf.cumulative_cut(whole, 0.3))
+    assert rows(topics.cue_pmf(phi, "en", "de", 0.8)) == rows(pmf.truncated(whole, 0.8))
