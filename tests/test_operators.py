@@ -423,6 +423,16 @@ def test_vocabulary_counts_texts_without_grouping_by_document(spark, sf_dir, tmp
             assert {tuple(r) for r in x.counts(step, n).select("lang", "topic", "word", "n").collect()} == {tuple(r) for r in want.collect()}
 
 
+def test_few_pairs_are_sent_to_the_experts(spark):
+    pairs, pmfs = frame(spark, [("a", "x"), ("a", "x"), ("b", "y")], "w1 string, w2 string"), experts.union_of([pmf_of(spark, [("a", "x", 0.5), ("c", "x", 1.0)]), pmf_of(spark, [("a", "x", 0.25)])])
+    best = experts.best_expert(pairs, pmfs, frame(spark, [(0, "p"), (1, "q")], "j int, expert string"))
+    assert {tuple(r) for r in best.collect()} == {("a", "x", "p", 0.5), ("b", "y", "p", 0.0)}
+    train = learn.training_table(pairs, pmfs, 2)
+    for df in (best.select("w1"), train):
+        assert "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString().replace("BroadcastHint", "")
+    assert [tuple(r) for r in train.collect()] == [("a", "x", [1.0, 0.5])]
+
+
 def test_cuts_beyond_a_mass_in_blocks(spark):
     counts = frame(spark, [(lang, t, f"{lang}{w}", (w * 7 + t * 3) % 5 + 1) for lang in ("en", "de") for t in range(3) for w in range(9)], "lang string, topic int, word string, n long")
     phi = topics.phi(counts)
