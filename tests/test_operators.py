@@ -397,6 +397,18 @@ def test_row_counts_like_postings(spark):
     assert {tuple(r) for r in found.collect()} == {tuple(r) for r in stats.document_counts(stats.postings(clean)).collect()}
 
 
+def test_document_counts_of_places_add_up(spark):
+    """df adds up over places, a vocabulary is picked before counting, and documents are judged by their first fitting word."""
+    docs = spark.createDataFrame([*ODD_SPACE, (8, "de", "src1", "ab x1y c.d"), (9, "hi", "src2", "abc कखग"), (10, "hi", "src2", "abc")], "doc_id long, lang string, source string, text string")
+    summed = stats.row_counts(docs.select("lang", "source", "text"), 3).groupBy("lang", "word").agg(F.sum("cf"), F.sum("df"))
+    assert {tuple(r) for r in summed.collect()} == {tuple(r) for r in stats.postings(text.tokens(docs)).groupBy("lang", "word").agg(F.sum("tf"), F.count("*")).collect()}
+    some = {tuple(r) for r in stats.row_counts(docs.select("lang", "source", "text"), 3, ["two", "one"]).collect()}
+    assert some == {tuple(r) for r in stats.row_counts(docs.select("lang", "source", "text"), 3).where("word IN ('two', 'one')").collect()}
+    found = docs.where(text.has_word(F.lower("text"), F.col("lang"), 3)).groupBy("lang").agg(F.count("*"))
+    clean = text.tokens(docs).transform(text.at_least(3)).transform(text.in_script(lang_col="lang"))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in stats.document_counts(stats.postings(clean)).collect()}
+
+
 def test_white_space_is_the_same_everywhere(spark):
     every = "".join(f"{chr(c)}x" for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000)
     docs = spark.createDataFrame([("en", every)], "lang string, text string")
@@ -433,6 +445,16 @@ def test_few_pairs_are_sent_to_the_experts(spark):
     assert [tuple(r) for r in train.collect()] == [("a", "x", [1.0, 0.5])]
 
 
+def test_source_words_are_dealt_over_tasks(spark):
+    """Behind a join by source word too, whose small partitions are put together."""
+    counts = frame(spark, [(lang, t, f"{lang}{w}", (w * 7 + t * 3) % 5 + 1) for lang in ("en", "de") for t in range(3) for w in range(40)], "lang string, topic int, word string, n long")
+    whole = pmf.of_scores(topics.ti_cue(counts, "en", "de"), 0.5)
+    found = topics.ti_cue_pmf(counts, "en", "de", 0.5)
+    assert found.select("w1", F.spark_partition_id().alias("k")).select("k").distinct().count() > 1
+    rows = lambda df: {(r["w1"], r["w2"], r["rk"], round(r["p"], 9)) for r in df.collect()}
+    assert rows(found) == rows(whole)
+
+
 def test_cuts_beyond_a_mass_in_blocks(spark):
     counts = frame(spark, [(lang, t, f"{lang}{w}", (w * 7 + t * 3) % 5 + 1) for lang in ("en", "de") for t in range(3) for w in range(9)], "lang string, topic int, word string, n long")
     phi = topics.phi(counts)
