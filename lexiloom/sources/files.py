@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ranks
 from ..operators.text import split_words
+from . import shared
 from .named import write_named
 
 # ---- readers
@@ -211,9 +214,26 @@ def write_pmfs(pmfs: DataFrame) -> None:
     write_named(lines_.select("path", "w1", F.concat_ws("\t", "w1", "c").alias("value")), "w1")
 
 
+#: Lines that go to the writer of a file as one.
+LINES_AT_ONCE = 256
+
+
 def write_matrix(matrix: DataFrame, path: str) -> None:
-    """(wid, did, n) as lines of three numbers in one file."""
-    write_named(matrix.select(F.lit(path).alias("path"), "wid", "did", F.concat_ws(" ", "wid", "did", F.col("n").cast("long")).alias("value")), "wid", "did")
+    """(wid, did, n) as lines of three numbers in one file. Lines are sorted by ranges and put together side by side; the one writer of the
+    file only strings up the pieces."""
+    rows = shared.written(matrix.select("wid", "did", "n"))[0].repartitionByRange("wid", "did").sortWithinPartitions("wid", "did")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            some, parts = batch.column("value").to_pylist(), batch.column("part")
+            joined = ["\n".join(some[at : at + LINES_AT_ONCE]) for at in range(0, len(some), LINES_AT_ONCE)]
+            yield pa.RecordBatch.from_arrays([parts.slice(0, len(joined)), pa.array(range(done, done + len(joined)), pa.int64()), pa.array(joined, pa.string())], ["part", "piece", "value"])
+            done += len(joined)
+
+    lines_ = rows.select(F.spark_partition_id().alias("part"), F.concat_ws(" ", "wid", "did", F.col("n").cast("long")).alias("value"))
+    found = lines_.mapInArrow(pieces, "part int, piece long, value string")
+    write_named(found.select(F.lit(path).alias("path"), "part", "piece", "value"), "part", "piece")
 
 
 def matrix(spark: SparkSession, path: str) -> DataFrame:

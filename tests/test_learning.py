@@ -164,6 +164,16 @@ def test_named_files(spark, tmp_path):
     assert sorted(map(tuple, files.pmf(spark, base + "/x.gz").select("w1", "w2", "p", "rk").collect())) == [("s", "t", 0.75, 1), ("s", "u", 0.25, 2)]
 
 
+def test_matrix_is_one_sorted_file_in_pieces(spark, tmp_path, monkeypatch):
+    """The writer gets pieces of many lines, not each line by itself, and the file is sorted by numbers all the same."""
+    handed = []
+    monkeypatch.setattr(files, "write_named", lambda rows, *order: (handed.append(rows.count()), named.write_named(rows, *order)))
+    rows = spark.range(5000).selectExpr("id * 7919 % 1013 AS wid", "id AS did", "id % 3 AS n")
+    files.write_matrix(rows.repartition(7), str(tmp_path / "matrix"))
+    assert (tmp_path / "matrix").read_text() == "".join(f"{w} {d} {n}\n" for w, d, n in sorted(map(tuple, rows.collect())))
+    assert 0 < handed[0] < 200
+
+
 def test_failed_write_leaves_no_file(spark, tmp_path):
     """A row that cannot be written takes all files of the job with it, and what stood there before stays."""
     (tmp_path / "a").write_text("old")
