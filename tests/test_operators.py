@@ -466,6 +466,14 @@ def test_source_words_are_dealt_over_tasks(spark):
     assert rows(found) == rows(whole)
 
 
+def test_statistics_of_all_words_are_not_shuffled_for_features(spark):
+    phi = frame(spark, [("en", t, w, p) for t, (a, b) in enumerate([(0.25, 0.75), (0.5, 0.5)]) for w, p in (("a", a), ("b", b))], "lang string, topic int, word string, p double")
+    all_words = frame(spark, [("en", w, 4, 2, 2.0, 0.5, 2.0, 1.0) for w in "abcd"] + [("de", "a", 1, 1, 1.0, 0.0, 0.0, 0.0)], "lang string, word string, cf long, df long, adc double, idf double, cfidf double, tcfidf double")
+    found = topics.word_features(all_words, phi, "en")
+    assert "strategy=broadcast" in found._jdf.queryExecution().analyzed().toString()
+    assert {r["word"]: list(r["x"]) for r in found.collect()} == {"a": [4.0, 2.0, 2.0, 0.5, 2.0, 1.0, 1 / 3, 2 / 3], "b": [4.0, 2.0, 2.0, 0.5, 2.0, 1.0, 0.6, 0.4]}
+
+
 def test_cuts_beyond_a_mass_in_blocks(spark):
     counts = frame(spark, [(lang, t, f"{lang}{w}", (w * 7 + t * 3) % 5 + 1) for lang in ("en", "de") for t in range(3) for w in range(9)], "lang string, topic int, word string, n long")
     phi = topics.phi(counts)
