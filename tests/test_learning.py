@@ -30,6 +30,20 @@ def test_learners_do_not_depend_on_partitions(spark):
     assert learn.learn_cluster(one, 2, 2, 3, most=25) == learn.learn_cluster(other, 2, 2, 3, most=25)
 
 
+def test_few_rows_take_all_steps_in_their_task(spark, monkeypatch):
+    """No pass for each step where all rows are one task's, and the same digits as by passes."""
+    table = training(spark)
+    phi = [F.col("f")[k] for k in range(3)]
+    learners = [lambda: learn.learn_fine(table, phi, 2), lambda: learn.learn_cluster(table, 2, 2, 3, most=25), lambda: learn.learn_cluster(table.where("false"), 2, 2, 3)]
+    passes, before = [], learn.sums_of
+    monkeypatch.setattr(learn, "sums_of", lambda *a: passes.append(1) or before(*a))
+    together = [f() for f in learners]
+    assert not passes
+    monkeypatch.setattr(learn, "ROWS_A_TASK", 40)
+    assert [f() for f in learners[:2]] == together[:2] and len(passes) > 20
+    assert together[2][2] == [[2.0, 0.0, 0.0], [0.0, 2.0, 0.0]]
+
+
 def test_exact_arithmetic():
     r = np.random.default_rng(0)
     v = r.random(1000) * 10.0 ** r.integers(-12, 3, 1000)
