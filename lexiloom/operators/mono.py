@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import shared
+from . import pmf
 
 
 #: Rows of a key that one task sets against all rows of the key on the other side.
@@ -74,6 +78,55 @@ def vector_similarity(vectors: DataFrame, sources: DataFrame | None = None) -> D
     return met(left, vectors.select(F.col("word").alias("w2"), "doc_id", F.col("s").alias("s2")), "doc_id").groupBy("w1", "w2").agg(F.sum(F.col("s1") * F.col("s2")).alias("score"))
 
 
+#: Bytes up to which vectors may be sent whole, cells of scores worked out at once, and pairs added up at once.
+BROADCAST_BYTES, BLOCK_CELLS, PAIRS_AT_ONCE = 64 << 20, 2_000_000, 4_000_000
+
+
+def vector_pmf(vectors: DataFrame, mass: float, most: int | None = None) -> DataFrame:
+    """(w1, w2, p, rk): vector_similarity() of all words with all, zeros too, less each word's least, as a pmf cut at `mass`.
+
+    A word has some two thousand documents at most (a sweep of document_vectors() without a stop falls by a twentieth of the top in each
+    window), and words are a vocabulary, so that vectors are bounded however many documents there are: as numbers they are sent
+    whole, and a block of source words is multiplied, ordered and cut inside a task. Only what stays leaves it. Vectors of more than
+    BROADCAST_BYTES are joined by document instead.
+    """
+    words = vectors.select("word").distinct()
+    if vectors.count() * 16 > BROADCAST_BYTES or words.count() > BLOCK_CELLS:
+        return pmf.truncated(pmf.min_shifted(with_zeros(vector_similarity(vectors), words, words)), mass, most)
+    names = sorted((r[0] for r in words.collect()), key=str.encode)  # ties go by word
+    spark = vectors.sparkSession
+    coded = spark.createDataFrame(pa.table({"word": pa.array(names, pa.string()), "code": pa.array(range(len(names)), pa.int32())}))
+    table = vectors.where("doc_id IS NOT NULL").join(F.broadcast(coded), "word").select("code", "doc_id", "s").toArrow()
+    doc = np.unique(table.column("doc_id").to_numpy(), return_inverse=True)[1].astype(np.int32)
+    held = spark.sparkContext.broadcast((pa.array(names, pa.string()), table.column("code").to_numpy(), doc, table.column("s").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        targets, code, doc, s = held.value
+        v = len(targets)
+        of_word, of_doc = np.lexsort((doc, code)), np.lexsort((code, doc))
+        words_at, docs_at = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]) for x, n in ((code, v), (doc, int(doc.max(initial=-1)) + 1)))
+        by_code, by_s = code[of_doc].astype(np.int64), s[of_doc]
+        step = max(1, BLOCK_CELLS // max(1, v))
+        for batch in batches:
+            mine = batch.column("code").to_numpy()
+            for at in range(0, len(mine), step):
+                some = mine[at : at + step]
+                scores = np.zeros(len(some) * v)
+                rows = np.concatenate([of_word[words_at[c] : words_at[c + 1]] for c in some.tolist()])
+                line = np.repeat(np.arange(len(some)), words_at[some + 1] - words_at[some])
+                n = docs_at[doc[rows] + 1] - docs_at[doc[rows]]
+                parts = np.searchsorted(np.cumsum(n), np.arange(PAIRS_AT_ONCE, int(n.sum()) + 1, PAIRS_AT_ONCE), "right")
+                for r, i, k in zip(np.split(rows, parts), np.split(line, parts), np.split(n, parts), strict=True):
+                    met_at = np.repeat(docs_at[doc[r]] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
+                    scores += np.bincount(np.repeat(i * v, k) + by_code[met_at], np.repeat(s[r], k) * by_s[met_at], len(scores))
+                scores = scores.reshape(len(some), v)
+                row, column, p, rk = pmf.cut_rows(scores - scores.min(1)[:, None], mass, most)
+                yield pa.RecordBatch.from_arrays([targets.take(pa.array(some[row])), targets.take(pa.array(column, pa.int64())), pa.array(p), pa.array(rk)], ["w1", "w2", "p", "rk"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return coded.select("code").repartition(parts, F.xxhash64("code")).mapInArrow(run, "w1 string, w2 string, p double, rk int")
+
+
 def with_zeros(scores: DataFrame, sources: DataFrame, vocab: DataFrame) -> DataFrame:
     """scores of every source word with every word of the vocabulary, 0 where there was none."""
     every = sources.select(F.col("word").alias("w1")).distinct().crossJoin(vocab.select(F.col("word").alias("w2")).distinct())

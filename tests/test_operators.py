@@ -331,6 +331,28 @@ def test_top_lists_in_blocks(spark, monkeypatch):
     assert topics.cue_pmf(p.where("lang = 'en'"), "en", "de", 0.4, topics=[0, 1, 2, 3]).count() == 0
 
 
+def test_vectors_in_blocks(spark, monkeypatch):
+    """Related words cut inside blocks as by joining words by document, also where vectors are too large to be sent."""
+    r = np.random.default_rng(8)
+    rows = [(f"{'é' if k % 5 == 0 else 'w'}{k}", int(d), float(r.random())) for k in range(29) for d in {int(x) for x in r.integers(0, 12, 4)}]
+    v = frame(spark, [*rows, ("alone", 99, 1.0), ("nowhere", None, 1.0)], "word string, doc_id int, s double")
+    words = v.select("word").distinct()
+    keep = lambda df: shown(df, "w1", "w2", "p", "rk")
+    for most in (None, 2):
+        want = keep(pmf.truncated(pmf.min_shifted(mono.with_zeros(mono.vector_similarity(v), words, words)), 0.6, most))
+        assert {"alone"} < {x[0] for x in want} and "nowhere" not in {x[0] for x in want}
+        with monkeypatch.context() as m:
+            m.setattr(mono, "vector_similarity", None)  # no pair leaves a task
+            for cells, pairs in ((2_000_000, 4_000_000), (70, 5)):
+                m.setattr(mono, "BLOCK_CELLS", cells)
+                m.setattr(mono, "PAIRS_AT_ONCE", pairs)
+                assert keep(mono.vector_pmf(v, 0.6, most)) == want
+        with monkeypatch.context() as m:
+            m.setattr(mono, "BROADCAST_BYTES", 64)
+            assert keep(mono.vector_pmf(v, 0.6, most)) == want
+    assert mono.vector_pmf(v.where("false"), 0.6).count() == 0
+
+
 def test_crowded_keys_are_dealt(spark):
     """A join by a key of many rows is the plain join, whatever the size of parts; taxonomies with a crowded root too."""
     r = np.random.default_rng(6)
