@@ -56,9 +56,12 @@ def _correlation(x: str, y: str) -> Column:
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """(by, spearman, n): Pearson's correlation of average ranks; null where one side has no spread."""
-    # written once, as each column is ranked by itself and then joined to all rows
+    # written once, as groups are counted first, or each column is ranked by itself and then joined to all rows
     rows, _ = shared.written(rows.select(*(by or []), F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)))
-    both = ranks.average_ranks(ranks.average_ranks(rows, x, "rx", by), y, "ry", by)
+    if by and rows.groupBy(*by).count().where(F.col("count") > ranks.GROUP).isEmpty():
+        both = ranks.grouped_ranks(rows, {"rx": x, "ry": y}, by)
+    else:
+        both = ranks.average_ranks(ranks.average_ranks(rows, x, "rx", by), y, "ry", by)
     return both.groupBy(*(by or [])).agg(_correlation("rx", "ry").alias("spearman"), F.count("*").alias("n"))
 
 

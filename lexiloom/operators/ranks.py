@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources import shared
 
-#: Ranges that the values of a group are cut into, and lines of a block of a file.
-RANGES, BLOCK = 256, 65_536
+#: Ranges that the values of a group are cut into, lines of a block of a file, and rows of a group that are sorted as one.
+RANGES, BLOCK, GROUP = 256, 65_536, 1_000_000
 
 
 def _ranged(rows: DataFrame, by: list[str], value: Column, ranges: int) -> DataFrame:
@@ -76,6 +76,16 @@ def average_ranks(rows: DataFrame, value: str, name: str, by: list[str] | None =
     return keyed.join(found, condition).drop("key_", "key__", *[f"{c}__" for c in by])
 
 
+def grouped_ranks(rows: DataFrame, columns: dict[str, str], by: list[str]) -> DataFrame:
+    """rows with average_ranks() of several columns, given by the names of their ranks, in groups of at most GROUP rows: each group is
+    sorted by each of them, and all sorts share one shuffle. Larger groups are left to average_ranks()."""
+    for name, value in columns.items():
+        order = Window.partitionBy(*by).orderBy("key_")
+        ties = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+        rows = rows.withColumn("key_", F.round(value, 12)).withColumn(name, F.rank().over(order) + (ties - 1) / 2).drop("key_")
+    return rows
+
+
 def running(rows: DataFrame, line: str, value: Column, how: str, name: str, block: int = BLOCK, levels: int = 2) -> DataFrame:
     """rows with a running value along whole numbers `line`: how = "last" is the last value that is not null up to a row, "count" the
     number of values that are not null before it.

@@ -108,6 +108,20 @@ def test_places_and_ranks_by_ranges(spark):
     assert ranks.average_ranks(df.where("false"), "v", "rank").count() == 0 and "SinglePartition, ENSURE" not in plan.split("Window")[0]
 
 
+def test_ranks_of_small_groups_share_a_shuffle(spark, monkeypatch):
+    """Correlations of groups that are sorted whole are those by ranges, with ties and nulls, and all sorts lie on one shuffle."""
+    r = random.Random(11)
+    rows = [(g, r.choice([None, 0.5, 0.5 + 1e-14, r.random()]), r.choice([1.0, 2.0, r.random()])) for g in ("a", None, "b") for _ in range(60)] + [("c", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    small = {x["g"]: (x["spearman"], x["n"]) for x in evaluate.spearman(df, "x", "y", ["g"]).collect()}
+    plan = evaluate.spearman(df, "x", "y", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Join") == 0
+    monkeypatch.setattr(ranks, "GROUP", 50)
+    large = {x["g"]: (x["spearman"], x["n"]) for x in evaluate.spearman(df, "x", "y", ["g"]).collect()}
+    assert small.keys() == large.keys() == {"a", None, "b", "c"} and small["c"] == (None, 1)
+    assert all(n == large[g][1] and (v is None) == (large[g][0] is None) and (v is None or math.isclose(v, large[g][0], abs_tol=1e-12)) for g, (v, n) in small.items())
+
+
 def test_scans_over_block_borders(spark, tmp_path):
     r = random.Random(3)
     lines = [r.choice(["en-de", "# x", "", "0.5 0.25 0.75 3", "0.1 0.2 0.3 4", "0.1 0.2 0.3 4"]) for _ in range(600)]
