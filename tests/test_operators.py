@@ -503,3 +503,15 @@ def test_cuts_beyond_a_mass_in_blocks(spark):
     whole = pmf.normalised(topics.cue(phi, "en", "de"))
     assert rows(topics.cue_pmf(phi, "en", "de", 0.3, beyond=True)) == rows(pmf.cumulative_cut(whole, 0.3))
     assert rows(topics.cue_pmf(phi, "en", "de", 0.8)) == rows(pmf.truncated(whole, 0.8))
+
+
+def test_topic_counts_are_added_up_by_topics_inside_tasks(spark, tmp_path):
+    """Not by source and place, of which there are 24 * 15 here for every word."""
+    docs = spark.createDataFrame([(i, f"one two three {'one ' * i}" * 8, "en", f"src{i}") for i in range(24)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    x = Fixtures(spark, str(tmp_path))
+    for step, n in ((3, 8), (5, 6)):
+        want = x.state(step, n).groupBy("lang", "topic", "word").agg(F.count("*").alias("n"))
+        assert {tuple(r) for r in x.counts(step, n).select("lang", "topic", "word", "n").collect()} == {tuple(r) for r in want.collect()}
+    assert x._places.groupBy("word").count().agg(F.max("count")).first()[0] <= 8 * 6
+    assert "place" not in x._places.columns
