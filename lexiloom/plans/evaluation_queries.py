@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import agreement, evaluate, learn, reports, stats, topics
-from ..sources import files
+from ..sources import files, shared
 from .fixtures import Fixtures
 from .register import Register
 from .score_queries import EM, rounded, training
@@ -78,10 +78,11 @@ def splits_roundtrip(x):
         SELECT split_id, step + 1, s0 / (s0 + s1), s1 / (s0 + s1), sqrt((s0 / (s0 + s1) - e0) ** 2 + (s1 / (s0 + s1) - e1) ** 2) FROM (
         SELECT split_id, step, e0, e1, sum(b0 * e0 / (b0 * e0 + b1 * e1)) AS s0, sum(b1 * e1 / (b0 * e0 + b1 * e1)) AS s1 FROM cv_run JOIN cv_train USING (split_id) WHERE moved >= 1e-3 AND step < 500 GROUP BY ALL)""")
 def cv_weights(x):
-    """Weights learned on the training pairs of every split, all splits at once."""
+    """Weights learned on the training pairs of every split, all splits at once; a split of whose pairs no expert has any has no row."""
     rows = training(x).join(splits(x).where("part = 'train'").select(F.col("split_id").alias("job"), "w1", "w2"), ["w1", "w2"])
-    jobs = sorted(r[0] for r in splits(x).select("split_id").distinct().collect())
-    found = learn.learn_em_jobs(rows, 2, jobs, start=[0.5, 0.5])
+    with shared.held(rows.select("job", "b")) as (rows,):
+        jobs = sorted(r[0] for r in rows.select("job").distinct().collect())
+        found = learn.learn_em_jobs(rows, 2, jobs, start=[0.5, 0.5])
     return rounded(x.spark.createDataFrame([(k, j, e) for k, w in found.items() for j, e in enumerate(w)], "split_id int, j int, e double"), "e", digits=9)
 
 

@@ -4,6 +4,7 @@ import gzip
 import math
 import os
 import random
+import types
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import exact
 from lexiloom.operators import evaluate, experts, inversions, jobs, learn, ranks, reports
+from lexiloom.plans import evaluation_queries
 from lexiloom.sources import files, named, shared
 
 
@@ -240,3 +242,17 @@ def test_held_tables_go(spark):
         before = there()
         1 / 0  # noqa: B018
     assert len(before - there()) == 1
+
+
+def test_splits_without_training_rows_have_no_weights(spark):
+    """As in SQL: the only pair that the experts have is trained on in some splits only."""
+    pairs = spark.createDataFrame([(f"a{k}", f"b{k}") for k in range(12)], "w1 string, w2 string")
+    trained = {}
+    for r in learn.splits(pairs, 100, 3).where("part = 'train'").collect():
+        trained.setdefault((r["w1"], r["w2"]), set()).add(r["split_id"])
+    (w1, w2), want = next((k, v) for k, v in sorted(trained.items()) if len(v) < 3)
+    one = lambda p: spark.createDataFrame([(w1, w2, p, 1)], "w1 string, w2 string, p double, rk int")
+    x = types.SimpleNamespace(spark=spark, pairs=lambda *_: pairs, expert_list=lambda: [one(0.75), one(0.25)])
+    rows = evaluation_queries.cv_weights(x).collect()
+    assert {(r["split_id"], r["j"]) for r in rows} == {(k, j) for k in want for j in range(2)}
+    assert all((r["e"] > 0.9) == (r["j"] == 0) for r in rows)
